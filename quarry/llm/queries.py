@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets
+from quarry.llm import secrets, simhash
 from quarry.llm.common import written
 
 
@@ -21,6 +21,12 @@ def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    prints = written(simhash.fingerprints(spark.read.parquet(f"{d}/documents.parquet")), "op9")
+    found = simhash.near_duplicates(prints)
+    return prints.join(found.select("fingerprint", "component_id"), "fingerprint").select(F.col("id").alias("doc_id"), simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
