@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets, simhash
+from quarry.llm import decontaminate, secrets, simhash
 from quarry.llm.common import written
 
 
+def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    postings = decontaminate.index(spark.read.parquet(f"{d}/documents.parquet"))
+    found = decontaminate.judged(decontaminate.search(postings, spark.read.parquet(f"{d}/benchmark.parquet")))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
     slim = written(secrets.with_candidates(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", "found"), "op8")
