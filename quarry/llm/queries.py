@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, secrets, simhash
+from quarry.llm import decontaminate, pieces, secrets, simhash
 from quarry.llm.common import written
 
 
+def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).drop("text")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     postings = decontaminate.index(spark.read.parquet(f"{d}/documents.parquet"))
     found = decontaminate.judged(decontaminate.search(postings, spark.read.parquet(f"{d}/benchmark.parquet")))
