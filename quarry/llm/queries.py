@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, pieces, secrets, simhash
+from quarry.llm import decontaminate, pieces, secrets, simhash, topk
 from quarry.llm.common import written
 
 
@@ -15,6 +15,11 @@ def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).drop("text")
 
 
+def op4_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    return topk.search(vectors, "vec_id", "v", F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     postings = decontaminate.index(spark.read.parquet(f"{d}/documents.parquet"))
     found = decontaminate.judged(decontaminate.search(postings, spark.read.parquet(f"{d}/benchmark.parquet")))
@@ -41,5 +46,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP4_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_top_k": OP4_SQL}
