@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, pieces, secrets, simhash, topk
+from quarry.llm import chat, decontaminate, pieces, secrets, simhash, topk
 from quarry.llm.common import written
 
 
@@ -26,6 +26,16 @@ def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    done = chat.formatted(chat.visited(rows.withColumn("parts", chat.text_parts(F.col("text")))))
+    turns = F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    done = done.withColumns({"read": chat.read_back(), "learnt": chat.under_loss()})
+    return done.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"), F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
     slim = written(secrets.with_candidates(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", "found"), "op8")
@@ -59,5 +69,22 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
 
+OP7_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+    SELECT *, length(text) + length(role) + 4 * (length(text) - length(replace(text, '&', '')) + length(role) - length(replace(role, '&', '')))
+        + 3 * (length(text) - length(replace(replace(text, '<', ''), '>', '')) + length(role) - length(replace(replace(role, '<', ''), '>', ''))) + 15 AS n
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL}
+    return {"op7_chat_format": OP7_SQL, "op4_exact_top_k": OP4_SQL}
