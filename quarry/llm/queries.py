@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, pieces, secrets, simhash, topk
+from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, simhash, topk
 from quarry.llm.common import written
 
 
+def remainder(id: str, n: int) -> Column:
+    return F.crc32(F.col(id).cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
+    held = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(held, model).drop("text")
+
+
 def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).drop("text")
 
@@ -52,6 +63,16 @@ def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return prints.join(found.select("fingerprint", "component_id"), "fingerprint").select(F.col("id").alias("doc_id"), simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rows = written(quality.with_statistics(docs).select("doc_id", *quality.STATISTICS), "op10")
+    labels = quality.agreed(spark.read.parquet(f"{d}/labels.parquet"))
+    labelled = rows.filter(remainder("doc_id", 5) != 0).join(labels, rows["doc_id"] == labels["id"])
+    ensemble = quality.fit(labelled)
+    scored = rows.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), quality.score(ensemble).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
