@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, simhash, topk
+from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, simhash, topk, urls
 from quarry.llm.common import written
 
 
@@ -37,6 +37,14 @@ def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: The contract's rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{d}/pages.parquet"), URL_RULES)
+
+
 def op7_chat_format(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
