@@ -45,7 +45,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, na
     """Gapless ranks from 0 within `by`, made without one task per group.
 
     `bucket` splits each group; buckets are numbered one after the other and rows within a bucket by `order`.
-    Only counts per (by, bucket) meet in a window, and a row is sorted with its bucket alone.
+    Only counts per (by, bucket) meet in a window, and a row is sorted with its bucket alone. `by` columns hold no nulls.
     """
     df = df.withColumn("_b", bucket)
     counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -54,10 +54,6 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, na
     within = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
     on = F.col("_b") == F.col("_bb")
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        on = on & (F.col(c) == F.col(f"_{c}"))
     return within.join(starts, on).withColumn(name, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_b", "_bb", "_r", "_start", *[f"_{c}" for c in by])
 
-
-def need(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that other columns with clashing names do no harm."""
-    return df.select(*columns)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, simhash, topk, urls
+from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, sharding, simhash, topk, urls
 from quarry.llm.common import written
 
 
+def op1_balanced_shards(spark: SparkSession, d: str) -> DataFrame:
+    placed = sharding.assign(spark.read.parquet(f"{d}/documents.parquet"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def remainder(id: str, n: int) -> Column:
     return F.crc32(F.col(id).cast("string")) % n
 
