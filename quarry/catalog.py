@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans import metrics, sequences
+
+PLANS: tuple[ModuleType, ...] = (metrics, sequences)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """The public functions of (spark, sf_dir) of the plan modules, by name."""
+    return {name: f for m in PLANS for name, f in vars(m).items() if inspect.isfunction(f) and f.__module__ == m.__name__ and not name.startswith("_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in PLANS for name, sql in m.SQL.items()}

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators over DataFrames: metrics, ordered sequences, selection, sets and similarity, graphs, dialogue records."""
