@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import metrics, sequences
+from quarry.plans import metrics, sequences, sets, texts
 
-PLANS: tuple[ModuleType, ...] = (metrics, sequences)
+PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar and table functions: text as columns, table grids, block parsing and chunking."""

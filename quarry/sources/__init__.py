@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources and sinks: reports, trajectories, paged Markdown, files with digests; tables as CSV and text."""
