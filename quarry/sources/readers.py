@@ -33,7 +33,7 @@ def misplaced(rows: DataFrame) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, root: str, name: str = "doc_*.md") -> DataFrame:
     """(paper, file, page, text): whole files, pages numbered by the order of their names, in which doc_10 precedes doc_2."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root).select(F.col("value").alias("text"), _path().alias("path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.col("value").alias("text"), _path().alias("path"))
     rows = rows.select(F.element_at(F.split("path", "/"), -2).alias("paper"), F.element_at(F.split("path", "/"), -1).alias("file"), "text")
     return rows.withColumn("page", F.row_number().over(Window.partitionBy("paper").orderBy("file")))
 
