@@ -1,30 +1,13 @@
-"""What the corpus operators share: written tables, ranks without a single-task sort, bounded Arrow batches."""
+"""What the corpus operators share: ranks without a single-task sort, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
-    """df, stored as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "bucket_of", "ranked", "written"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
@@ -33,10 +16,6 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bucket_of(*keys: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
