@@ -94,7 +94,7 @@ OP4_SQL = """
 WITH v AS (
     SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
     FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
@@ -120,5 +120,51 @@ FROM e GROUP BY conv_id
 """
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS gram FROM s),
+l AS (SELECT DISTINCT n FROM g),
+q AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, l WHERE len(w) >= n),
+h AS (SELECT q.r, q.p, q.n, g.item_id FROM q JOIN g ON q.n = g.n AND array_to_string(q.w[q.p : q.p + q.n - 1], ' ') = g.gram),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r
+"""
+
+
+def _found_sql(kind: str, pattern: str, group: int, keep: str) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT r, owner, '{kind}' AS kind, CAST(e - length(m[k]) AS BIGINT) AS a, CAST(e AS BIGINT) AS e, v[k] AS value FROM (
+    SELECT *, list_sum(list_transform(s[1:k], lambda x: length(x))) + list_sum(list_transform(m[1:k], lambda x: length(x))) AS e FROM (
+        SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+            SELECT r, owner, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, regexp_split_to_array(t, {p}) AS s FROM d WHERE regexp_matches(t, {p})
+        )
+    )
+) WHERE {keep}"""
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+f AS ({_found_sql("assign", secrets.ASSIGN, 2, "length(v[k]) >= 6")} UNION ALL {_found_sql("access", secrets.ACCESS, 0, "length(v[k]) >= 20")}
+    UNION ALL {_found_sql("hex", secrets.HEX, 0, "true")} UNION ALL {_found_sql("token", secrets.TOKEN, 0, "regexp_matches(v[k], '[A-Z]') AND regexp_matches(v[k], '[a-z]') AND regexp_matches(v[k], '[0-9]')")}),
+n AS (SELECT value, count(DISTINCT owner) AS owners FROM f GROUP BY value),
+j AS (SELECT f.*, owners, CASE WHEN owners >= 3 OR len(list_distinct(string_split(f.value, ''))) < 6 THEN 'example' ELSE 'live' END AS verdict FROM f JOIN n ON f.value = n.value),
+o AS (SELECT * FROM j WHERE kind <> 'token' OR (owners = 1 AND verdict = 'live')),
+x AS (SELECT r, kind, a, e FROM o UNION ALL SELECT DISTINCT r, verdict, e - length(value), e FROM o),
+y AS (SELECT r, kind, a, e, list_position(['assign', 'access', 'hex', 'token', 'live', 'example'], kind) AS k, kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS say FROM x),
+z AS (
+    SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        string_agg(say, ',' ORDER BY a, k, e) FILTER (WHERE k <= 3) AS base, string_agg(say, ',' ORDER BY a, k, e) AS spans FROM y GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z ON d.r = z.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": OP7_SQL, "op4_exact_top_k": OP4_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_secret_scan": OP8_SQL}

@@ -4,7 +4,7 @@ Vectors are packed into tiles, each one row of a written table. Each tile's quer
 of a join on tile numbers; a task holds one pair and a block of its product at a time. Of each product the k best columns
 per query are selected; the lists of a query are merged some tiles at a time, so no task gathers all of them.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet only those of their own
+Defined results: rows without an id and vectors that are null or hold null or non-finite components take no part; vectors meet only those of their own
 length; ties go to the smaller id; repeated rows are vectors of their own, and a query leaves out its own row only; with fewer
 than k candidates all are returned; an empty table gives an empty result. Products are exact where scores fit a long.
 """
@@ -33,7 +33,7 @@ def tiles(vectors: DataFrame, id: str, vector: str, query: Column, size: int = T
     spark = vectors.sparkSession
     bounded_batches(spark, size, "64m")
     known = F.coalesce(~F.exists(vector, lambda x: x.isNull()), F.lit(False))
-    rows = vectors.filter(known).select(F.col(id).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("is_query"), F.col(vector).alias("vector"))
+    rows = vectors.filter(known & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("is_query"), F.col(vector).alias("vector"))
     n = rows.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,10 @@ from quarry.llm import queries, topk
 
 
 def brute(rows, k=20):
-    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for a, (i, v) in enumerate(ok):
-        if i is not None and i % 20 == 0:
+        if i % 20 == 0:
             top = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(ok) if a != b and len(w) == len(v))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(top)]
     return sorted(out)
@@ -20,7 +20,7 @@ def table(n=400):
     random.seed(4)
     rows = [(i, [random.choice([0.5, -0.25, 1.0, 0.013, -0.999]) for _ in range(6)]) for i in range(n)]
     rows += [(20, rows[20][1])] * 2 + [(1000 + i, [1.0] * 6) for i in range(60)]
-    rows += [(2000, None), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, [1.0, 2.0]), (2100, [])]
+    rows += [(2000, None), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("nan")] * 6), (2060, [float("inf")] * 6), (2080, [1.0, 2.0]), (2100, []), (None, [1.0] * 6)]
     return rows
 
 
