@@ -61,3 +61,14 @@ def test_blocks_and_chunks(spark):
     register(spark)
     assert spark.sql("SELECT count(*) AS n FROM text_chunks('a b c', 3, 1)").first().n >= 1
     assert [r.kind for r in spark.sql("SELECT * FROM md_blocks('# a\n\nb')").collect()] == ["heading", "paragraph"]
+
+
+def test_claims_and_sections(spark):
+    from quarry.functions import claims as C
+
+    rows = [("We propose a new module", "3 Method", "method"), ("nothing here", "", ""), ("accuracy table figure", "Results", "result"), ("the gap is an issue", "Introduction", "motivation"), ("existing dataset checked", "Video Fact-Checking Datasets", "resource")]
+    got = spark.createDataFrame(rows, "c string, s string, r string").select(C.macro_of(F.col("c"), F.col("s")), C.claim_type(F.col("c"), F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [("M2", "mechanism"), ("M2", "conclusion"), ("M3", "result"), ("M1", "problem"), ("M1", "dataset")]
+    text = "opening words\n# Page 2\nstill opening\n## Abstract\nshort\n## Small\ntiny\n## Long\n" + "y" * 200 + "\n### Acknowledgements\nthanks"
+    found = C.sections(spark.createDataFrame([(1, text), (2, "plain")], "i int, t string"), "i", "t").orderBy("i", "section_id").collect()
+    assert [(r.i, r.section_id, r.title, r.text[:40]) for r in found] == [(1, "S1", "Preamble", "opening words\nstill opening"), (1, "S2", "Abstract", "short\n\ntiny"), (1, "S3", "Long", "y" * 40), (2, "S1", "Preamble", "plain")]
