@@ -22,4 +22,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that written() stored, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

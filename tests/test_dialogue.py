@@ -95,3 +95,17 @@ def test_metric_checks(spark):
         from quarry.operators.external import strict
 
         strict(a, "rows")
+
+
+def test_normal_form(spark):
+    from quarry.operators import normalize as N
+
+    bad = turn(1, "challenge_question", ["K1"], ["K1"], judge={"state": "MISLED", "coverage": {"covered_kc_ids": ["K1", "K1"], "missing_kc_ids": ["K2"]}}, target_failure_mode="overclaim")
+    fixing = turn(2, "hallucination_followup", judge={"state": "HALLUCINATION"}, repair_context={"repair_type": "hallucination", "root_turn_id": "T1", "root_question_id": "Q1"})
+    step_ = turn(3, "thread_bridge_question", ["K1"], [], ["K1"], judge={"state": "INCOMPLETE"})
+    done = turn(4, "main", ["K1"], ["K1"], judge={"state": "INCOMPLETE", "hallucination_events": [{"hallucination_type": "x"}]})
+    rows = N.normalized(D.turns_of(frame(spark, [bad, fixing, step_, done]), "paper_id")).orderBy("turn_index").collect()
+    assert [tuple(e)[:4] for e in rows[0].events] == [("H_T1_1", "challenge_overclaim_acceptance", "challenge_failure", ["K1", "K2"])]
+    assert rows[0].coverage.covered_kc_ids == ["K1"] and not rows[0].coverage.coverage_complete and rows[0].challenge_result.failed and rows[0].thread_result is None
+    assert rows[1].events == [] and rows[2].thread_result.partial and rows[2].state == "INCOMPLETE"
+    assert rows[3].state == "MAIN_PROGRESS" and rows[3].events[0].event_id == "H_T4_1" and rows[3].events[0].source_question_id == "Q4" and rows[3].challenge_result is None
