@@ -18,8 +18,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def classes(rows: DataFrame, id: str, claim: str, group: Sequence[str] = ()) -> DataFrame:
-    """One row per different claim and group: rep (its smallest id), n, claim. Claims are compared by their normalised text."""
-    return rows.filter(F.col(claim) != "").groupBy(*group, F.col(claim).alias("claim")).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
+    """One row per different claim and group: rep (its smallest id), n, sha. Claims are compared by the digest of their normalised text, so texts are not shuffled."""
+    return rows.filter(F.col(claim) != "").groupBy(*group, F.sha2(claim, 256).alias("sha")).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
 def similar_pairs(reps: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float, least: int) -> DataFrame:
@@ -47,15 +47,17 @@ def duplicate_groups(rows: DataFrame, id: str, claim: str, tokens: str, group: S
 
     Equal claims belong together in any group, near ones within their own; a component is `near` if it holds different claims.
     """
-    own = rows.filter(F.col(claim) != "")
-    everywhere = own.groupBy(F.col(claim).alias("_claim")).agg(F.min(id).alias("_rep"))
-    member = written(own.join(everywhere, F.col(claim) == F.col("_claim")).select(id, F.col("_rep").alias("rep"), F.col(claim).alias("_text"), F.col(tokens).alias("_tokens"), *group), "claims")
-    reps = member.groupBy(*group, "rep").agg(F.first("_tokens").alias("_tokens"))
-    near = similar_pairs(reps, "rep", "_tokens", group, threshold, least)
+    own = rows.filter(F.col(claim) != "").withColumn("_sha", F.sha2(claim, 256))
+    everywhere = written(own.groupBy("_sha").agg(F.min(id).alias("rep")), "claims")  # stored, so that a very common claim's join can be split
+    member = written(own.select(id, "_sha", *group).join(everywhere, "_sha"), "members")
+    sets = own.select(F.col(id).alias("rep"), F.col(tokens).alias("_tokens")).join(everywhere.select("rep"), "rep", "left_semi")
+    near = similar_pairs(member.select(*group, "rep").distinct().join(sets, "rep"), "rep", "_tokens", group, threshold, least)
     of = components(near.select("a", "b"))
-    rooted = member.join(of, member["rep"] == of["node"], "left").select(id, "_text", F.coalesce("root", "rep").alias("group_id"))
-    sizes = rooted.groupBy("group_id", "_text").agg(F.count(F.lit(1)).alias("_n")).groupBy("group_id").agg(F.sum("_n").alias("n_members"), F.when(F.count(F.lit(1)) > 1, "near").otherwise("exact").alias("kind")).filter("n_members > 1")
-    return rooted.join(sizes, "group_id").select(id, "group_id", "n_members", "kind")
+    roots = written(everywhere.join(of, everywhere["rep"] == of["node"], "left").select("_sha", "rep", F.coalesce("root", "rep").alias("group_id")), "roots")
+    counts = member.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = roots.join(counts, "_sha").groupBy("group_id").agg(F.sum("_n").alias("n_members"), F.when(F.count(F.lit(1)) > 1, "near").otherwise("exact").alias("kind")).filter("n_members > 1")
+    kinds = written(roots.join(sizes, "group_id").select("_sha", "group_id", "n_members", "kind"), "groups")
+    return member.select(id, "_sha").join(kinds, "_sha").select(id, "group_id", "n_members", "kind")
 
 
 def dot(a: Column, b: Column) -> Column:

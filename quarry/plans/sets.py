@@ -48,7 +48,7 @@ SELECT name, CAST(coalesce(try_cast(regexp_extract(name, '([0-9]+)$', 1) AS BIGI
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").select("doc_id", claim_key(F.col("text")).alias("claim"))
     found = D.classes(rows, "doc_id", "claim").filter("n > 1")
-    return found.select(F.col("rep").alias("first_id"), "n", F.sha2("claim", 256).alias("sha"))
+    return found.select(F.col("rep").alias("first_id"), "n", "sha")
 
 
 SQL["exact_duplicates"] = """
@@ -59,8 +59,8 @@ SELECT min(doc_id) AS first_id, count(*) AS n, sha256(claim) AS sha FROM t WHERE
 
 def _representatives(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(F.col("text")).alias("claim"))
-    reps = D.classes(rows, "doc_id", "claim", ["lang"])
-    return reps.select("lang", "rep", F.array_distinct(F.split("claim", " ")).alias("tokens"))
+    reps = D.classes(rows, "doc_id", "claim", ["lang"]).select(F.col("rep").alias("doc_id"))
+    return rows.join(reps, "doc_id", "left_semi").select("lang", F.col("doc_id").alias("rep"), F.array_distinct(F.split("claim", " ")).alias("tokens"))
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -251,13 +251,15 @@ SQL["isolated_nodes"] = f"WITH t AS ({_TRADE}) SELECT n_nationkey FROM nation WH
 
 
 def row_signature(spark: SparkSession, d: str) -> DataFrame:
-    """One digest per row, and per source the digest of the rows' digests in order."""
+    """Per source a digest over all its rows in order, by way of digests of a thousand ids each, so no source is gathered whole."""
     rows = _t(spark, d, "documents").select("source", "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("~")), F.coalesce("text", F.lit("~"))), 256).alias("sha"))
-    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "sha"))), lambda x: x["sha"]), ","), 256).alias("signature"))
-    return per
+    listed = lambda x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["sha"]), ","), 256)
+    parts = rows.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.count(F.lit(1)).alias("n"), listed(F.struct("doc_id", "sha")).alias("sha"))
+    return parts.groupBy("source").agg(F.sum("n").alias("n"), listed(F.struct("part", "sha")).alias("signature"))
 
 
 SQL["row_signature"] = """
-WITH r AS (SELECT source, doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, '~'), coalesce(text, '~'))) AS sha FROM documents)
-SELECT source, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY doc_id, sha)) AS signature FROM r GROUP BY source
+WITH r AS (SELECT source, doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, '~'), coalesce(text, '~'))) AS sha FROM documents),
+p AS (SELECT source, doc_id // 1000 AS part, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY doc_id, sha)) AS sha FROM r GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(sha, ',' ORDER BY part, sha)) AS signature FROM p GROUP BY source
 """
