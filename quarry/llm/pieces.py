@@ -14,13 +14,15 @@ gives an empty result; other columns are kept and may have any names but those a
 """
 
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from quarry.llm.common import bounded_batches
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept between batches, and pairs judged; beyond, they are forgotten and computed again.
-KEPT = 300_000
+KEPT = 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -59,10 +61,15 @@ class Encoder:
         self.model = model
         off = {*model.byte_ids, *model.special}
         self.id = {p: i for i, p in enumerate(model.pieces) if i not in off}
-        self.longest = max(map(len, self.id))
         self.score = {p: model.scores[i] for p, i in self.id.items()}
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.ends: dict = {}  # the pieces as a trie, read from their ends; "" holds the id
+        for p, i in self.id.items():
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.follows: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
         alone = "" if "\n" in self.id else "\n"  # a character without a piece ends words, as no merge crosses it
         self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + "|\n" * bool(alone))
@@ -89,60 +96,74 @@ class Encoder:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _may_follow(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        if (x := self.follows.get(key)) is None:
-            if len(self.follows) > KEPT:
-                self.follows.clear()
-            if before in self.id:
-                x = self.merged([*before, *piece]) == [before, piece]
-            else:
-                x = self.merged([*piece]) == [piece]
-            self.follows[key] = x
-        return x
-
-    def _sorted(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """(word, its pieces), words in order; last[i] is the length of the piece that ends the best path of i characters."""
-        ids, longest, bpe = self.id, self.longest, self.model.kind == "bpe"
-        last, best, before = [0], [0.0], ""
+    def _may_follow(self, before: int, piece: int) -> bool:
+        if len(self.follows) > KEPT:
+            self.follows.clear()
+        last = self.model.pieces[piece]
+        ahead = [self.model.pieces[before]] if before >= 0 else []
+        found = self.follows[before << 32 | piece] = self.merged([*"".join(ahead), *last]) == [*ahead, last]
+        return found
+
+    def _sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, its ids, or code points as -2 - c where there is no piece), words in order.
+
+        last[i] is the piece that ends the best path of i characters, and came[i] how many lie before it.
+        """
+        bpe, follows, scores, ends = self.model.kind == "bpe", self.follows, self.model.scores, self.ends
+        last, came, best, before = [-1], [0], [0.0], ""
         for w in words:
             if bpe and w.startswith(MARK * 2):  # pieces of blanks alone share one score, and then order decides
-                yield w, self.merged([*w])
+                yield w, [self.id[p] if p in self.id else -2 - ord(p) for p in self.merged([*w])]
                 continue
             k = 0
             for a, b in zip(before, w, strict=False):
                 if a != b:
                     break
                 k += 1
-            del last[k + 1 :], best[k + 1 :]
+            del last[k + 1 :], came[k + 1 :], best[k + 1 :]
             for i in range(k + 1, len(w) + 1):
-                if w[i - 1] not in ids:
-                    last.append(1)
+                node, j, found = ends, i, []
+                while j:
+                    node = node.get(w[j - 1])
+                    if node is None:
+                        break
+                    j -= 1
+                    if "" in node:
+                        found.append((node[""], j))
+                if not found or found[0][1] != i - 1:  # no piece for the character itself
+                    last.append(-2 - ord(w[i - 1]))
+                    came.append(i - 1)
                     best.append(best[i - 1] + self.unknown)
                 elif bpe:
-                    for j in range(max(0, i - longest), i):
-                        if (p := w[j:i]) in ids and self._may_follow(w[j - last[j] : j], p):
-                            last.append(i - j)
+                    for x, j in reversed(found):
+                        p = last[j] if last[j] >= 0 else -1
+                        ok = follows.get(p << 32 | x)
+                        if self._may_follow(p, x) if ok is None else ok:
                             break
+                    last.append(x)
+                    came.append(j)
                     best.append(0.0)
                 else:
-                    s, n = max((best[j] + self.score[p], i - j) for j in range(max(0, i - longest), i) if (p := w[j:i]) in ids)
-                    last.append(n)
+                    s, j, x = max((best[j] + scores[x], -j, x) for x, j in found)
+                    last.append(x)
+                    came.append(-j)
                     best.append(s)
             before, out, i = w, [], len(w)
             while i:
-                out.append(w[i - last[i] : i])
-                i -= last[i]
-            yield w, out[::-1]
+                out.append(last[i])
+                i = came[i]
+            out.reverse()
+            yield w, out
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not kept yet."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = sorted(w for w in words if w not in self.kept)
-        for w, pieces in self._sorted(new):
-            ids = [x for p in pieces for x in ([self.id[p]] if p in self.id else [self.model.byte_ids[b] for b in p.encode()])]
-            self.kept[w] = np.array(ids, "<i4").tobytes()
+        byte_ids = self.model.byte_ids
+        for w, ids in self._sorted(sorted(words.difference(self.kept))):
+            if min(ids) < 0:
+                ids = [y for x in ids for y in ([x] if x >= 0 else [byte_ids[b] for b in chr(-2 - x).encode()])]
+            self.kept[w] = array("i", ids).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.words(t or "") for t in texts]
@@ -154,9 +175,15 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
-def _encoder(at: int, sent) -> Encoder:
-    return Encoder(Model(*sent.value))
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(at: str, sent: Broadcast) -> Encoder:
+    """The encoder of a call: a worker keeps it, with the words it has learned, from task to task."""
+    if at not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[at] = Encoder(Model(*sent.value))
+    return _ENCODERS[at]
 
 
 def encode(docs: DataFrame, model: Model | None = None, text: str = "text", check: bool = True) -> DataFrame:
@@ -164,7 +191,7 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", chec
     spark = docs.sparkSession
     bounded_batches(spark, 1000, "8m")
     sent = spark.sparkContext.broadcast(tuple(model or load()))
-    at, place = id(sent), docs.columns.index(text)
+    at, place = uuid.uuid4().hex, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(at, sent)
@@ -186,7 +213,7 @@ def decode(encoded: DataFrame, model: Model | None = None, ids: str = "token_ids
     spark = encoded.sparkSession
     bounded_batches(spark, 1000, "8m")
     sent = spark.sparkContext.broadcast(tuple(model or load()))
-    at = id(sent)
+    at = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:

@@ -45,7 +45,8 @@ def test_unigram_takes_the_best_path():
         return found[len(word)][0]
 
     words = [pieces.MARK + w for w in ("there", "therefore", "thermal", "x", "hello", "internationalisation")]
-    for w, found in own._sorted(sorted(words)):
+    for w, ids in own._sorted(sorted(words)):
+        found = [model.pieces[i] for i in ids]
         assert "".join(found) == w and sum(own.score[p] for p in found) == pytest.approx(best(w))
 
 
