@@ -66,10 +66,16 @@ def digest(found: DataFrame) -> DataFrame:
     return per.select("uid", *[f"n_{k}" for k in BASE], F.sha2(said(F.filter("s", lambda y: y["o"] < len(BASE))), 256).alias("base_sha256"), said(F.col("s")).alias("spans"))
 
 
-def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mask: str = "<secret>") -> DataFrame:
-    """docs with the values of live credentials masked; copied examples and all else stay. docs has a unique uid and `found`.
+def may_hold(text: str = "text") -> Column:
+    """Whether a text matches any pattern at all."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return t.rlike(ASSIGN) | t.rlike(ACCESS) | t.rlike(HEX) | t.rlike(TOKEN)
+
+
+def cuts(found: DataFrame) -> DataFrame:
+    """(uid, cuts): what to mask of each text, as (a, b, from): the stretch from a to b, and where the kept text before it begins.
 
-    Rows without a candidate never meet a shuffle. Overlapping values are masked once, from the first start to the last end.
+    Overlapping values of live credentials are one stretch, from the first start to the last end.
     """
     live = found.filter(F.col("verdict") == "live").select("uid", F.col("value_start").alias("a"), F.col("end").alias("b"))
     before = Window.partitionBy("uid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,8 +83,11 @@ def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mask: str =
     live = live.withColumn("run", F.sum("new").over(Window.partitionBy("uid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
     runs = live.groupBy("uid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     runs = runs.withColumn("from", F.coalesce(F.lag("b").over(Window.partitionBy("uid").orderBy("a")), F.lit(0)))
-    cuts = runs.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "from"))).alias("cuts"))
-    t = F.col(text)
-    kept = F.concat(F.array_join(F.transform("cuts", lambda c: F.concat(t.substr(c["from"].cast("int") + F.lit(1), (c["a"] - c["from"]).cast("int")), F.lit(mask))), ""), t.substr(F.element_at("cuts", -1)["b"].cast("int") + F.lit(1), F.char_length(t)))
-    clean, hit = docs.filter(F.size("found") == 0), docs.filter(F.size("found") > 0).join(cuts, "uid", "left")
-    return clean.drop("found", "uid").unionByName(hit.withColumn(text, F.when(F.col("cuts").isNull(), t).otherwise(kept)).drop("found", "uid", "cuts"))
+    return runs.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "from"))).alias("cuts"))
+
+
+def masked(text: Column, cut: Column, mask: str = "<secret>") -> Column:
+    """The text with its stretches masked; null cuts leave it as it is."""
+    kept = F.array_join(F.transform(cut, lambda c: F.concat(text.substr(c["from"].cast("int") + F.lit(1), (c["a"] - c["from"]).cast("int")), F.lit(mask))), "")
+    rest = text.substr(F.element_at(cut, -1)["b"].cast("int") + F.lit(1), F.char_length(text))
+    return F.when(cut.isNull(), text).otherwise(F.concat(kept, rest))

@@ -27,9 +27,9 @@ PER_BUCKET = 50_000
 def equal_text_links(nodes: DataFrame, key: str, most: int) -> DataFrame:
     """(a, b), a > b: stars over the rows of equal key, of `most` rows or so each. nodes: uid and key, written."""
     rows = nodes.filter(F.col(key).isNotNull()).select("uid", F.col(key).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = written(rows.join(sizes, "key").select("uid", "key", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / most)).alias("part")), "shard-members")
-    hubs = dealt.groupBy("key", "part").agg(F.min("uid").alias("hub"))
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)  # all rows over `most` of them at most
+    dealt = rows.join(F.broadcast(large), "key", "left").select("uid", "key", F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / most)), F.lit(0)).alias("part"))
+    hubs = dealt.groupBy("key", "part").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return dealt.join(hubs, ["key", "part"]).filter("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
 
 
