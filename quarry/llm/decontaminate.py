@@ -51,7 +51,7 @@ def _packed(segment: int, ids: list[str | None], lengths: list[int], terms: list
 
 def index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT) -> DataFrame:
     """The index over all documents and all their words, written in the shared folder."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 500, "4m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = count(TaskContext.get().partitionId() << 32)

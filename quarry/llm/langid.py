@@ -75,7 +75,7 @@ def _grams(found: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST, smoothing: float = 0.2) -> Model:
     """Learned from docs with a non-null lang, about `most` of them, drawn at random with a fixed seed."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1000, "4m")
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     n = rows.count()
     if n > most:
@@ -159,7 +159,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, penalty: f
 def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 9.0) -> DataFrame:
     """docs with lang_pred, score (the share of letters in that language) and spans (start and end in words, lang)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1000, "4m")
     sent, place = spark.sparkContext.broadcast(tuple(model)), docs.columns.index(text)  # its size is that of the table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(at: str, sent: Broadcast) -> Encoder:
-    """The encoder of a call: a worker keeps it, with the words it has learned, from task to task."""
+    """The encoder of a call: a worker keeps it, with the pairs it has judged, from task to task; words go when a task ends."""
     if at not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[at] = Encoder(Model(*sent.value))
@@ -189,20 +189,23 @@ def _encoder(at: str, sent: Broadcast) -> Encoder:
 def encode(docs: DataFrame, model: Model | None = None, text: str = "text", check: bool = True) -> DataFrame:
     """docs with token_ids, n_tokens and, with check, round_trip: whether the ids decode to the text again."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000, "8m")
+    bounded_batches(spark, 250, "2m")
     sent = spark.sparkContext.broadcast(tuple(model or load()))
     at, place = uuid.uuid4().hex, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(at, sent)
-        for b in batches:
-            texts = b.column(place).to_pylist()
-            ids = encoder.encode_all(texts)
-            sizes = np.array([len(x) for x in ids], np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
-            more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
+        try:
+            for b in batches:
+                texts = b.column(place).to_pylist()
+                ids = encoder.encode_all(texts)
+                sizes = np.array([len(x) for x in ids], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
+                more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
+        finally:
+            encoder.kept.clear()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * check)
@@ -211,7 +214,7 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", chec
 def decode(encoded: DataFrame, model: Model | None = None, ids: str = "token_ids") -> DataFrame:
     """encoded with the column decoded, the text of its ids; null ids give the empty text."""
     spark = encoded.sparkSession
-    bounded_batches(spark, 1000, "8m")
+    bounded_batches(spark, 250, "2m")
     sent = spark.sparkContext.broadcast(tuple(model or load()))
     at = uuid.uuid4().hex
 
