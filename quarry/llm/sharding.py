@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation.
 
-Linked documents start in shards dealt by a hash. In each round a join brings every document the shards of its neighbours, and
-it asks to move to the one that holds most of them, if that is more than its own shard holds; a shard admits as many as its
-capacity leaves room for. The first two rounds look along links in one direction each, which gathers stars at once; later
-rounds look at all neighbours and let a half of the documents move, dealt anew each time, so that neighbours do not swap.
+Linked documents start in the shard of their smallest neighbour's neighbour, groups above a small size packed whole where a shard
+has room for them and the others one after another under quotas. In each round a join brings every document the shards of its
+neighbours, and it asks to move to the one that holds most of them, if that is more than its own shard holds. What is asked is
+counted by pair of shards, and a shard admits what its capacity leaves room for and as many as leave it in the same round.
+The first two rounds look along links in one direction each, which gathers stars at once; later rounds look at all neighbours
+and let a half of the documents move, dealt anew each time, so that neighbours do not swap. Rounds go on until few rows move.
 Documents without links fill up what is left, until counts differ by one at most (the law `rows`).
 
 Equal texts are linked as stars around their smallest member. A group larger than a quarter of a shard is dealt into several
@@ -15,13 +17,17 @@ smaller shard; with fewer rows than shards some shards are empty; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bucket_of, ranked, written
 
 #: Rows that one task sorts when ranks are made.
 PER_BUCKET = 50_000
+#: Groups of more than this part of a shard are packed one by one.
+FINE = 64
 
 
 def equal_text_links(nodes: DataFrame, key: str, most: int) -> DataFrame:
@@ -33,33 +39,117 @@ def equal_text_links(nodes: DataFrame, key: str, most: int) -> DataFrame:
     return dealt.join(hubs, ["key", "part"]).filter("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
 
 
-def propagated(links: DataFrame, shards: int, capacity: int, rounds: int = 6, buckets: int = 1) -> DataFrame:
+def packed(sizes: list[tuple[int, int]], shards: int, capacity: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """(group, from, to, shard) for groups given as (group, rows), largest first, and the room left by shard.
+
+    What fills a shard takes one of its own; a rest goes whole to the first shard with room, and in parts only where there is none.
+    """
+    capacity = max(1, capacity)
+    room, out, rests = [capacity] * shards, [], []
+    for group, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        at = 0
+        while n - at >= capacity and capacity in room:
+            s = room.index(capacity)
+            out.append((group, at, at + capacity, s))
+            room[s], at = 0, at + capacity
+        if at < n:
+            rests.append((n - at, group, at))
+    for n, group, at in sorted(rests, key=lambda x: (-x[0], x[1])):
+        end = at + n
+        while at < end:
+            fits = [s for s in range(shards) if room[s] >= end - at]
+            s = fits[0] if fits else max(range(shards), key=lambda x: (room[x], -x))
+            most = min(end - at, room[s]) or end - at  # nowhere any room: fewer rows than shards are left over
+            out.append((group, at, at + most, s))
+            room[s], at = max(0, room[s] - most), at + most
+    return out, room
+
+
+def admitted(asked: dict[tuple[int, int], int], full: list[int], capacity: int) -> dict[tuple[int, int], int]:
+    """How many of the moves asked by pair of shards are made: each shard takes what it has room for and what leaves it."""
+    made = dict(asked)
+    into, out = [0] * len(full), [0] * len(full)
+    for (s, t), n in made.items():
+        into[t] += n
+        out[s] += n
+    over = True
+    while over:
+        over = False
+        for t in range(len(full)):
+            excess = into[t] - out[t] - max(0, capacity - full[t])
+            total = into[t]
+            for s in range(len(full)):
+                if excess <= 0:
+                    break
+                if n := made.get((s, t), 0):
+                    cut = min(n, -(-n * excess // total))
+                    total, excess, over = total - n, excess - cut, True
+                    made[s, t], into[t], out[s] = n - cut, into[t] - cut, out[s] - cut
+    return made
+
+
+def _started(state: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """state (uid, near) with the shard in which each row starts. Rows of one near start together; so do those of one root, the near of near, where they fit."""
+    spark, kind = state.sparkSession, state.schema["uid"].dataType.simpleString()
+    stars = state.groupBy("near").agg(F.count(F.lit(1)).alias("n"))
+    roots = state.select(F.col("uid").alias("near"), F.col("near").alias("root"))
+    stars = written(stars.join(roots, "near").select("root", "near", "n"), "shard-stars")  # a near is linked, so it has a row
+    groups = written(stars.groupBy("root").agg(F.sum("n").alias("n")), "shard-groups")
+    large = F.col("n") > capacity // FINE
+    found, room = packed([(r["root"], r["n"]) for r in groups.filter(large).collect()], shards, capacity)  # under FINE groups a shard
+    pieces = spark.createDataFrame(found, f"_root {kind}, _from long, _to long, shard int")
+    before = Window.partitionBy("root").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
+    of_large = stars.join(F.broadcast(pieces.select(F.col("_root").alias("root")).distinct()), "root", "left_semi").withColumn("_at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    of_large = of_large.join(F.broadcast(pieces), (F.col("root") == F.col("_root")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("near", "shard")
+    small = groups.filter(~large)
+    rest = small.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if rest:
+        if not sum(room):
+            room = [1] * shards
+        ends = [sum(room[: s + 1]) for s in range(shards)]
+        small = small.withColumn("_b", bucket_of("root", n=max(1, -(-rest // PER_BUCKET))))
+        starts = small.groupBy("_b").agg(F.sum("n").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        at = F.col("_start") + F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        place = F.floor(at * F.lit(ends[-1]) / F.lit(rest))
+        small = small.join(F.broadcast(starts.drop("_n")), "_b").withColumn("_p", place).select("root", F.size(F.filter(F.array(*[F.lit(x) for x in ends[:-1]]), lambda e: e <= F.col("_p"))).alias("shard"))
+        of_large = of_large.unionByName(stars.join(small, "root").select("near", "shard"))
+    return state.join(of_large, "near").select("uid", "shard", "near")
+
+
+def propagated(links: DataFrame, shards: int, capacity: int, rounds: int | None = None, buckets: int = 1) -> DataFrame:
     """(uid, shard, near) for every linked row; near: its smallest neighbour or itself, which keeps neighbours in rank together.
 
-    links: (a, b) with a > b, written. No shard admits more than leaves it with `capacity` linked rows.
+    links: (a, b) with a > b, written. No shard admits more than leaves it with `capacity` linked rows. Without `rounds`, two rounds
+    in a row that move few rows are the last; what counts as few rises by a two-thousandth of the rows a round, so there is an end.
     """
+    spark = links.sparkSession
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.col("a")).alias("near"))
-    state = written(state.select("uid", bucket_of("uid", n=shards).alias("shard"), "near"), "shard-state")
+    state = written(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.col("a")).alias("near")), "shard-near")
+    linked = state.count()
+    state = written(_started(state, shards, capacity), "shard-state")
     still = 0
-    for i in range(rounds):
+    for i in count() if rounds is None else range(rounds):
         down, up = links.select(F.col("a").alias("uid"), F.col("b").alias("by")), links.select(F.col("b").alias("uid"), F.col("a").alias("by"))
         way = (down, up)[i] if i < 2 else down.unionByName(up).filter(F.pmod(F.xxhash64("uid", F.lit(i)), F.lit(2)) == 0)
         seen = way.join(state.select(F.col("uid").alias("by"), F.col("shard").alias("to")), "by")
         votes = seen.groupBy("uid", "to").agg(F.count(F.lit(1)).alias("n"))
         asked = votes.join(state, "uid").groupBy("uid", "shard", "near").agg(F.max(F.struct("n", (-F.col("to")).alias("to"))).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))), F.lit(0)).alias("own"))
-        asked = asked.filter("best.n > own").select("uid", "near", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain"))
-        full = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # a number per shard
-        room = F.array(*[F.lit(max(0, capacity - full.get(s, 0))) for s in range(shards)])
-        moves = ranked(asked, ["to"], [F.desc("gain"), F.col("near"), F.col("uid")], bucket_of("near", n=buckets)).filter(F.col("rank") < F.get(room, F.col("to")))
-        moves = written(moves.select("uid", "to"), "shard-moves")
-        if moves.isEmpty():
-            still += 1
-            if still == 2:
-                break
-            continue
-        still = 0
-        state = written(state.join(moves, "uid", "left").select("uid", F.coalesce("to", "shard").alias("shard"), "near"), "shard-state")
+        asked = written(asked.filter("best.n > own").select("uid", "near", "shard", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain")), "shard-asked")
+        pairs = {(r["shard"], r["to"]): r["count"] for r in asked.groupBy("shard", "to").count().collect()}  # a number per pair of shards
+        moved = 0
+        if pairs:
+            full = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # a number per shard
+            made = admitted(pairs, [full.get(s, 0) for s in range(shards)], capacity)
+            moved = sum(made.values())
+        if moved:
+            most = F.broadcast(spark.createDataFrame([(*k, n) for k, n in made.items()], "_s int, _t int, most long"))
+            moves = ranked(asked, ["shard", "to"], [F.desc("gain"), F.col("near"), F.col("uid")], bucket_of("near", n=buckets))
+            moves = moves.join(most, (F.col("shard") == F.col("_s")) & (F.col("to") == F.col("_t"))).filter(F.col("rank") < F.col("most"))
+            moves = written(moves.select("uid", "to"), "shard-moves")
+            state = written(state.join(moves, "uid", "left").select("uid", F.coalesce("to", "shard").alias("shard"), "near"), "shard-state")
+        still = still + 1 if moved <= (0 if rounds is not None else linked * i // 2000) else 0
+        if still == 2:
+            break
     return state
 
 
@@ -81,7 +171,7 @@ def balanced(nodes: DataFrame, state: DataFrame, shards: int, total: int, order:
     return nodes.join(stays.unionByName(placed), "uid")
 
 
-def assign(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes and 16), text_crc32, shard, slot (gapless in its shard, from 0)."""
     t = F.col(text)
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("key"))

@@ -54,3 +54,28 @@ def test_few_rows_and_none(spark, tmp_path):
     assert len(found) == 3 and len({r.shard for r in found}) == 3 and {r.slot for r in found} == {0}
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert queries.op1_balanced_shards(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_a_table_of_copies_stays_together(spark, tmp_path):
+    rows = [(i, f"copy {i * 7919 % 4000 // 10}") for i in range(4000)]  # all rows in groups of ten, 40 shards of 100
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    places = defaultdict(set)
+    for r in queries.op1_balanced_shards(spark, str(tmp_path)).collect():
+        places[r.text_crc32].add(r.shard)
+    assert len(places) == 400 and sum(len(p) == 1 for p in places.values()) >= 390
+
+
+def test_departures_make_room():
+    full = [10, 10, 10, 5]
+    asked = {(0, 1): 4, (1, 2): 3, (2, 0): 6, (0, 3): 2, (1, 3): 9}
+    made = sharding.admitted(asked, full, 10)
+    after = [n + sum(m for (_, t), m in made.items() if t == s) - sum(m for (f, _), m in made.items() if f == s) for s, n in enumerate(full)]
+    assert max(after) <= 10 and sum(made.values()) >= 12 and all(made[k] <= n for k, n in asked.items())
+
+
+def test_groups_are_packed_whole_where_they_fit():
+    found, room = sharding.packed([(1, 250), (2, 60), (3, 50), (4, 40), (5, 50)], 5, 100)
+    by = defaultdict(set)
+    for g, a, b, s in found:
+        by[g].add(s)
+    assert {g: len(s) for g, s in by.items()} == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1} and sum(room) == 50
