@@ -9,7 +9,8 @@ and let a half of the documents move, dealt anew each time, so that neighbours d
 Documents without links fill up what is left, until counts differ by one at most (the law `rows`).
 
 Equal texts are linked as stars around their smallest member. A group larger than a quarter of a shard is dealt into several
-stars first, so a group of any size fits and no key holds more than a bounded share of the rows.
+stars, so that no key holds more than a bounded share of the rows, and their hubs are linked, so that the group stands together:
+in one shard where it fits, else in as few as hold it, if others leave room.
 
 Defined results: null texts have no bytes and no links; ids may be null or repeat, each row is placed; ties go to the
 smaller shard; with fewer rows than shards some shards are empty; an empty table gives an empty result.
@@ -31,12 +32,14 @@ FINE = 64
 
 
 def equal_text_links(nodes: DataFrame, key: str, most: int) -> DataFrame:
-    """(a, b), a > b: stars over the rows of equal key, of `most` rows or so each. nodes: uid and key, written."""
+    """(a, b), a > b: stars over the rows of equal key, of `most` rows or so each, and the hubs of one key in a star around their smallest. nodes: uid and key, written."""
     rows = nodes.filter(F.col(key).isNotNull()).select("uid", F.col(key).alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)  # all rows over `most` of them at most
     dealt = rows.join(F.broadcast(large), "key", "left").select("uid", "key", F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / most)), F.lit(0)).alias("part"))
-    hubs = dealt.groupBy("key", "part").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return dealt.join(hubs, ["key", "part"]).filter("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+    hubs = written(dealt.groupBy("key", "part").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")), "shard-hubs")
+    leaves = dealt.join(hubs.filter("n > 1").drop("n"), ["key", "part"]).filter("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+    first = hubs.groupBy("key").agg(F.min("hub").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")  # as many as `large` at most
+    return leaves.unionByName(hubs.join(F.broadcast(first), "key").filter("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b")))
 
 
 def packed(sizes: list[tuple[int, int]], shards: int, capacity: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
@@ -100,7 +103,9 @@ def _started(state: DataFrame, shards: int, capacity: int) -> DataFrame:
     pieces = spark.createDataFrame(found, f"_root {kind}, _from long, _to long, shard int")
     before = Window.partitionBy("root").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
     of_large = stars.join(F.broadcast(pieces.select(F.col("_root").alias("root")).distinct()), "root", "left_semi").withColumn("_at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    of_large = of_large.join(F.broadcast(pieces), (F.col("root") == F.col("_root")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("near", "shard")
+    row = F.col("_at") + F.row_number().over(Window.partitionBy("near").orderBy("uid")) - 1  # rows, not stars, so that no shard takes more than its piece
+    of_large = state.join(of_large.drop("n"), "near").withColumn("_at", row)
+    of_large = of_large.join(F.broadcast(pieces), (F.col("root") == F.col("_root")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select("uid", "shard", "near")
     small = groups.filter(~large)
     rest = small.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if rest:
@@ -112,8 +117,8 @@ def _started(state: DataFrame, shards: int, capacity: int) -> DataFrame:
         at = F.col("_start") + F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         place = F.floor(at * F.lit(ends[-1]) / F.lit(rest))
         small = small.join(F.broadcast(starts.drop("_n")), "_b").withColumn("_p", place).select("root", F.size(F.filter(F.array(*[F.lit(x) for x in ends[:-1]]), lambda e: e <= F.col("_p"))).alias("shard"))
-        of_large = of_large.unionByName(stars.join(small, "root").select("near", "shard"))
-    return state.join(of_large, "near").select("uid", "shard", "near")
+        of_large = of_large.unionByName(state.join(stars.join(small, "root").select("near", "shard"), "near").select("uid", "shard", "near"))
+    return of_large
 
 
 def propagated(links: DataFrame, shards: int, capacity: int, rounds: int | None = None, buckets: int = 1) -> DataFrame:
@@ -188,3 +193,9 @@ def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
     """One row: how many links there are, and how many join different shards."""
     a, b = placed.select(F.col("uid").alias("a"), F.col("shard").alias("s")), placed.select(F.col("uid").alias("b"), F.col("shard").alias("t"))
     return links.join(a, "a").join(b, "b").agg(F.count(F.lit(1)).alias("links"), F.sum((F.col("s") != F.col("t")).cast("long")).alias("cut"))
+
+
+def group_spread(groups: DataFrame, placed: DataFrame, key: str = "key") -> DataFrame:
+    """By key with several rows: rows, shards, and cut: rows outside the shard that holds most of them. groups: uid and key, undealt."""
+    per = groups.filter(F.col(key).isNotNull()).join(placed.select("uid", "shard"), "uid").groupBy(key, "shard").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(key).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("shards"), (F.sum("n") - F.max("n")).alias("cut")).filter("rows > 1")

@@ -79,3 +79,14 @@ def test_groups_are_packed_whole_where_they_fit():
     for g, a, b, s in found:
         by[g].add(s)
     assert {g: len(s) for g, s in by.items()} == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1} and sum(room) == 50
+
+
+def test_groups_over_a_quarter_of_a_shard_stand_together(spark):
+    keys = [f"own {i}" for i in range(1100)] + [f"large {g}" for g in range(10) for _ in range(60)] + ["hot"] * 300  # 20 shards of 100
+    random.seed(3)
+    random.shuffle(keys)
+    nodes = spark.createDataFrame(list(enumerate(keys)), "uid long, key string").repartition(3)
+    state = sharding.propagated(sharding.equal_text_links(nodes, "key", 25), 20, 100)
+    placed = sharding.balanced(nodes.drop("key"), state, 20, 2000, ["uid"])
+    spread = {r.key: (r.rows, r.shards, r.cut) for r in sharding.group_spread(nodes, placed).collect()}
+    assert spread == {"hot": (300, 3, 200)} | {f"large {g}": (60, 1, 0) for g in range(10)}
