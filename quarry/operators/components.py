@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.storage import written
+from quarry.storage import discard, written
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of an edge (a, b); root is the smallest node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of an edge (a, b); root is the smallest node reachable. Rounds go on until one changes nothing."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     said = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = said(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
-        edges = written(small.select("u", "v"), "edges")
-        if (now := said(edges)) == before:
+        fresh = written(small.select("u", "v"), "edges")
+        discard(edges)
+        edges, now = fresh, said(fresh)
+        if now == before:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
