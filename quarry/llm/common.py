@@ -1,19 +1,32 @@
-"""What the corpus operators share: ranks without a single-task sort, bounded Arrow batches."""
+"""What the corpus operators share: ranks without a single-task sort, Arrow batches cut to a bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.storage import written
+from quarry.storage import discard, written
+
+__all__ = ["bucket_of", "discard", "ranked", "slices", "written"]
 
-__all__ = ["bounded_batches", "bucket_of", "ranked", "written"]
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of bounded rows and bytes, in order; a row of more bytes is a slice of its own.
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Keep Arrow batches small, so that a worker's memory follows neither the table nor its longest neighbours."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    What a worker builds from a slice is bounded with it, whatever batch size the session sets; that setting is left alone.
+    """
+    for batch in batches:
+        left = [batch]
+        while left:
+            b = left.pop()
+            if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+                half = b.num_rows // 2
+                left += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
 
 
 def bucket_of(*keys: Column | str, n: int) -> Column:

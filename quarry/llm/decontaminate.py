@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, written
+from quarry.llm.common import slices, written
 
 #: The contract's words, on lower-cased UTF-8: bytes of characters beyond ASCII, digits and letters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,14 +51,13 @@ def _packed(segment: int, ids: list[str | None], lengths: list[int], terms: list
 
 def index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT) -> DataFrame:
     """The index over all documents and all their words, written in the shared folder."""
-    bounded_batches(docs.sparkSession, 500, "4m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = count(TaskContext.get().partitionId() << 32)
         fresh = lambda: ([], [], defaultdict(count().__next__), [])
         ids, lengths, terms, numbers = fresh()
         total = 0
-        for b in batches:
+        for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
                 found = words(t.as_py())
                 ids.append(i)
@@ -161,7 +160,7 @@ def _search(index_: DataFrame, items: list[tuple[str | None, list[bytes]]], wind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered, wanted = sent.value
-        for b in batches:
+        for b in slices(batches, rows=1):
             for row in b.to_pylist():
                 yield _found(row, numbered, wanted, window, slop)
 

@@ -12,6 +12,7 @@ texts are; ties go to the language first in order; repeated rows are labelled ea
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -22,9 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import slices
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _class(*categories: str) -> str:
+    """The characters of the categories as ranges of a character class."""
+    marks = [c for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) in categories]
+    cuts = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1] + 1]
+    return "".join(f"{re.escape(chr(marks[a]))}-{re.escape(chr(marks[b - 1]))}" for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True))
+
+
+_MARKS, _NUMERALS = _class("Mn", "Mc", "Me"), _class("Nl", "No")
+#: Letters (categories L), with the marks (categories M) that stand among them; numerals such as fractions are none.
+_LETTER = rf"[^\W\d_{_NUMERALS}]"
+WORD = re.compile(rf"{_LETTER}+(?:[{_MARKS}]+{_LETTER}*)*")
+#: The same for texts that hold neither marks nor such numerals, which is faster to match.
+_ODD, _PLAIN = re.compile(f"[{_MARKS}{_NUMERALS}]"), re.compile(r"[^\W\d_]+")
 #: Where the ranges of code points of the scripts begin, from the Unicode block list; what lies below the first is Latin.
 RANGES = ((0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x780, "other"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3100, "other"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "other"))
 SCRIPTS = ("Latin", *dict.fromkeys(s for _, s in RANGES if s != "Latin"))
@@ -44,7 +58,8 @@ class Model(NamedTuple):
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    t = (text or "").lower()
+    return (WORD if _ODD.search(t) else _PLAIN).findall(t)
 
 
 def script_of(found: list[str]) -> np.ndarray:
@@ -73,13 +88,15 @@ def _grams(found: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST, smoothing: float = 0.2) -> Model:
-    """Learned from docs with a non-null lang, about `most` of them, drawn at random with a fixed seed."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 1000, "4m")
+    """Learned from docs with a non-null lang: about `most` of them, drawn at random with a fixed seed.
+
+    The sample is shared out evenly by language, and a language of fewer rows than its share keeps all of them, so rare ones are learned at any size.
+    """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    n = rows.count()
-    if n > most:
-        rows = rows.sample(most / n, seed=7)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a number per language
+    quota = max(1, most // max(1, len(counts)))
+    if any(n > quota for n in counts.values()):
+        rows = rows.sampleBy("lang", {x: min(1.0, quota / n) for x, n in counts.items()}, seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -97,7 +114,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
                     own[len(ORDERS) * BUCKETS + 1 :] += np.bincount(script_of(found), weight, len(SCRIPTS))
             seen.clear()
 
-        for b in batches:
+        for b in slices(batches, 1000):
             for t, lang_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[lang_].update(words(t))
             fold()
@@ -158,13 +175,11 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, penalty: f
 
 def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 9.0) -> DataFrame:
     """docs with lang_pred, score (the share of letters in that language) and spans (start and end in words, lang)."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 1000, "4m")
-    sent, place = spark.sparkContext.broadcast(tuple(model)), docs.columns.index(text)  # its size is that of the table
+    sent, place = docs.sparkSession.sparkContext.broadcast(tuple(model)), docs.columns.index(text)  # its size is that of the table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        for b in batches:
+        for b in slices(batches, 1000):
             number: dict[str, int] = defaultdict(count().__next__)
             found = [words(t) if model.langs else [] for t in b.column(place).to_pylist()]
             lengths = np.array([len(x) for x in found], np.int64)

@@ -13,6 +13,7 @@ a text round-trips unless it holds U+2581 itself, which decodes to a blank; repe
 gives an empty result; other columns are kept and may have any names but those added.
 """
 
+import heapq
 import re
 import uuid
 from array import array
@@ -26,12 +27,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches
+from quarry.llm.common import slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words kept between batches, and pairs judged; beyond, they are forgotten and computed again.
-KEPT = 400_000
+#: Words kept since the last turn-over, and pairs judged. Beyond, words not met again until the next turn-over are forgotten.
+KEPT, PAIRS = 100_000, 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -63,6 +64,8 @@ class Encoder:
         self.id = {p: i for i, p in enumerate(model.pieces) if i not in off}
         self.score = {p: model.scores[i] for p, i in self.id.items()}
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
+        order = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: order[s] for p, s in self.score.items()}
         self.ends: dict = {}  # the pieces as a trie, read from their ends; "" holds the id
         for p, i in self.id.items():
             node = self.ends
@@ -71,6 +74,7 @@ class Encoder:
             node[""] = i
         self.follows: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         alone = "" if "\n" in self.id else "\n"  # a character without a piece ends words, as no merge crosses it
         self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + "|\n" * bool(alone))
         whole = [b"" for _ in model.pieces]
@@ -84,23 +88,37 @@ class Encoder:
         return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """The merges played through: the best-scored neighbours first, the leftmost of equals."""
-        symbols, score = list(symbols), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                s = score.get(symbols[i] + symbols[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        """The merges played through: the best-scored neighbours first, the leftmost of equals.
+
+        A heap holds what may merge by rank and place, and neighbours are linked, so n symbols take n log n steps.
+        """
+        own, rank = list(symbols), self.rank
+        n = len(own)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        open_ = [r << 40 | i for i in range(n - 1) if (r := rank.get(own[i] + own[i + 1])) is not None]
+        heapq.heapify(open_)
+        while open_:
+            x = heapq.heappop(open_)
+            i = x & 0xFFFFFFFFFF
+            j = after[i]
+            if not own[i] or j >= n or rank.get(own[i] + own[j]) != x >> 40:  # one of the two has merged since
+                continue
+            own[i], own[j] = own[i] + own[j], ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(own[i] + own[k])) is not None:
+                    heapq.heappush(open_, r << 40 | i)
+            if (h := before[i]) >= 0 and (r := rank.get(own[h] + own[i])) is not None:
+                heapq.heappush(open_, r << 40 | h)
+        return [x for x in own if x]
 
     def _may_follow(self, before: int, piece: int) -> bool:
-        if len(self.follows) > KEPT:
+        """Whether the merges of both leave the piece as it is; before: the piece ahead, -1 for none, -2 - c for a character without one."""
+        if len(self.follows) > PAIRS:
             self.follows.clear()
         last = self.model.pieces[piece]
-        ahead = [self.model.pieces[before]] if before >= 0 else []
+        ahead = [self.model.pieces[before]] if before >= 0 else [chr(-2 - before)] if before < -1 else []
         found = self.follows[before << 32 | piece] = self.merged([*"".join(ahead), *last]) == [*ahead, last]
         return found
 
@@ -112,7 +130,7 @@ class Encoder:
         bpe, follows, scores, ends = self.model.kind == "bpe", self.follows, self.model.scores, self.ends
         last, came, best, before = [-1], [0], [0.0], ""
         for w in words:
-            if bpe and w.startswith(MARK * 2):  # pieces of blanks alone share one score, and then order decides
+            if bpe and w.startswith(MARK * 2):  # pieces of blanks alone share one score, and then order decides: no single piece can follow
                 yield w, [self.id[p] if p in self.id else -2 - ord(p) for p in self.merged([*w])]
                 continue
             k = 0
@@ -130,24 +148,24 @@ class Encoder:
                     j -= 1
                     if "" in node:
                         found.append((node[""], j))
-                if not found or found[0][1] != i - 1:  # no piece for the character itself
-                    last.append(-2 - ord(w[i - 1]))
-                    came.append(i - 1)
-                    best.append(best[i - 1] + self.unknown)
-                elif bpe:
-                    for x, j in reversed(found):
-                        p = last[j] if last[j] >= 0 else -1
-                        ok = follows.get(p << 32 | x)
-                        if self._may_follow(p, x) if ok is None else ok:
+                alone = bool(found) and found[0][1] == i - 1  # the character itself is a piece
+                x, j, value = -2 - ord(w[i - 1]), i - 1, best[i - 1] + self.unknown
+                if bpe:
+                    for y, at in reversed(found):
+                        p = last[at]
+                        ok = follows.get(p << 32 | y)
+                        if self._may_follow(p, y) if ok is None else ok:
+                            x, j = y, at
                             break
-                    last.append(x)
-                    came.append(j)
-                    best.append(0.0)
-                else:
-                    s, j, x = max((best[j] + scores[x], -j, x) for x, j in found)
-                    last.append(x)
-                    came.append(-j)
-                    best.append(s)
+                    else:
+                        if alone:
+                            x = found[0][0]
+                elif found:
+                    value, j, x = max([(best[at] + scores[y], -at, y) for y, at in found] + [(value, -j, x)] * (not alone))
+                    j = -j
+                last.append(x)
+                came.append(j)
+                best.append(0.0 if bpe else value)
             before, out, i = w, [], len(w)
             while i:
                 out.append(last[i])
@@ -156,11 +174,14 @@ class Encoder:
             yield w, out
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not kept yet."""
+        """Encode the words that are not kept yet; those kept before the last turn-over are taken along."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.old, self.kept = self.kept, {}
         byte_ids = self.model.byte_ids
-        for w, ids in self._sorted(sorted(words.difference(self.kept))):
+        fresh = words.difference(self.kept)
+        for w in fresh.intersection(self.old):
+            self.kept[w] = self.old[w]
+        for w, ids in self._sorted(sorted(fresh.difference(self.old))):
             if min(ids) < 0:
                 ids = [y for x in ids for y in ([x] if x >= 0 else [byte_ids[b] for b in chr(-2 - x).encode()])]
             self.kept[w] = array("i", ids).tobytes()
@@ -179,7 +200,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(at: str, sent: Broadcast) -> Encoder:
-    """The encoder of a call: a worker keeps it, with the pairs it has judged, from task to task; words go when a task ends."""
+    """The encoder of a call: a worker keeps it from task to task, with the pairs it has judged and a bounded number of words."""
     if at not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[at] = Encoder(Model(*sent.value))
@@ -188,24 +209,19 @@ def _encoder(at: str, sent: Broadcast) -> Encoder:
 
 def encode(docs: DataFrame, model: Model | None = None, text: str = "text", check: bool = True) -> DataFrame:
     """docs with token_ids, n_tokens and, with check, round_trip: whether the ids decode to the text again."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 250, "2m")
-    sent = spark.sparkContext.broadcast(tuple(model or load()))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model or load()))
     at, place = uuid.uuid4().hex, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(at, sent)
-        try:
-            for b in batches:
-                texts = b.column(place).to_pylist()
-                ids = encoder.encode_all(texts)
-                sizes = np.array([len(x) for x in ids], np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
-                more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
-        finally:
-            encoder.kept.clear()
+        for b in slices(batches, 250, 2 << 20):
+            texts = b.column(place).to_pylist()
+            ids = encoder.encode_all(texts)
+            sizes = np.array([len(x) for x in ids], np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
+            more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * check)
@@ -213,9 +229,7 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", chec
 
 def decode(encoded: DataFrame, model: Model | None = None, ids: str = "token_ids") -> DataFrame:
     """encoded with the column decoded, the text of its ids; null ids give the empty text."""
-    spark = encoded.sparkSession
-    bounded_batches(spark, 250, "2m")
-    sent = spark.sparkContext.broadcast(tuple(model or load()))
+    sent = encoded.sparkSession.sparkContext.broadcast(tuple(model or load()))
     at = uuid.uuid4().hex
 
     @F.pandas_udf("string")

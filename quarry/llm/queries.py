@@ -103,6 +103,69 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
 
+def _op6_sql() -> str:
+    """The rules, the graph, and the rounds of propagation one after another, as urls.judge makes them."""
+    low = lambda x: f"translate({x}, '{urls.UPPER}', '{urls.LOWER}')"
+    text = lambda p: "'" + p.replace("'", "''") + "'"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    pick = lambda i: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if i else v}'" for v, h, p in ordered) + " ELSE NULL END"
+    back = lambda i: f"SELECT kind, host, CAST(floor(({urls.TOTAL} - coalesce((SELECT sum(mass) FROM s{i} WHERE s{i}.kind = f.kind), 0)) * part) AS BIGINT) AS mass FROM f"
+    rounds = ["s0 AS MATERIALIZED (SELECT '' AS kind, '' AS host, CAST(0 AS BIGINT) AS mass WHERE false)"]
+    for i in range(urls.ROUNDS + 1):
+        rounds.append(f"m{i} AS MATERIALIZED (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (SELECT * FROM s{i} UNION ALL {back(i)}) GROUP BY kind, host)")
+        if i < urls.ROUNDS:
+            rounds.append(f"s{i + 1} AS MATERIALIZED (SELECT kind, \"to\" AS host, CAST(sum(CAST(floor({urls.DAMPING} * (mass * share)) AS BIGINT)) AS BIGINT) AS mass FROM w JOIN m{i} USING (kind, host) GROUP BY 1, 2)")
+    return f"""
+WITH p AS MATERIALIZED (
+    SELECT page_id, coalesce(html, '') AS h, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+),
+r AS MATERIALIZED (SELECT page_id, host, path, {pick(1)} AS rule, {pick(0)} AS said FROM p),
+hosts AS MATERIALIZED (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
+x AS MATERIALIZED (
+    SELECT host, list_distinct(list_transform(regexp_extract_all(h, {text(urls.LINK)}, 1), lambda y: {low("y")})) AS linked,
+        list_distinct(list_transform(list_filter(regexp_extract_all(h, {text(urls.NAMED)}), lambda y: contains(y, '.') AND NOT regexp_matches(y, '[@/:]')), lambda y: trim({low("y")}, '.-_'))) AS named,
+        len(list_filter(regexp_extract_all(h, {text(urls.ADDRESS)}, 1), lambda y: NOT regexp_matches(y, {text(urls.ELSEWHERE)}))) > 0 AS within
+    FROM p WHERE host <> ''
+),
+j AS (
+    SELECT host AS source, unnest(linked) AS target, 'link' AS how FROM x
+    UNION ALL SELECT host, unnest(list_filter(named, lambda y: NOT list_contains(linked, y))), 'name' FROM x UNION ALL SELECT host, host, 'own' FROM x WHERE within
+),
+k AS MATERIALIZED (SELECT source, target, how, count(*) AS pages FROM j WHERE target <> '' AND (source <> target OR how = 'own') AND (how <> 'name' OR target IN (SELECT host FROM hosts)) GROUP BY ALL),
+targets AS MATERIALIZED (SELECT target AS host, sum(pages) AS pages FROM k WHERE how = 'link' GROUP BY 1),
+known AS (SELECT host, sum(pages) AS pages, string_split(host, '.') AS l FROM (SELECT * FROM hosts UNION ALL SELECT * FROM targets) GROUP BY host),
+steps AS (
+    SELECT pages, array_to_string(l[i:], '.') AS below, array_to_string(l[i + 1 :], '.') AS above
+    FROM (SELECT pages, l, unnest(range(1, len(l))) AS i FROM known WHERE length(host) <= {urls.LONGEST} AND len(l) > 2 AND NOT list_contains(l, '') AND NOT regexp_matches(l[-1], '^[0-9]*$'))
+),
+up AS (SELECT below, above, sum(pages) AS pages FROM steps WHERE contains(above, '.') GROUP BY 1, 2),
+links AS MATERIALIZED (
+    SELECT source, target, CAST(sum(pages) AS BIGINT) AS pages
+    FROM (SELECT source, target, pages FROM k UNION ALL SELECT below, above, pages FROM up UNION ALL SELECT above, below, pages FROM up) GROUP BY 1, 2
+),
+w AS MATERIALIZED (
+    SELECT 'trust' AS kind, source AS host, target AS "to", pages / sum(pages) OVER (PARTITION BY source) AS share FROM links
+    UNION ALL SELECT 'distrust', target, source, pages / sum(pages) OVER (PARTITION BY target) FROM links
+),
+given AS (
+    SELECT host, said, 1 AS pages FROM r WHERE host <> '' AND rule IS NOT NULL
+    UNION ALL SELECT host, {pick(0)}, pages FROM (SELECT *, '/' AS path FROM targets WHERE host NOT IN (SELECT host FROM hosts)) WHERE {pick(0)} IS NOT NULL
+),
+seeds AS (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, sum(pages) AS n FROM given GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS part FROM seeds),
+{", ".join(rounds)},
+masses AS (
+    SELECT host, CAST(sum(CASE kind WHEN 'trust' THEN mass ELSE 0 END) AS BIGINT) AS trust, CAST(sum(CASE kind WHEN 'distrust' THEN mass ELSE 0 END) AS BIGINT) AS distrust FROM m{urls.ROUNDS} GROUP BY host
+),
+judged AS (SELECT host, trust, distrust, distrust > trust AS bad FROM hosts JOIN masses USING (host))
+SELECT page_id, r.host, path, rule, CASE WHEN rule IS NOT NULL THEN said WHEN bad THEN 'block' ELSE 'allow' END AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM r LEFT JOIN judged ON r.host = judged.host
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 OP7_SQL = r"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -167,4 +230,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_secret_scan": OP8_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_secret_scan": OP8_SQL}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, bucket_of, written
+from quarry.llm.common import bucket_of, slices, written
 from quarry.operators.components import components
 
 BITS = 31
@@ -50,10 +50,9 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row per document: id, fingerprint as a signed long."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2000, 16 << 20):
             texts = b.column(1).cast(pa.binary() if b.column(1).type == pa.string() else pa.large_binary())
             prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["id", "fingerprint"])
@@ -136,7 +135,6 @@ def _within(members: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
 def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between different fingerprints, as many as keep linked ones connected."""
     assert threshold <= 3, "halves differ in one bit only where the whole differs in three at most"
-    bounded_batches(classes.sparkSession, 20_000)
     placed = _placed(classes)
     hot = placed.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("k"))
     hot = written(hot, "simhash-hot")

@@ -1,113 +1,21 @@
-"""Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merging of lists.
+"""Exact top-k search of integer vectors by tiled matrix products, partial selection per tile and tree merging.
 
-Vectors are packed into tiles, each one row of a written table. Each tile's queries meet every tile, pair by pair, as the rows
-of a join on tile numbers; a task holds one pair and a block of its product at a time. Of each product the k best columns
-per query are selected; the lists of a query are merged some tiles at a time, so no task gathers all of them.
+The products are those of quarry.operators.products, whose tiles hold longs here, so scores are exact where they fit a long.
+Vectors come in as whole numbers, as `scaled` makes them of real ones.
 
-Defined results: rows without an id and vectors that are null or hold null or non-finite components take no part; vectors meet only those of their own
-length; ties go to the smaller id; repeated rows are vectors of their own, and a query leaves out its own row only; with fewer
-than k candidates all are returned; an empty table gives an empty result. Products are exact where scores fit a long.
+Defined results: rows without an id and vectors that are null or hold null or non-finite components take no part; vectors meet only
+those of their own length; ties go to the smaller id; repeated rows are vectors of their own, and a query leaves out its own row
+only; with fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, written
-
-TILE = 8192
-#: Queries multiplied at a time: a block of the product has so many rows, and a tile's vectors as columns.
-ROWS = 256
-FAN = 16
-EXACT = float(2**53)
-
-
-def tiles(vectors: DataFrame, id: str, vector: str, query: Column, size: int = TILE) -> DataFrame:
-    """One row per tile and length: tile, dim, ids, is_query and the matrix, all binary; written. vector: array<bigint>."""
-    spark = vectors.sparkSession
-    bounded_batches(spark, size, "64m")
-    known = F.coalesce(~F.exists(vector, lambda x: x.isNull()), F.lit(False))
-    rows = vectors.filter(known & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("is_query"), F.col(vector).alias("vector"))
-    n = rows.count()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 24
-        for b in batches:
-            dims = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            flat, ids, asks = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            starts = np.cumsum(dims) - dims
-            for dim in np.unique(dims).tolist():
-                row = np.flatnonzero(dims == dim)
-                row = row[np.argsort(ids[row], kind="stable")]  # the order in which ties go
-                m = flat[starts[row][:, None] + np.arange(dim)] if dim else np.zeros((len(row), 0), np.int64)
-                yield pa.RecordBatch.from_pylist([{"tile": at, "dim": dim, "ids": ids[row].astype("<i8").tobytes(), "is_query": asks[row].astype("u1").tobytes(), "matrix": m.astype("<i8").tobytes()}])
-                at += 1
-
-    dealt = rows.repartition(max(1, -(-n // size)))
-    packed = written(dealt.mapInArrow(run, "tile long, dim long, ids binary, is_query binary, matrix binary"), "tiles")
-    numbered = packed.select("tile", (F.row_number().over(Window.orderBy("tile")) - 1).cast("int").alias("number"))  # as many rows as tiles
-    return written(packed.join(numbered, "tile").select("number", "dim", "ids", "is_query", "matrix"), "tiles")
-
-
-def _best(q: np.ndarray, c: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, column, score) of each query's k best columns; own: each query's own column, or -1; columns are in tie order."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    exact = most < EXACT
-    score = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if exact else q @ c.T
-    n = c.shape[0]
-    real = np.ones(score.shape, bool)
-    has = np.flatnonzero(own >= 0)
-    real[has, own[has]] = False
-    if most * n < 2**61:
-        key = np.where(real, score * n + (n - 1 - np.arange(n)), np.iinfo(np.int64).min)
-        take = min(k, n)
-        cols = np.argpartition(key, n - take, axis=1)[:, n - take :]
-    else:
-        cols = np.stack([np.lexsort((np.arange(n), -s.astype(object), ~r)) for s, r in zip(score, real, strict=True)])[:, :k]
-    rows = np.repeat(np.arange(len(q)), cols.shape[1])
-    cols = cols.ravel()
-    keep = real[rows, cols]
-    return rows[keep], cols[keep], score[rows, cols][keep]
-
-
-def search(vectors: DataFrame, id: str, vector: str, query: Column, k: int = 20, size: int = TILE, fan: int = FAN) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row where `query` holds, the k other rows of the highest inner product."""
-    spark = vectors.sparkSession
-    packed = tiles(vectors, id, vector, query, size)
-    n = packed.count()
-    bounded_batches(spark, 1, "64m")
-    asking = packed.select(F.col("number").alias("asking"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("is_query").alias("q_is"), F.col("matrix").alias("q_matrix"))
-    asking = asking.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    pairs = asking.join(packed.drop("is_query"), "number").filter("q_dim = dim").select("asking", "number", "dim", "q_ids", "q_is", "q_matrix", "ids", "matrix")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                at = np.flatnonzero(np.frombuffer(r["q_is"], "u1"))
-                q, c = np.frombuffer(r["q_matrix"], "<i8").reshape(len(q_ids), dim)[at], np.frombuffer(r["matrix"], "<i8").reshape(len(ids), dim)
-                for i in range(0, len(at), ROWS):
-                    block = at[i : i + ROWS]
-                    own = block if r["asking"] == r["number"] else np.full(len(block), -1)
-                    row, col, score = _best(q[i : i + ROWS], c, k, own)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(row), r["asking"], np.int32), np.full(len(row), r["number"], np.int32), block[row].astype(np.int32), q_ids[block[row]], ids[col], score)], names=["asking", "number", "at", "query_id", "vec_id", "score"])
+from quarry.operators.products import search, tiles
 
-    lists = pairs.mapInArrow(run, "asking int, number int, at int, query_id long, vec_id long, score long")
-    best = lambda x: F.slice(F.array_sort(x), 1, k)
-    entry = F.struct((-F.col("score").cast("decimal(20,0)")).alias("o"), "vec_id", "score")
-    merged = lists.groupBy("asking", "at", "query_id", (F.col("number") / fan).cast("int").alias("number")).agg(best(F.collect_list(entry)).alias("top"))
-    groups = -(-n // fan)
-    while groups > 1:
-        merged = merged.groupBy("asking", "at", "query_id", (F.col("number") / fan).cast("int").alias("number")).agg(best(F.flatten(F.collect_list("top"))).alias("top"))
-        groups = -(-groups // fan)
-    return merged.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+__all__ = ["scaled", "search", "tiles"]
 
 
 def scaled(vector: Column, by: int = 64) -> Column:
