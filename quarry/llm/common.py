@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,19 +34,21 @@ def bucket_of(*keys: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, name: str = "rank") -> DataFrame:
-    """Gapless ranks from 0 within `by`, made without one task per group.
+def ranked(df: DataFrame, by: list[str], keys: list[str], tie: list[str], n: int, name: str = "rank", lead: list[Column] | None = None) -> DataFrame:
+    """Gapless ranks from 0 within `by`, made without one task per group: by `lead`, then the hash of `keys`, `keys` and `tie`.
 
-    `bucket` splits each group; buckets are numbered one after the other and rows within a bucket by `order`.
-    Only counts per (by, bucket) meet in a window, and a row is sorted with its bucket alone. `by` columns hold no nulls.
+    Rows are split by the first bits of that hash into `n` buckets or more, so their order is the same for any n. Only counts per
+    (by, lead, bucket) meet in a window, and a row is sorted with its bucket alone. `by` and `lead` hold no nulls.
     """
-    df = df.withColumn("_b", bucket)
-    counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
-    on = F.col("_b") == F.col("_bb")
-    for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return within.join(starts, on).withColumn(name, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_b", "_bb", "_r", "_start", *[f"_{c}" for c in by])
-
+    lead = [F.lit(0)] if lead is None else lead
+    bits = max(0, n - 1).bit_length()
+    hash_ = F.xxhash64(*keys)
+    df = df.withColumns({"_h": hash_.bitwiseXOR(F.lit(-(2**63)).cast("long")), "_b": F.shiftrightunsigned(hash_, 64 - bits) if bits else F.lit(0).cast("long"), **{f"_l{i}": x for i, x in enumerate(lead)}})
+    first = [f"_l{i}" for i in range(len(lead))]
+    counts = df.groupBy(*by, *first, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy(*first, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    renamed = {c: f"_s{i}" for i, c in enumerate([*by, *first, "_b"])}
+    starts = counts.select(*[F.col(c).alias(x) for c, x in renamed.items()], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, *first, "_b").orderBy("_h", *keys, *tie)))
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(x) for c, x in renamed.items()])
+    return within.join(starts, on).withColumn(name, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_h", "_b", "_r", "_start", *first, *renamed.values())

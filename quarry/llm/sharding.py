@@ -6,13 +6,15 @@ neighbours, and it asks to move to the one that holds most of them, if that is m
 counted by pair of shards, and a shard admits what its capacity leaves room for and as many as leave it in the same round.
 The first two rounds look along links in one direction each, which gathers stars at once; later rounds look at all neighbours
 and let a half of the documents move, dealt anew each time, so that neighbours do not swap. Rounds go on until few rows move.
+Among those that ask, the larger gain goes first, then a hash of the smallest neighbour decides, which is the same at every size.
 Documents without links fill up what is left, until counts differ by one at most (the law `rows`).
 
 Equal texts are linked as stars around their smallest member. A group larger than a quarter of a shard is dealt into several
 stars, so that no key holds more than a bounded share of the rows, and their hubs are linked, so that the group stands together:
 in one shard where it fits, else in as few as hold it, if others leave room.
 
-Defined results: null texts have no bytes and no links; ids may be null or repeat, each row is placed; ties go to the
+Defined results: shards depend on ids and texts alone, not on the order of rows or files; null texts have no bytes and no links; ids
+may be null or repeat, each row is placed; ties go to the
 smaller shard; with fewer rows than shards some shards are empty; an empty table gives an empty result.
 """
 
@@ -23,7 +25,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, ranked, written
+from quarry.llm.common import bucket_of, discard, ranked, written
 
 #: Rows that one task sorts when ranks are made.
 PER_BUCKET = 50_000
@@ -131,7 +133,9 @@ def propagated(links: DataFrame, shards: int, capacity: int, rounds: int | None
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = written(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.col("a")).alias("near")), "shard-near")
     linked = state.count()
-    state = written(_started(state, shards, capacity), "shard-state")
+    near = state
+    state = written(_started(near, shards, capacity), "shard-state")
+    discard(near)
     still = 0
     for i in count() if rounds is None else range(rounds):
         down, up = links.select(F.col("a").alias("uid"), F.col("b").alias("by")), links.select(F.col("b").alias("uid"), F.col("a").alias("by"))
@@ -148,10 +152,12 @@ def propagated(links: DataFrame, shards: int, capacity: int, rounds: int | None
             moved = sum(made.values())
         if moved:
             most = F.broadcast(spark.createDataFrame([(*k, n) for k, n in made.items()], "_s int, _t int, most long"))
-            moves = ranked(asked, ["shard", "to"], [F.desc("gain"), F.col("near"), F.col("uid")], bucket_of("near", n=buckets))
+            moves = ranked(asked, ["shard", "to"], ["near"], ["uid"], buckets, lead=[-F.col("gain")])
             moves = moves.join(most, (F.col("shard") == F.col("_s")) & (F.col("to") == F.col("_t"))).filter(F.col("rank") < F.col("most"))
             moves = written(moves.select("uid", "to"), "shard-moves")
-            state = written(state.join(moves, "uid", "left").select("uid", F.coalesce("to", "shard").alias("shard"), "near"), "shard-state")
+            before, state = state, written(state.join(moves, "uid", "left").select("uid", F.coalesce("to", "shard").alias("shard"), "near"), "shard-state")
+            discard(before, moves)
+        discard(asked)
         still = still + 1 if moved <= (0 if rounds is not None else linked * i // 2000) else 0
         if still == 2:
             break
@@ -162,7 +168,7 @@ def balanced(nodes: DataFrame, state: DataFrame, shards: int, total: int, order:
     """nodes with shard: linked rows keep theirs up to its size, all others fill the gaps. Sizes differ by one at most."""
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     per = max(1, -(-total // shards // PER_BUCKET))
-    linked = ranked(state, ["shard"], [F.col("near"), F.col("uid")], bucket_of("near", n=per))
+    linked = ranked(state, ["shard"], ["near"], ["uid"], per)
     size = F.array(*[F.lit(x) for x in sizes])
     stays = written(linked.filter(F.col("rank") < F.get(size, F.col("shard"))).select("uid", "shard"), "shard-stays")
     kept = {r["shard"]: r["count"] for r in stays.groupBy("shard").count().collect()}  # a number per shard
@@ -171,7 +177,7 @@ def balanced(nodes: DataFrame, state: DataFrame, shards: int, total: int, order:
         at += sizes[s] - kept.get(s, 0)
         ends.append(at)
     pool = nodes.join(stays, "uid", "left_anti")
-    dealt = ranked(pool, [], [F.col(c) for c in order], bucket_of(*order, n=max(1, -(-total // PER_BUCKET))))
+    dealt = ranked(pool, [], order, [], max(1, -(-total // PER_BUCKET)))
     placed = dealt.withColumn("shard", F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda e: e <= F.col("rank")))).select("uid", "shard")
     return nodes.join(stays.unionByName(placed), "uid")
 
@@ -179,14 +185,17 @@ def balanced(nodes: DataFrame, state: DataFrame, shards: int, total: int, order:
 def assign(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes and 16), text_crc32, shard, slot (gapless in its shard, from 0)."""
     t = F.col(text)
-    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("key"))
-    nodes = written(own, "shard-nodes")
-    total = nodes.count()
+    own = docs.select(F.col(id), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("key"))
+    own = written(own, "shard-rows")
+    total = own.count()
     per = max(1, -(-total // shards // PER_BUCKET))
+    # a number by id and text, which does not depend on files: rows equal in both may change places
+    nodes = written(ranked(own, [], [id, "key"], [], max(1, -(-total // PER_BUCKET)), "uid"), "shard-nodes")
     links = written(equal_text_links(nodes, "key", max(2, total // (4 * shards))), "shard-links")
     state = propagated(links, shards, total // shards, rounds, per)
     placed = written(balanced(nodes.drop("key"), state, shards, total, [id, "uid"]), "shard-placed")
-    return ranked(placed, ["shard"], [F.col(id), F.col("uid")], bucket_of(id, "uid", n=per), "slot").select(id, "size", "text_crc32", "shard", "slot")
+    discard(own, nodes, links, state)
+    return ranked(placed, ["shard"], [id, "uid"], [], per, "slot").select(id, "size", "text_crc32", "shard", "slot")
 
 
 def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, slices, written
+from quarry.llm.common import bucket_of, discard, slices, written
 from quarry.operators.components import components
 
 BITS = 31
@@ -28,17 +28,25 @@ BITS = 31
 BLOCK = 8192
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+def shingles(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; a text of fewer words is one shingle, one without words has none."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n, h = len(found) - words + 1, xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 255 * 256):
         part = hashes[i : i + 255 * 256]
@@ -48,6 +56,17 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    return majority(shingles(text, words, seed))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, from those at hand."""
+    x = hashes ^ (hashes >> np.uint64(31))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row per document: id, fingerprint as a signed long."""
 
@@ -70,11 +89,11 @@ def _flips() -> np.ndarray:
     return table
 
 
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, row) for both halves of each fingerprint."""
+def anchors(prints: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, row) for both halves of each fingerprint; halves are numbered from `first`."""
     out, rows, flips = [], [], _flips()
-    for half in (0, 1):
-        word = (prints >> np.uint64(32 * half)) & np.uint64(2**BITS - 1)
+    for half in (first, first + 1):
+        word = (prints >> np.uint64(32 * (half - first))) & np.uint64(2**BITS - 1)
         syndrome = np.zeros(len(word), np.int64)
         for i in range(BITS):
             syndrome ^= ((word >> np.uint64(i)) & np.uint64(1)).astype(np.int64) * (i + 1)
@@ -132,27 +151,53 @@ def _within(members: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
             yield from zip(left[a[keep]].tolist(), right[b[keep]].tolist(), strict=True)
 
 
-def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between different fingerprints, as many as keep linked ones connected."""
-    assert threshold <= 3, "halves differ in one bit only where the whole differs in three at most"
-    placed = _placed(classes)
+def _dealt(placed: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """placed with part: members of an anchor with more than `block` of them meet in pairs of blocks, each a part of its own."""
     hot = placed.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("k"))
     hot = written(hot, "simhash-hot")
     if hot.isEmpty():
-        placed = placed.withColumn("part", F.lit(0))
-    else:  # each member meets each block of its anchor: pairs of blocks are dealt out, not the anchor as a whole
-        placed = placed.join(hot, placed["anchor"] == hot["hot"], "left").withColumn("own", F.when(F.col("k").isNull(), 0).otherwise(bucket_of("fingerprint", n=1 << 20) % F.col("k")))
-        k, own = F.coalesce("k", F.lit(1)), F.col("own").cast("int")
-        both = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
-        placed = placed.select("anchor", "fingerprint", F.explode(both).alias("part"))
+        return placed.withColumn("part", F.lit(0))
+    placed = placed.join(hot, placed["anchor"] == hot["hot"], "left").withColumn("own", F.when(F.col("k").isNull(), 0).otherwise(bucket_of(*columns, n=1 << 20) % F.col("k")))
+    k, own = F.coalesce("k", F.lit(1)), F.col("own").cast("int")
+    both = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
+    return placed.select("anchor", *columns, F.explode(both).alias("part"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, values) of whole groups, from rows sorted by their two key columns; what a batch cuts off waits for the next."""
+    left = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)], axis=1)
+        value = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(2, b.num_columns)], axis=1)
+        if left is not None:
+            key, value = np.concatenate([left[0], key]), np.concatenate([left[1], value])
+        same = np.flatnonzero(np.any(key != key[-1], axis=1))
+        done = same[-1] + 1 if len(same) else 0  # the last group may go on
+        left = key[done:], value[done:]
+        if done:
+            yield key[:done], value[:done]
+    if left is not None:
+        yield left
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, left = _Forest(), None
 
-        def compare(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            starts = np.concatenate([[0], cut])
-            sizes = np.diff(np.concatenate([starts, [len(prints)]]))
+def _cut(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of equal keys start, and how many rows each has."""
+    starts = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(key)]]))
+
+
+def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between different fingerprints, as many as keep linked ones connected."""
+    assert threshold <= 3, "halves differ in one bit only where the whole differs in three at most"
+    placed = _dealt(_placed(classes), ["fingerprint"], block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for key, value in _groups(batches):
+            prints = value[:, 0]
+            starts, sizes = _cut(key)
             found = []
             for size in range(2, 9):  # small groups together, by size
                 if len(at := starts[sizes == size]):
@@ -165,22 +210,7 @@ def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFra
             for at, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
                 kept += [x for x in _within(prints[at : at + size], threshold) if forest.joins(*x)]
             both = np.array(kept, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)], axis=1)
-            prints = b.column(2).to_numpy().view(np.uint64)
-            if left is not None:
-                key, prints = np.concatenate([left[0], key]), np.concatenate([left[1], prints])
-            same = np.flatnonzero(np.any(key != key[-1], axis=1))
-            done = same[-1] + 1 if len(same) else 0  # the last group may go on
-            left = key[done:], prints[done:]
-            if done:
-                yield compare(key[:done], prints[:done])
-        if left is not None:
-            yield compare(*left)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     dealt = placed.select("anchor", "part", "fingerprint").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -196,6 +226,122 @@ def near_duplicates(prints: DataFrame, threshold: int = 3) -> DataFrame:
     return written(labelled.join(first, "root").select("fingerprint", "n_docs", "component_id"), "components")
 
 
+#: Near copies are compared by PRINTS fingerprints of 64 bits over shingles of SHORT words, where they differ in WIDE bits at most.
+#: The pairs of words that copies of similarity 0.8 do not share leave about 11 of 128 bits different, with a deviation of 3.
+PRINTS, SHORT, WIDE = 2, 2, 30
+SENT_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most_rows: int = SENT_ROWS) -> DataFrame:
+    """df, written, marked to be broadcast where it holds no more than most_rows rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def several_prints(docs: DataFrame, id: str, text: str = "text", words: int = SHORT) -> DataFrame:
+    """One row per document: id and PRINTS fingerprints p0, p1, all of the same shingles under different hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000, 16 << 20):
+            prints = np.zeros((b.num_rows, PRINTS), np.uint64)
+            for i, t in enumerate(b.column(1).cast(pa.large_binary())):
+                hashes = shingles(t.as_py(), words)
+                for k in range(PRINTS):
+                    prints[i, k] = majority(hashes)
+                    hashes = _mixed(hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS))], names=["id", "p0", "p1"])
+
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, p0 long, p1 long")
+
+
+def _wide_pairs(classes: DataFrame, most: int, block: int) -> DataFrame:
+    """Pairs of classes (a0, a1, b0, b1) that meet at an anchor of any half and differ in `most` bits of all, as many as join those that do."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5000):
+            prints = [b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(PRINTS)]
+            for k in range(PRINTS):
+                at, row = anchors(prints[k], 2 * k)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *(pa.array(x[row].view(np.int64)) for x in prints)], names=["anchor", "p0", "p1"])
+
+    placed = _dealt(classes.select("p0", "p1").mapInArrow(place, "anchor long, p0 long, p1 long"), ["p0", "p1"], block)
+
+    def closest(members: np.ndarray) -> np.ndarray:
+        """Of the pairs near enough, closest first, those that join what none before has joined."""
+        forest, kept, step = _Forest(), [], 512
+        for i in range(0, len(members), step):
+            for j in range(i, len(members), step):
+                left, right = members[i : i + step], members[j : j + step]
+                apart = np.bitwise_count(left[:, None] ^ right[None, :]).sum(axis=2, dtype=np.uint16)
+                a, b = np.nonzero(apart <= most)
+                order = np.argsort(apart[a, b], kind="stable")
+                a, b = a[order] + i, b[order] + j
+                keep = a < b
+                kept += [x for x in zip(a[keep].tolist(), b[keep].tolist(), strict=True) if forest.joins(*x)]
+        return np.array(kept, np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, value in _groups(batches):
+            starts, sizes = _cut(key)
+            found = []
+            at = starts[sizes == 2]
+            near = np.bitwise_count(value[at] ^ value[at + 1]).sum(axis=1) <= most
+            found.append(np.stack([at[near], at[near] + 1], axis=1))
+            for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                found.append(closest(value[at : at + size]) + at)
+            a, b = (value[x].view(np.int64) for x in np.concatenate(found).T)
+            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+            a[swap], b[swap] = b[swap], a[swap].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[:, 0].copy(), a[:, 1].copy(), b[:, 0].copy(), b[:, 1].copy())], names=["a0", "a1", "b0", "b1"])
+
+    dealt = placed.select("anchor", "part", "p0", "p1").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long").distinct()
+
+
+def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, least: float = 0.8, most: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """(id, group) for every document, written: groups are linked by a Jaccard similarity of `least` or more of their sets of shingles of `words` words.
+
+    id: unique, of any type with an order; group is the least id of the group. Two documents are compared where one of their four half
+    fingerprints meets at an anchor, so whether a pair is seen is a matter of chance, of over 0.9 at the least similarity and higher for
+    closer ones; what is seen is confirmed exactly on the whole texts. Among the members of an anchor the closest pairs that join what
+    none has joined are confirmed, so a large group sends about as many pairs as it has members. Documents equal in all fingerprints are one class; those without words are one, too.
+    """
+    prints = written(several_prints(docs, id, text), "copies-prints")
+    classes = written(prints.groupBy("p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-classes")
+    pairs = written(_wide_pairs(classes, most, block), "copies-pairs")
+    ends = pairs.select(F.col("a0").alias("p0"), F.col("a1").alias("p1")).union(pairs.select("b0", "b1")).distinct()
+    chosen = written(classes.join(ends, ["p0", "p1"]).select("p0", "p1", "first"), "copies-chosen")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["p0", "p1", "set"])
+
+    said = docs.select(F.col(id).alias("first"), F.col(text).cast("string").alias("text"))
+    sets = written(said.join(bounded(chosen), "first").select("p0", "p1", "text").mapInArrow(run, "p0 long, p1 long, set binary"), "copies-sets")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keep = []
+            for x, y in zip(b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            yield b.select(["a0", "a1", "b0", "b1"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda x: sets.select(F.col("p0").alias(f"{x}0"), F.col("p1").alias(f"{x}1"), F.col("set").alias(f"set_{x}"))
+    both = pairs.join(of("a"), ["a0", "a1"]).join(of("b"), ["b0", "b1"]).select("a0", "a1", "b0", "b1", "set_a", "set_b")
+    node = lambda x: F.concat(as_hex(f"{x}0"), as_hex(f"{x}1"))
+    linked = written(both.mapInArrow(confirm, "a0 long, a1 long, b0 long, b1 long").select(node("a").alias("a"), node("b").alias("b")), "copies-links")
+    roots = written(components(linked), "copies-roots")
+    named = classes.withColumn("node", F.concat(as_hex("p0"), as_hex("p1"))).join(bounded(roots), "node", "left").select("p0", "p1", "first", "n", F.coalesce("root", "node").alias("root"))
+    named = written(named, "copies-named")
+    several = written(named.groupBy("root").agg(F.min("first").alias("group"), F.sum("n").alias("rows")).filter("rows > 1"), "copies-groups")
+    of_class = written(named.join(bounded(several), "root").select("p0", "p1", "group"), "copies-of-class")
+    done = written(prints.join(bounded(of_class), ["p0", "p1"], "left").select("id", F.coalesce("group", "id").alias("group")), "copies")
+    discard(prints, classes, pairs, chosen, sets, linked, roots, named, several, of_class)
+    return done
+
+
 def as_hex(fingerprint: str = "fingerprint") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fingerprint)), 16, "0"))
 

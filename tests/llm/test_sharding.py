@@ -1,7 +1,10 @@
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from quarry.llm import queries, sharding
 
 
@@ -90,3 +93,60 @@ def test_groups_over_a_quarter_of_a_shard_stand_together(spark):
     placed = sharding.balanced(nodes.drop("key"), state, 20, 2000, ["uid"])
     spread = {r.key: (r.rows, r.shards, r.cut) for r in sharding.group_spread(nodes, placed).collect()}
     assert spread == {"hot": (300, 3, 200)} | {f"large {g}": (60, 1, 0) for g in range(10)}
+
+
+def hashed(*values):
+    """Spark's xxhash64 over longs and ints, unsigned."""
+    h = 42
+    for v, kind in values:
+        h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+    return h
+
+
+def simulated(links, start, shards, capacity, rounds):
+    """The rounds of propagation in plain Python; start: uid to (shard, near)."""
+    state = {u: s for u, (s, _) in start.items()}
+    near = {u: n for u, (_, n) in start.items()}
+    still = 0
+    for i in range(rounds):
+        ways = [(a, b) for a, b in links] if i == 0 else [(b, a) for a, b in links] if i == 1 else [(a, b) for a, b in [*links, *((y, x) for x, y in links)] if hashed((a, "<q"), (i, "<i")) % 2 ** 64 % 2 == 0]
+        votes = defaultdict(Counter)
+        for u, by in ways:
+            votes[u][state[by]] += 1
+        asked = []
+        for u, v in votes.items():
+            best = max(v, key=lambda s: (v[s], -s))
+            if v[best] > v[state[u]]:
+                asked.append((state[u], best, v[best] - v[state[u]], u))
+        pairs = Counter((s, t) for s, t, _, _ in asked)
+        full = Counter(state.values())
+        made = sharding.admitted(dict(pairs), [full[s] for s in range(shards)], capacity) if pairs else {}
+        for (s, t), n in made.items():
+            own = sorted((x for x in asked if x[:2] == (s, t)), key=lambda x: (-x[2], hashed((near[x[3]], "<q")), near[x[3]], x[3]))
+            for x in own[:n]:
+                state[x[3]] = t
+        still = still + 1 if sum(made.values()) <= 0 else 0
+        if still == 2:
+            break
+    return state
+
+
+def test_propagation_equals_a_plain_simulation(spark):
+    random.seed(21)
+    links = sorted({(max(p), min(p)) for _ in range(900) for p in [random.sample(range(400), 2)]})
+    df = spark.createDataFrame(links, "a long, b long")
+    near = defaultdict(lambda: 10**9)
+    for a, b in links:
+        near[a], near[b] = min(near[a], b, a), min(near[b], a, b)
+    start = sharding._started(spark.createDataFrame(sorted(near.items()), "uid long, near long"), 5, 90)
+    start = {r.uid: (r.shard, r.near) for r in start.collect()}
+    want = simulated(links, start, 5, 90, 6)
+    for buckets in (1, 8):
+        assert {r.uid: r.shard for r in sharding.propagated(df, 5, 90, rounds=6, buckets=buckets).collect()} == want
+
+
+def test_shards_do_not_depend_on_files(spark, tmp_path):
+    rows = table(spark, tmp_path)
+    spark.createDataFrame([(*r, "x", 0) for r in reversed(rows)], "doc_id long, text string, shard string, size int").repartition(2).write.parquet(f"{tmp_path}/other/documents.parquet")
+    one, other = ([tuple(r) for r in queries.op1_balanced_shards(spark, p).collect()] for p in (str(tmp_path), f"{tmp_path}/other"))
+    assert sorted(one, key=str) == sorted(other, key=str)

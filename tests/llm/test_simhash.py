@@ -72,3 +72,37 @@ def test_large_groups_are_dealt_in_blocks(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op9_simhash_near_dedup(spark, str(tmp_path)).count() == 0
+
+
+def jaccard5(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_are_found_and_others_left_alone(spark):
+    random.seed(11)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    base = [random.choices(vocabulary, k=random.randint(120, 400)) for _ in range(120)]
+    texts, planted = [" ".join(w) for w in base], []
+    for n, w in enumerate(base):
+        w = list(w)
+        for _ in range(max(1, len(w) // 60) if n < 80 else len(w) // 8):
+            w[random.randrange(len(w))] = random.choice(vocabulary)
+        planted.append((n, len(texts)))
+        texts.append(" ".join(w))
+    hub = random.choices(vocabulary, k=300)
+    first = len(texts)
+    for i in range(700):  # a large group of near copies, more than one block of comparisons
+        w = list(hub)
+        w[i % 300] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += ["", None, "one two", "ONE  two", texts[0].upper()]
+    rows = list(enumerate(texts))
+    found = {r.id: r.group for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", block=128).collect()}
+    close = [(a, b) for a, b in planted if jaccard5(texts[a], texts[b]) >= 0.8]
+    assert len(close) > 60 and sum(found[a] == found[b] for a, b in close) >= 0.95 * len(close)
+    assert all(found[b] == b for a, b in planted if jaccard5(texts[a], texts[b]) < 0.8)
+    assert {found[first + i] for i in range(700)} == {first}
+    n = len(texts)
+    assert found[n - 1] == 0 and found[n - 2] == found[n - 3] == n - 3 and found[n - 4] == found[n - 5] == n - 5
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
