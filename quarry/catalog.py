@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import metrics, sequences, sets, states, texts
+from quarry.plans import dialogues, metrics, sequences, sets, states, texts
 
-PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states)
+PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states, dialogues)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
