@@ -123,12 +123,15 @@ def _best(q: np.ndarray, c: np.ndarray, k: int, own: np.ndarray, digits: int) ->
     return rows[keep], cols[keep], found[keep]
 
 
-def search(vectors: DataFrame, id: str, vector: str, query: Column, k: int = 20, size: int = TILE, fan: int = FAN, digits: int = 12, most_sent: int = SENT) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row where `query` holds, the k other rows of the highest inner product."""
+def search(vectors: DataFrame, id: str, vector: str, query: Column, k: int = 20, size: int = TILE, fan: int = FAN, digits: int = 12, most_sent: int = SENT, items: DataFrame | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row where `query` holds, the k other rows of the highest inner product, or those of `items`, which has the same columns."""
     element = vectors.schema[vector].dataType.elementType.simpleString()
     kind, score_type = TYPES[element], {"bigint": "long", "double": "double"}[element]
     packed = tiles(vectors, id, vector, query, size)
-    asks = asking(packed, kind, size)
+    asks, apart = asking(packed, kind, size), items is not None
+    if apart:
+        discard(packed)
+        packed = tiles(items, id, vector, F.lit(False), size)
     n = packed.count()
     weight = asks.agg(F.sum(F.octet_length("q_matrix") + 2 * F.octet_length("q_ids"))).first()[0] or 0
     columns = ["asking", "number", "dim", "q_ids", "q_number", "q_at", "q_matrix", "ids", "matrix"]
@@ -147,7 +150,7 @@ def search(vectors: DataFrame, id: str, vector: str, query: Column, k: int = 20,
                 q, c = np.frombuffer(r["q_matrix"], kind).reshape(len(q_ids), r["dim"]), np.frombuffer(r["matrix"], kind).reshape(len(ids), r["dim"])
                 for j in range(0, len(q), ROWS):
                     part = slice(j, j + ROWS)
-                    row, col, score = _best(q[part], c, k, np.where(home[part] == r["number"], at[part], -1), digits)
+                    row, col, score = _best(q[part], c, k, np.where((home[part] == r["number"]) & (not apart), at[part], -1), digits)
                     row = row + j
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x) for x in (home[row], at[row], q_ids[row], np.full(len(row), r["number"], np.int32), ids[col], score)], names=["home", "at", "query_id", "number", "vec_id", "score"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.components import components
-from quarry.operators.sequences import top_per_group
+from quarry.operators.products import search
 from quarry.storage import written
 
 
@@ -22,24 +22,41 @@ def classes(rows: DataFrame, id: str, claim: str, group: Sequence[str] = ()) ->
     return rows.filter(F.col(claim) != "").groupBy(*group, F.sha2(claim, 256).alias("sha")).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def similar_pairs(reps: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float, least: int) -> DataFrame:
-    """(group, a, b, jaccard), a < b: all pairs of sets of `least` tokens or more within a group at the threshold.
+def _dealt(prefix: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """prefix with part: rows of a key that over `block` rows share meet in pairs of blocks, each pair a part of its own."""
+    hot = written(prefix.groupBy(*keys).count().filter(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("_k")), "token-hot")
+    if hot.isEmpty():
+        return prefix.withColumn("part", F.lit(0))
+    k = F.coalesce("_k", F.lit(1))
+    own = F.pmod(F.xxhash64("id"), k).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
+    return prefix.join(F.broadcast(hot), list(keys), "left").withColumn("part", F.explode(parts)).drop("_k")  # hot: one row in `block` rows at most
+
+
+def similar_pairs(reps: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float, least: int, block: int = 4096, most_sent: int = 1_000_000) -> DataFrame:
+    """(group, a, b, jaccard), a < b: all pairs of sets of `least` tokens or more within a group at the threshold. Tokens are compared by 64-bit hashes.
 
     Prefix filter: with tokens in order of rarity, two sets this similar share one of their n - ceil(threshold * n) + 1 rarest.
-    Only those are joined, lengths cut what cannot reach the threshold, and the sets that meet are compared exactly.
+    Only those are joined; lengths, and what is left behind the places at which a token stands, cut pairs that cannot reach the
+    threshold; sets that remain are compared exactly. Tokens that many prefixes share are dealt out in blocks.
     """
-    sets = reps.select(*group, F.col(id).alias("id"), F.array_distinct(tokens).alias("set")).filter(F.size("set") >= least)
+    sets = reps.select(*group, F.col(id).alias("id"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("set")).filter(F.size("set") >= least)
     sets = written(sets.withColumn("n", F.size("set")), "token-sets")
     words = sets.select(*group, "id", "n", F.explode("set").alias("token"))
-    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequency = written(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token-counts")
+    frequency = F.broadcast(frequency) if frequency.count() <= most_sent else frequency
     size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    ordered = words.join(frequency, "token").groupBy(*group, "id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("by_df"))
-    prefix = written(ordered.select(*group, "id", "n", F.explode(F.slice("by_df", F.lit(1), size.cast("int"))).alias("token")), "token-prefixes")
-    a, b = prefix.select(*group, "token", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select(*group, "token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, [*group, "token"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
+    ordered = words.join(frequency, "token").groupBy(*group, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    prefix = written(ordered.select(*group, "id", "n", F.posexplode(F.slice("by_df", F.lit(1), size.cast("int"))).alias("at", "x")).select(*group, "id", "n", "at", "x.token"), "token-prefixes")
+    dealt = _dealt(prefix, [*group, "token"], block)
+    side = lambda x: dealt.select(*group, "token", "part", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
+    left = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    near = side("a").join(side("b"), [*group, "token", "part"]).filter(
+        (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (left >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6)
+    )
     near = near.select(*group, "a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("_sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("_sb"))
-    return near.join(left, "a").join(right, "b").withColumn("jaccard", jaccard(F.col("_sa"), F.col("_sb"))).filter(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"_s{x}"))
+    return near.join(of("a"), "a").join(of("b"), "b").withColumn("jaccard", jaccard(F.col("_sa"), F.col("_sb"))).filter(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
 
 
 def duplicate_groups(rows: DataFrame, id: str, claim: str, tokens: str, group: Sequence[str], threshold: float = 0.92, least: int = 5) -> DataFrame:
@@ -77,19 +94,14 @@ def evidence_quality(similarity: Column, low: float = 0.45, span: float = 0.40)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity - low) / span)), 4)
 
 
-def retrieve(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, most_bytes: int = 64 << 20) -> DataFrame:
-    """(query_id, item_id, similarity, rank): the k most similar items of each query, ties to the smaller id.
+def retrieve(rows: DataFrame, id: str, vector: str, query: Column, k: int, items: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, similarity, rank): for each row where `query` holds the k most similar other rows, or of `items` where given, which has the columns of rows; ties to the smaller id.
 
-    Norms are taken once a row. Queries are sent to the items in blocks of bounded size; in each task a query keeps k items
-    (a partial top list), and the lists are merged by query.
+    Vectors are scaled to length one, and their products taken tile by tile (quarry.operators.products); those of length zero take no part.
     """
-    q = written(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn")).filter("_qn > 0"), "queries")
-    i = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn")).filter("_vn > 0")
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_q")).alias("dim")).first()
-    blocks = max(1, -(-(stats["n"] * 8 * ((stats["dim"] or 0) + 4)) // most_bytes))
-    found = None
-    for b in range(blocks):
-        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)  # about most_bytes
-        scored = i.crossJoin(F.broadcast(block)).filter(F.size("_q") == F.size("_v")).select("query_id", "item_id", (dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn"))).alias("similarity"))
-        found = scored if found is None else found.unionByName(scored)
-    return top_per_group(found, ["query_id"], [F.desc(F.round("similarity", 12)), "item_id"], k)
+    def unit(df: DataFrame) -> DataFrame:
+        whole = df.select(F.col(id).alias("id"), F.coalesce(query, F.lit(False)).alias("asks"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        return whole.withColumn("l", norm(F.col("v"))).filter("l > 0").select("id", "asks", F.transform("v", lambda x: x / F.col("l")).alias("v"))
+
+    found = search(unit(rows), "id", "v", F.col("asks"), k, items=None if items is None else unit(items))
+    return found.select("query_id", F.col("vec_id").alias("item_id"), F.col("score").alias("similarity"), "rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import records as P
 from quarry.operators import dialogue as D
 from quarry.operators import metrics as M
 from quarry.operators import normalize as N
@@ -325,3 +326,57 @@ SELECT model AS target_model, modality, count(*) AS question_count, count(*) FIL
     round(CAST(count(*) FILTER (WHERE o = 'failed') AS DOUBLE) / count(*), 9) AS failed_rate
 FROM c GROUP BY 1, 2
 """
+
+
+def turn_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Turns by calibration bucket, judged macro and challenge states, and what a summary shows of them."""
+    t = F.col("turn")
+    expected = D.kc_ids(t, "target")
+    given, n = F.concat(D.kc_ids(t, "covered"), F.array(F.lit("K9"))), F.size(D.events_of(t))
+    macro = P.macro_judgement(expected, given, F.array().cast("array<string>"), t["judge_result"]["state"], n)
+    challenge = P.challenge_judgement(t["judge_result"]["challenge_result"]["failed"], F.col("turn_index") % 4 == 0, F.lit(False), F.when(t["judge_result"]["state"] == "MISLED", " challenge_fail "), n, t["challenge_type"])
+    shown = P.turn_summary(t, D.multimodal(t), F.concat(t["model_answer"], t["model_answer"], t["model_answer"], t["model_answer"]))
+    rows = _rows(spark, d).select(P.calibration_bucket(t["question_type"], D.multimodal(t), n).alias("bucket"), macro.alias("m"), challenge.alias("c"), shown.alias("s"))
+    return rows.groupBy("bucket", F.col("m.state").alias("macro"), F.col("c.state").alias("challenge"), F.col("c.event_type").alias("event_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("m.matched")).alias("matched"), F.sum(F.size("m.unmatched")).alias("unmatched"), F.sum(F.col("c.incomplete").cast("int")).alias("incomplete"),
+        F.sum("s.covered").alias("covered"), F.sum("s.missing").alias("missing"), F.sum("s.hallucination_events").alias("events"), F.sum(F.char_length("s.question_text")).alias("shown"))
+
+
+_MODAL = "CASE WHEN asset IS NULL THEN '_text' ELSE '_mm' END"
+SQL["turn_buckets"] = f"""{_SQL},
+j AS (
+    SELECT *, CASE WHEN is_main THEN 'macro' || {_MODAL} WHEN question_type IN ('challenge_question', 'thread_challenge_question') THEN 'challenge' || {_MODAL} WHEN question_type = 'hallucination_followup' THEN 'hallucination_repair'
+            WHEN question_type = 'detail_followup' THEN 'detail_repair' ELSE 'thread_review' END AS bucket,
+        CASE WHEN n_events > 0 THEN 'HALLUCINATION' WHEN complete THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS macro,
+        CASE WHEN pos % 4 = 0 THEN 'CHALLENGE_RESISTED' WHEN state = 'MISLED' THEN 'CHALLENGE_FAIL' ELSE 'INCOMPLETE' END AS challenge
+    FROM t
+)
+SELECT bucket, macro, challenge, CASE WHEN challenge = 'CHALLENGE_FAIL' AND n_events = 0 THEN 'x' END AS event_type, count(*) AS n, CAST(sum(least(n_target, n_covered)) AS BIGINT) AS matched, CAST(sum(len(missing)) AS BIGINT) AS unmatched,
+    CAST(sum(CASE WHEN challenge = 'INCOMPLETE' THEN 1 ELSE 0 END) AS BIGINT) AS incomplete, CAST(sum(n_covered) AS BIGINT) AS covered, CAST(sum(len(missing)) AS BIGINT) AS missing, CAST(sum(n_events) AS BIGINT) AS events,
+    CAST(sum(least(160, 4 * n_chars)) AS BIGINT) AS shown
+FROM j GROUP BY ALL
+"""
+
+
+def record_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts joined from parts of records, and labels from tables, with parts as components and edges."""
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("valid", " Revised", "removed", "", "odd")]), (k % 5 + 1).cast("int"))
+    paper = F.concat_ws("_", name, F.lit("-"), F.when(k % 2 == 0, "2024"), F.when(k % 2 == 0, "-"), F.repeat(kind, 6))
+    claims = F.array(F.concat(name, F.lit(" ")), F.lit(" "), kind, name, F.lit("beyond"))
+    return _t(spark, d, "part").select(
+        "p_partkey", P.package_status(status).alias("status"), P.verifiable(F.element_at(F.array(F.lit("paper_claim"), F.lit("opinion"), F.lit(None).cast("string")), (k % 3 + 1).cast("int"))).alias("verifiable"), P.short_paper_name(paper).alias("paper"),
+        F.array_join(F.transform(P.forbidden_claims(claims, F.concat(F.lit("E"), k.cast("string"))), lambda x: F.concat_ws("=", x["claim_id"], x["claim"])), "|").alias("forbidden"),
+        P.reversed_relation(name, kind, F.when(k % 2 == 0, "explains")).alias("reversed"), P.joined_parts(name, kind, name, F.lit(" "), more=F.array(F.col("p_brand"), kind)).alias("embedded"),
+        P.evidence_text(k.cast("string"), kind, name, F.lit(None).cast("string"), F.col("p_brand"), F.lit("c")).alias("evidence"),
+    )
+
+
+SQL["record_texts"] = """
+WITH p AS (SELECT *, replace(concat(p_name, ' - ', CASE WHEN p_partkey % 2 = 0 THEN '2024 - ' ELSE '' END, repeat(p_type, 6)), '_', ' ') AS long FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'revise' WHEN 2 THEN 'remove' WHEN 3 THEN 'unreviewed' END AS status, p_partkey % 3 = 0 AS verifiable, trim(substr(string_split(long, ' - ')[1], 1, 36), ' ') AS paper,
+    concat('FC_E', p_partkey, '_1=', p_name, '|FC_E', p_partkey, '_3=', p_type, '|FC_E', p_partkey, '_4=', p_name) AS forbidden,
+    concat('The relation between ', p_name, ' and ', p_type, ' is the reverse of ', CASE WHEN p_partkey % 2 = 0 THEN 'explains' ELSE 'relates_to' END, '.') AS reversed,
+    concat(p_name, chr(10), p_type, chr(10), p_brand) AS embedded, concat('Asset ', p_partkey, ' (', p_type, '): ', p_name, chr(10), 'Asset summary:', chr(10), 'Evidence basis: ', p_brand, chr(10), 'Supported claim: c') AS evidence
+FROM p
+"""

@@ -150,18 +150,32 @@ SELECT *, CASE WHEN n_wrong = 0 THEN 'reject' WHEN n_wrong = n_solvers THEN 'hum
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "embeddings")
-    found = D.retrieve(rows.filter("vec_id < 20"), rows.filter("vec_id >= 20"), "vec_id", "vec_id", "embedding", 5)
+    """The five most similar vectors of every vector whose id is divisible by 100, among all others."""
+    found = D.retrieve(_t(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5)
     return found.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 SQL["vector_topk"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.e, i.e) AS s FROM v q, v i WHERE q.vec_id < 20 AND i.vec_id >= 20)
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.e, i.e) AS s FROM v q, v i WHERE q.vec_id % 100 = 0 AND i.vec_id <> q.vec_id)
 SELECT query_id, item_id, round(s, 6) AS similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5
 """
 
 
+def vector_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id is divisible by 100 the three most similar of those of label 1, as a search in another set."""
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    found = D.retrieve(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 3, items=rows.filter("label = 1"))
+    return found.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+SQL["vector_retrieval"] = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.e, i.e) AS s FROM v q, v i WHERE q.vec_id % 100 = 0 AND i.label = 1)
+SELECT query_id, item_id, round(s, 6) AS similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= 3
+"""
+
+
 def evidence_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     a, b = rows.filter("vec_id % 2 = 0").select("vec_id", F.col("e").alias("a")), rows.filter("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("b"))
@@ -182,17 +196,24 @@ def _trade(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRADE = "SELECT c_nationkey AS source, s_nationkey AS target, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
-HEAVY = 120
+#: A pair of nations trades heavily with this many times the lines of an average pair.
+HEAVY = 1.2
+
+
+def _heavy(edges: DataFrame, times: float) -> DataFrame:
+    """Edges of `times` the average count or more, whatever the size of the table."""
+    mean = edges.agg(F.avg("n").alias("_mean"))  # one row
+    return edges.crossJoin(F.broadcast(mean)).filter(F.col("n") >= times * F.col("_mean")).drop("_mean")
 
 
 def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
-    edges = _trade(spark, d).filter(F.col("n") >= HEAVY)
+    edges = _trade(spark, d)
     rows = G.centrality(_t(spark, d, "nation").select("n_nationkey"), edges, "n_nationkey", "source", "target")
     return rows.select("n_nationkey", "degree", *[F.round(c, 9).alias(c) for c in ("log_degree", "entropy", "centrality")])
 
 
 SQL["degree_centrality"] = f"""
-WITH t AS ({_TRADE}), e AS (SELECT source, target FROM t WHERE n >= {HEAVY}),
+WITH e AS ({_TRADE}),
 b AS (SELECT source AS k, target AS m FROM e UNION ALL SELECT target, source FROM e),
 c AS (SELECT k, m, count(*) AS n FROM b GROUP BY k, m),
 d AS (SELECT k, sum(n) AS degree, (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln((SELECT count(*) FROM nation)) AS entropy FROM c GROUP BY k),
@@ -202,29 +223,32 @@ SELECT n_nationkey, CAST(degree AS BIGINT) AS degree, round(log_degree, 9) AS lo
 
 
 def kc_connectivity(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as nodes, regions as categories, heavy trade as edges."""
-    nodes = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    rows = G.connectivity(nodes, _trade(spark, d).filter(F.col("n") >= HEAVY), "n_nationkey", "n_regionkey", "source", "target")
-    return rows.select("n_nationkey", "degree", *[F.round(c, 9).alias(c) for c in ("log_degree", "entropy", "connectivity")])
-
-
-SQL["kc_connectivity"] = f"""
-WITH t AS ({_TRADE}), e AS (SELECT source, target FROM t WHERE n >= {HEAVY}),
-b AS (SELECT source AS k, target AS m FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target),
-c AS (SELECT k, n_regionkey AS r, count(*) AS n FROM b JOIN nation ON m = n_nationkey GROUP BY 1, 2),
-d AS (SELECT k, sum(n) AS degree, (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln((SELECT count(DISTINCT n_regionkey) FROM nation)) AS entropy FROM c GROUP BY k),
-f AS (SELECT n_nationkey, coalesce(degree, 0) AS degree, coalesce(entropy, 0.0) AS entropy, coalesce(ln(1 + coalesce(degree, 0)) / nullif(ln(1 + (SELECT max(degree) FROM d)), 0), 0.0) AS log_degree FROM nation LEFT JOIN d ON n_nationkey = k)
-SELECT n_nationkey, CAST(degree AS BIGINT) AS degree, round(log_degree, 9) AS log_degree, round(entropy, 9) AS entropy, round(0.7 * log_degree + 0.3 * entropy, 9) AS connectivity FROM f
+    """Suppliers as nodes, their nations as categories; those that deliver the same part are neighbours."""
+    nodes = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    sold = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    a, b = sold.select("l_partkey", F.col("l_suppkey").alias("source")), sold.select("l_partkey", F.col("l_suppkey").alias("target"))
+    edges = a.join(b, "l_partkey").filter("source < target").select("source", "target").distinct()  # each pair once, by any part
+    rows = G.connectivity(nodes, edges, "s_suppkey", "s_nationkey", "source", "target")
+    return rows.select("s_suppkey", "degree", *[F.round(c, 9).alias(c) for c in ("log_degree", "entropy", "connectivity")])
+
+
+SQL["kc_connectivity"] = """
+WITH l AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+b AS (SELECT DISTINCT x.l_suppkey AS k, y.l_suppkey AS m FROM l x JOIN l y ON x.l_partkey = y.l_partkey AND x.l_suppkey <> y.l_suppkey),
+c AS (SELECT k, s_nationkey AS r, count(*) AS n FROM b JOIN supplier ON m = s_suppkey GROUP BY 1, 2),
+d AS (SELECT k, sum(n) AS degree, (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln((SELECT count(DISTINCT s_nationkey) FROM supplier)) AS entropy FROM c GROUP BY k),
+f AS (SELECT s_suppkey, coalesce(degree, 0) AS degree, coalesce(entropy, 0.0) AS entropy, coalesce(ln(1 + coalesce(degree, 0)) / nullif(ln(1 + (SELECT max(degree) FROM d)), 0), 0.0) AS log_degree FROM supplier LEFT JOIN d ON s_suppkey = k)
+SELECT s_suppkey, CAST(degree AS BIGINT) AS degree, round(log_degree, 9) AS log_degree, round(entropy, 9) AS entropy, round(0.7 * log_degree + 0.3 * entropy, 9) AS connectivity FROM f
 """
 
 
 def two_hop_paths(spark: SparkSession, d: str) -> DataFrame:
-    edges = _trade(spark, d).filter(F.col("n") >= HEAVY).withColumn("edge", F.col("source") * 100 + F.col("target"))
+    edges = _heavy(_trade(spark, d), HEAVY).withColumn("edge", F.col("source") * 100 + F.col("target"))
     return G.two_hop_paths(edges, _t(spark, d, "nation"), "edge", "source", "target", "n_nationkey", "n_regionkey")
 
 
 SQL["two_hop_paths"] = f"""
-WITH t AS ({_TRADE}), e AS (SELECT source, target, source * 100 + target AS edge FROM t WHERE n >= {HEAVY})
+WITH t AS ({_TRADE}), e AS (SELECT source, target, source * 100 + target AS edge FROM t WHERE n >= {HEAVY} * (SELECT avg(n) FROM t))
 SELECT x.source AS a, x.target AS b, y.target AS c, x.edge AS first_edge, y.edge AS second_edge, concat_ws(' > ', p.n_regionkey, q.n_regionkey, r.n_regionkey) AS pattern
 FROM e x JOIN e y ON x.target = y.source JOIN nation p ON p.n_nationkey = x.source JOIN nation q ON q.n_nationkey = x.target JOIN nation r ON r.n_nationkey = y.target
 WHERE x.source <> x.target AND x.target <> y.target AND x.source <> y.target AND NOT (p.n_regionkey = q.n_regionkey AND q.n_regionkey = r.n_regionkey)
@@ -233,21 +257,29 @@ WHERE x.source <> x.target AND x.target <> y.target AND x.source <> y.target AND
 
 def edge_coverage(spark: SparkSession, d: str) -> DataFrame:
     nodes = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    edges = G.with_endpoints(_trade(spark, d).filter(F.col("n") >= 150).drop("n"), nodes, "source", "target", "n_nationkey", "n_regionkey")
+    edges = G.with_endpoints(_trade(spark, d).drop("n"), nodes, "source", "target", "n_nationkey", "n_regionkey")
     return G.pair_coverage(edges, _t(spark, d, "region"), "r_regionkey")
 
 
 SQL["edge_coverage"] = f"""
-WITH t AS ({_TRADE}), e AS (SELECT p.n_regionkey AS s, q.n_regionkey AS t FROM t JOIN nation p ON p.n_nationkey = source JOIN nation q ON q.n_nationkey = target WHERE n >= 150)
+WITH t AS ({_TRADE}), e AS (SELECT p.n_regionkey AS s, q.n_regionkey AS t FROM t JOIN nation p ON p.n_nationkey = source JOIN nation q ON q.n_nationkey = target)
 SELECT a.r_regionkey AS source_category, b.r_regionkey AS target_category, count(e.s) AS n FROM region a CROSS JOIN region b LEFT JOIN e ON e.s = a.r_regionkey AND e.t = b.r_regionkey GROUP BY 1, 2
 """
 
 
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return G.isolated(_t(spark, d, "nation").select("n_nationkey"), _trade(spark, d).filter(F.col("n") >= 150), "n_nationkey", "source", "target")
+    """Customers that no order names, as nodes without an edge, and nations without heavy trade of half more than the average."""
+    nations = G.isolated(_t(spark, d, "nation").select("n_nationkey"), _heavy(_trade(spark, d), 1.5), "n_nationkey", "source", "target").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("node"))
+    bought = _t(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") + 10**12).alias("target"))
+    customers = G.isolated(_t(spark, d, "customer").select("c_custkey"), bought, "c_custkey", "source", "target").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("node"))
+    return nations.unionByName(customers)
 
 
-SQL["isolated_nodes"] = f"WITH t AS ({_TRADE}) SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT source FROM t WHERE n >= 150) AND n_nationkey NOT IN (SELECT target FROM t WHERE n >= 150)"
+SQL["isolated_nodes"] = f"""
+WITH t AS ({_TRADE}), h AS (SELECT * FROM t WHERE n >= 1.5 * (SELECT avg(n) FROM t))
+SELECT 'nation' AS kind, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey NOT IN (SELECT source FROM h) AND n_nationkey NOT IN (SELECT target FROM h)
+UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+"""
 
 
 def row_signature(spark: SparkSession, d: str) -> DataFrame:

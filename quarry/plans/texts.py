@@ -9,6 +9,7 @@ from quarry.functions import text as T
 from quarry.functions.blocks import Blocks, Chunks, Windows
 from quarry.functions.tables import grid_latex, grid_markdown, table_grid
 from quarry.operators.sequences import top_per_group
+from quarry.storage import written
 
 SQL: dict[str, str] = {}
 
@@ -60,25 +61,31 @@ SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha FROM t
 """
 
 
-def containment(spark: SparkSession, d: str) -> DataFrame:
+def containment(spark: SparkSession, d: str, most_sent: int = 100_000, block: int = 1000) -> DataFrame:
     """Which benchmark texts stand in which documents, white space apart.
 
-    Candidates share the text's first eight words in a row, so the join is on a hash of those; containment is then checked.
+    A document word at either end of a text may carry more than the text's own, so its inner words decide: candidates share the
+    second to seventh word of a text of eight or more, by a hash of six words in a row. Those hashes are sent to the documents where
+    they are few, so no run is shuffled, and each candidate is checked where it is found. Shorter texts are looked for in blocks.
     """
     docs = _t(spark, d, "documents").select("doc_id", T.squeezed(F.col("text")).alias("hay"))
-    items = _t(spark, d, "benchmark").select("item_id", T.squeezed(F.col("text")).alias("needle")).filter("needle <> ''")
-    items = items.withColumn("w", F.split("needle", " ")).withColumn("k", F.least(F.size("w"), F.lit(8)))
-    # a document word at either end of the run may carry more than the needle's word does, so inner words decide
-    key = lambda w: F.xxhash64(F.array_join(w, " "))
-    long = items.filter("k = 8").select("item_id", "needle", key(F.slice("w", 2, 6)).alias("key"))
-    short = items.filter("k < 8").select("item_id", "needle")
-    n = F.size("w")
-    runs = docs.withColumn("w", F.split("hay", " ")).filter(n >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 5), lambda i: key(F.slice("w", i, 6))))).alias("key"))
-    near = runs.join(long, "key").select("doc_id", "item_id", "needle").distinct()
-    found = near.join(docs, "doc_id").filter(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
-    few = short.agg(F.collect_list(F.struct("item_id", "needle")).alias("few"))  # items of under eight words
-    more = docs.crossJoin(F.broadcast(few)).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("hay"), x["needle"]))).alias("x")).select("doc_id", "x.item_id")
-    return found.unionByName(more)
+    items = _t(spark, d, "benchmark").select("item_id", T.squeezed(F.col("text")).alias("needle")).filter("needle <> ''").withColumn("w", F.transform(F.split("needle", " "), lambda x: F.xxhash64(x)))
+    key = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(6)])
+    long = written(items.filter(F.size("w") >= 8).select("item_id", "needle", key(F.col("w"), F.lit(1)).alias("key")), "needles")
+    short = written(items.filter(F.size("w") < 8).select("item_id", "needle", F.pmod(F.xxhash64("needle"), F.lit(1 << 30)).alias("h")), "short-needles")
+    w = F.transform(F.split("hay", " "), lambda x: F.xxhash64(x))
+    runs = docs.withColumn("w", w).filter(F.size("w") >= 6).select("doc_id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 6), lambda i: key(F.col("w"), i)))).alias("key"))
+    if long.count() <= most_sent:
+        found = runs.join(F.broadcast(long), "key").filter(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    else:
+        near = runs.drop("hay").join(long, "key").select("doc_id", "item_id", "needle").distinct()
+        found = near.join(docs, "doc_id").filter(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    blocks = -(-short.count() // block)
+    for b in range(blocks):
+        few = short.filter(F.col("h") % blocks == b).agg(F.collect_list(F.struct("item_id", "needle")).alias("few")).first()["few"]  # about `block` short texts
+        said = F.array(*[F.when(F.contains("hay", F.lit(x["needle"])), F.lit(x["item_id"])) for x in few]) if few else F.array().cast("array<bigint>")
+        found = found.unionByName(docs.select("doc_id", F.explode(F.array_compact(said)).alias("item_id")))
+    return found
 
 
 SQL["containment"] = r"""
@@ -99,14 +106,14 @@ SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line,
 
 
 def labels_and_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "benchmark").select("item_id", T.short_label(F.col("text")).alias("label"), T.compact(F.col("text"), 60).alias("compact"), T.safe_id(F.substring("text", 1, 20)).alias("safe"), F.size(T.paragraphs(F.col("text"))).alias("n_paragraphs"))
+    return _t(spark, d, "benchmark").select("item_id", T.short_label(F.col("text")).alias("label"), T.compact(F.col("text"), 60).alias("compact"), T.safe_id(F.col("text")).alias("safe"), F.size(T.paragraphs(F.col("text"))).alias("n_paragraphs"))
 
 
 SQL["labels_and_terms"] = r"""
 WITH b AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS s FROM benchmark)
 SELECT item_id, CASE WHEN len(w) > 10 THEN array_to_string(w[1:10], ' ') || '...' ELSE array_to_string(w, ' ') END AS label,
     CASE WHEN length(s) <= 60 THEN s ELSE rtrim(substr(s, 1, 57), ' ') || '...' END AS compact,
-    regexp_replace(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
+    regexp_replace(regexp_replace(text, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
     CAST(len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p, ' ') <> '')) AS INTEGER) AS n_paragraphs
 FROM b
 """

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list[list[DataFrame]] = []  # the scratch lists of blocks that are being run, innermost last
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset in local mode, as in tests.
@@ -30,9 +34,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """A block whose stored tables are removed at its end, but for those taken off the list it gives; what is kept must not read the others."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        discard(*made)
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables that written() stored, once nothing that is still to run reads them; other frames are left as they are."""
     for df in frames:
