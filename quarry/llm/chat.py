@@ -8,7 +8,7 @@ Template (fixed values of this format): a turn is `<turn:ROLE>TEXT</turn>` and a
 In roles and texts `&` becomes `&amp;`, `<` becomes `&lt;` and `>` becomes `&gt;`, so no text holds a mark.
 
 Defined results: a null text or null part is empty; a null role is the empty role; turns with equal numbers are ordered by role
-and text; null turn numbers come first; repeated rows are turns of their own; a null conversation id is a conversation; a part
+and the texts of their parts; null turn numbers come first; repeated rows are turns of their own; a null conversation id is a conversation; a part
 of unknown type is a document; null uris are kept as null; an empty table gives an empty result.
 """
 
@@ -44,7 +44,7 @@ def visited(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     kinds = list(expands)
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
     rows = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(parts, F.expr(f"cast(array() as {PARTS})")).alias("parts"))
-    order = [F.col("turn"), F.col("role"), F.to_json("parts")]
+    order = [F.col("turn"), F.col("role"), F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), F.to_json("parts")]  # parts without text last
     whole = Window.partitionBy("conv_id").orderBy(*order)
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.row_number().over(whole)).withColumn("files", F.filter("parts", lambda p: ~is_text(p)))

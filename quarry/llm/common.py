@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.storage import discard, written
 
-__all__ = ["bucket_of", "discard", "ranked", "slices", "written"]
+__all__ = ["bounded", "bucket_of", "discard", "ranked", "slices", "written"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -30,6 +30,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
                 yield b
 
 
+#: Rows up to which a table of short rows is sent to all tasks.
+SENT_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most_rows: int = SENT_ROWS) -> DataFrame:
+    """df, written, marked to be broadcast where it holds no more than most_rows rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def bucket_of(*keys: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 

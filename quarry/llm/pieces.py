@@ -32,7 +32,7 @@ from quarry.llm.common import slices
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept since the last turn-over, and pairs judged. Beyond, words not met again until the next turn-over are forgotten.
-KEPT, PAIRS = 100_000, 400_000
+KEPT, PAIRS = 150_000, 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -94,6 +94,16 @@ class Encoder:
         """
         own, rank = list(symbols), self.rank
         n = len(own)
+        if n <= 24:  # a few symbols are looked through again for each merge
+            while True:
+                best, at = None, -1
+                for i in range(len(own) - 1):
+                    r = rank.get(own[i] + own[i + 1])
+                    if r is not None and (best is None or r < best):
+                        best, at = r, i
+                if at < 0:
+                    return own
+                own[at : at + 2] = [own[at] + own[at + 1]]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         open_ = [r << 40 | i for i in range(n - 1) if (r := rank.get(own[i] + own[i + 1])) is not None]
         heapq.heapify(open_)
@@ -149,23 +159,22 @@ class Encoder:
                     if "" in node:
                         found.append((node[""], j))
                 alone = bool(found) and found[0][1] == i - 1  # the character itself is a piece
-                x, j, value = -2 - ord(w[i - 1]), i - 1, best[i - 1] + self.unknown
                 if bpe:
-                    for y, at in reversed(found):
-                        p = last[at]
-                        ok = follows.get(p << 32 | y)
-                        if self._may_follow(p, y) if ok is None else ok:
-                            x, j = y, at
+                    for x, j in reversed(found):
+                        p = last[j]
+                        ok = follows.get(p << 32 | x)
+                        if self._may_follow(p, x) if ok is None else ok:
                             break
                     else:
-                        if alone:
-                            x = found[0][0]
-                elif found:
-                    value, j, x = max([(best[at] + scores[y], -at, y) for y, at in found] + [(value, -j, x)] * (not alone))
-                    j = -j
+                        x, j = found[0][0] if alone else -2 - ord(w[i - 1]), i - 1
+                    last.append(x)
+                    came.append(j)
+                    continue
+                ways = [(best[j] + scores[x], -j, x) for x, j in found] + [(best[i - 1] + self.unknown, 1 - i, -2 - ord(w[i - 1]))] * (not alone)
+                value, j, x = max(ways)
                 last.append(x)
-                came.append(j)
-                best.append(0.0 if bpe else value)
+                came.append(-j)
+                best.append(value)
             before, out, i = w, [], len(w)
             while i:
                 out.append(last[i])

@@ -66,12 +66,6 @@ def digest(found: DataFrame) -> DataFrame:
     return per.select("uid", *[f"n_{k}" for k in BASE], F.sha2(said(F.filter("s", lambda y: y["o"] < len(BASE))), 256).alias("base_sha256"), said(F.col("s")).alias("spans"))
 
 
-def may_hold(text: str = "text") -> Column:
-    """Whether a text matches any pattern at all."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return t.rlike(ASSIGN) | t.rlike(ACCESS) | t.rlike(HEX) | t.rlike(TOKEN)
-
-
 def cuts(found: DataFrame) -> DataFrame:
     """(uid, cuts): what to mask of each text, as (a, b, from): the stretch from a to b, and where the kept text before it begins.
 

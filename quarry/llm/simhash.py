@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, discard, slices, written
+from quarry.llm.common import bounded, bucket_of, discard, slices, written
 from quarry.operators.components import components
 
 BITS = 31
@@ -229,12 +229,6 @@ def near_duplicates(prints: DataFrame, threshold: int = 3) -> DataFrame:
 #: Near copies are compared by PRINTS fingerprints of 64 bits over shingles of SHORT words, where they differ in WIDE bits at most.
 #: The pairs of words that copies of similarity 0.8 do not share leave about 11 of 128 bits different, with a deviation of 3.
 PRINTS, SHORT, WIDE = 2, 2, 30
-SENT_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame, most_rows: int = SENT_ROWS) -> DataFrame:
-    """df, written, marked to be broadcast where it holds no more than most_rows rows."""
-    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def several_prints(docs: DataFrame, id: str, text: str = "text", words: int = SHORT) -> DataFrame:

@@ -46,3 +46,17 @@ def test_native_plan(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     plan = queries.op7_chat_format(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+
+def test_tied_turns_go_by_text_as_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    texts = ['a"b', "a#b", "a!b", "a\\b", "a\nb", "a", "", None, '"', "#", "é", "z"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, "assistant", t) for t in texts]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    said = duck.execute(queries.OP7_SQL)
+    names = [x[0] for x in said.description]
+    want = sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in said.fetchall())
+    assert sorted(tuple(r[c] for c in sorted(names)) for r in queries.op7_chat_format(spark, str(tmp_path)).collect()) == want

@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -64,3 +66,36 @@ def test_query(spark, library, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op3_sentencepiece(spark, str(tmp_path)).count() == 0
+
+
+def test_long_runs_of_blanks_are_quick(library, encoder):
+    for t in (" " * 1_000_000, "a" + " " * 200_000 + "b", "▁" * 100_000, " " * 4097 + "x"):
+        began = time.perf_counter()
+        (ids,) = encoder.encode_all([t])
+        assert time.perf_counter() - began < 20
+        assert ids.tolist() == library.encode(t)
+
+
+def test_unigram_path_over_characters_without_a_piece():
+    model = pieces.load()
+    vocabulary = {"▁": -2.0, "a": -1.5, "ab": -2.5, "bc": -1.0, "abc": -6.0, "▁c": -3.0, "▁bcd": -2.0}  # neither b, c nor d is a piece
+    kept = [p for i, p in enumerate(model.pieces) if i in model.byte_ids or i in model.special]
+    own = model._replace(
+        pieces=[*kept, *vocabulary], scores=[0.0] * len(kept) + list(vocabulary.values()), kind="unigram",
+        byte_ids=[kept.index(f"<0x{b:02X}>") for b in range(256)], special=[kept.index(model.pieces[i]) for i in model.special],
+    )
+    encoder = pieces.Encoder(own)
+
+    def best(word):
+        found = {0: 0.0}
+        for i in range(1, len(word) + 1):
+            ways = [found[j] + vocabulary[word[j:i]] for j in range(i) if word[j:i] in vocabulary]
+            found[i] = max(ways + [found[i - 1] + encoder.unknown] * (word[i - 1] not in vocabulary))
+        return found[len(word)]
+
+    words = sorted({"▁" + "".join(w) for n in range(1, 6) for w in itertools.product("abcd", repeat=n)})
+    for w, ids in encoder._sorted(words):
+        said = [own.pieces[i] if i >= 0 else chr(-2 - i) for i in ids]
+        assert "".join(said) == w
+        assert sum(vocabulary.get(p, encoder.unknown) for p in said) == pytest.approx(best(w)), (w, said)
+    assert [own.pieces[i] for i in dict(encoder._sorted(["▁ab"]))["▁ab"]] == ["▁", "ab"]

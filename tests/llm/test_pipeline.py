@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline as p
 from quarry.llm import pieces
+from quarry.storage import shared_dir
 
 STEMS = {"en": ["the", "of", "tion", "ing", "wh", "ea", "st", "er"], "fr": ["le", "eux", "é", "oi", "que", "ou", "ai", "an"]}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, found int, id double"
@@ -53,6 +55,25 @@ def test_decisions_take_effect(spark, tmp_path):
     assert sorted((r.doc_id or -1, r.n_tokens) for r in p.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id or -1, r.n_tokens) for r in last)
 
 
+def test_clean_texts_of_several_languages_stay_and_tables_are_removed(spark, tmp_path):
+    table(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = " ".join((text("en", 40), text("fr", 35), " ".join(random.choices(["стено", "прора", "новени"], k=25))))
+    more = spark.createDataFrame([(900, mixed, None, "m", 0, "u", 1, 0.5)] + [(910 + i, " ".join(random.choices(["стено", "прора", "новени", "овра"], k=30)), "ru", "m", 0, "u", 1, 0.5) for i in range(40)], SCHEMA)
+    docs.unionByName(more).write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    before = set(os.listdir(shared_dir(spark)))
+    kept = {r.doc_id for r in p.run(spark, f"{tmp_path}/more").select("doc_id").collect()}
+    assert 900 in kept and 3 in kept and not kept & {200, 201, 202, 203, 205, 206}
+    left = {x for x in os.listdir(shared_dir(spark)) if x not in before}
+    assert len(left) == 1 and left.pop().startswith("quarry-pipeline-secret_scan")
+
+
+def test_nothing_is_rejected_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "the of", None, "s", 6), (2, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.language(spark, docs, "").count() == 2
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -51,3 +52,29 @@ def test_one_kind_of_label_and_empty_tables(spark, tmp_path):
     for t, s in (("documents", "doc_id long, text string"), ("labels", "doc_id long, quality int")):
         spark.createDataFrame([], s).write.parquet(f"{tmp_path}/e/{t}.parquet")
     assert queries.op10_quality_rules(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_compiled_rules_equal_row_by_row_evaluation(spark):
+    random.seed(4)
+    rows = [tuple(random.choice([0.0, 0.5, 1.0, random.random(), random.random() * 50]) for _ in quality.STATISTICS) for _ in range(300)]
+    rules = []
+    for _ in range(40):
+        rule = tuple((random.choice(quality.STATISTICS), random.random() < 0.5, random.choice([0.5, random.random(), random.random() * 50])) for _ in range(random.randint(1, 3)))
+        rules.append((rule, random.uniform(-2, 2)))
+    ensemble = quality.Ensemble(0.3, tuple(rules))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} double" for c in quality.STATISTICS))
+    found = {r.i: r.s for r in df.select("i", quality.score(ensemble).alias("s")).collect()}
+    for i, r in enumerate(rows):
+        own = dict(zip(quality.STATISTICS, r, strict=True))
+        total = ensemble.bias + sum(w for rule, w in rules if all(own[c] > x if above else own[c] <= x for c, above, x in rule))
+        assert abs(found[i] - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_statistics_equal_plain_counts(spark):
+    texts = ["", "Hello, World! 12\n\nHello", "a  b\ta\n", "###$$ x x x", "É!é", "x" * 1000, "\n\n\n"]
+    found = {r.i: r for r in quality.with_statistics(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, t in enumerate(texts):
+        n, words, lines = max(1, len(t)), t.split(), t.split("\n")
+        share = lambda chars, t=t, n=n: sum(c in chars for c in t) / n
+        want = (len(t), len(words), len(t) / max(1, len(words)), share("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), share("#$%&*|"), share("!"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("\n"), 1 - len(set(words)) / len(words) if words else 0.0, 1 - len(set(lines)) / len(lines))
+        assert all(abs(found[i][c] - w) < 1e-12 for c, w in zip(quality.STATISTICS, want, strict=True)), t

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from quarry.llm import queries
+from quarry.llm import queries, secrets
 
 KINDS = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
@@ -41,3 +41,13 @@ def test_base_spans_match_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_secret_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_repositories_and_owners_are_counted_apart(spark):
+    key, other, third = "password=hunter22aQ", "token=Zq81mvTTp0", "api_key=copied-Example1"
+    rows = [(i, key, f"repo{i}", "one") for i in range(5)] + [(10 + i, other, "same", f"owner{i}") for i in range(2)] + [(20 + i, third, f"r{i % 2}", f"o{i}") for i in range(3)] + [(30, key, None, None)]
+    docs = secrets.with_candidates(spark.createDataFrame(rows, "uid long, text string, repo string, who string"))
+    found = {r.uid: r for r in secrets.spans(docs, repository="repo", owner="who").filter("kind = 'assign'").collect()}
+    assert {(found[i].n_repositories, found[i].n_owners, found[i].n_seen, found[i].verdict) for i in (0, 4, 30)} == {(6, 2, 6, "live")}  # many repositories of one owner, and one of none
+    assert {(found[i].n_repositories, found[i].n_owners, found[i].verdict) for i in (10, 11)} == {(1, 2, "live")}
+    assert {(found[i].n_repositories, found[i].n_owners, found[i].verdict) for i in (20, 21, 22)} == {(2, 3, "example")}

@@ -47,3 +47,19 @@ def test_large_components_stay_exact(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.op4_exact_top_k(spark, str(tmp_path)).count() == 0
+
+
+def test_queries_too_many_to_send_are_joined(spark):
+    rows = table(200)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    assert sorted(map(tuple, topk.search(df, "vec_id", "v", F.col("vec_id") % 20 == 0, k=5, size=16, fan=3, most_sent=0).collect())) == brute(rows, 5)
+
+
+def test_settings_of_the_session_stay_as_they_are(spark, tmp_path):
+    before = dict(spark.conf.getAll)
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "the of", "en", "s", 6), (2, "le de", "fr", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("op2_language_id", "op3_sentencepiece", "op4_exact_top_k", "op5_benchmark_decontamination", "op9_simhash_near_dedup"):
+        queries.queries()[name](spark, str(tmp_path)).count()
+    assert dict(spark.conf.getAll) == before
