@@ -13,6 +13,7 @@ from quarry.functions import records as P
 from quarry.operators import dialogue as D
 from quarry.operators import metrics as M
 from quarry.operators import normalize as N
+from quarry.operators import replay as Y
 from quarry.operators import reports as R
 from quarry.plans.metrics import _t
 
@@ -380,3 +381,54 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'revise' WH
     concat(p_name, chr(10), p_type, chr(10), p_brand) AS embedded, concat('Asset ', p_partkey, ' (', p_type, '): ', p_name, chr(10), 'Asset summary:', chr(10), 'Evidence basis: ', p_brand, chr(10), 'Supported claim: c') AS evidence
 FROM p
 """
+
+
+def replayed_states(spark: SparkSession, d: str) -> DataFrame:
+    """The final states of components over all trajectories, those never spoken of included."""
+    t = F.col("turn")
+    rows = _rows(spark, d)
+    marked = Y.marks(rows, ["paper_id"], "turn_index", t["judge_result"]["state"], D.kc_ids(t, "covered"), D.kc_ids(t, "missing"))
+    graph = rows.select("paper_id").distinct().select("paper_id", F.explode(F.array(*[F.lit(f"K{i}") for i in range(1, 6)])).alias("kc_id"))
+    found = Y.with_all(Y.states(marked, ["paper_id"], ["turn_index"]), graph, ["paper_id"])
+    return found.groupBy("kc_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bad").alias("n_bad"), F.sum("n_corrected").alias("n_corrected"))
+
+
+SQL["replayed_states"] = f"""{_SQL},
+m AS (SELECT l_orderkey, pos, i, CASE WHEN bad THEN 'bad' WHEN i <= n_covered THEN 'covered' ELSE 'missing' END AS mark FROM (SELECT *, unnest(range(1, CAST(greatest(n_target, n_covered) AS BIGINT) + 1)) AS i FROM t)),
+x AS (SELECT *, lag(mark) OVER (PARTITION BY l_orderkey, i ORDER BY pos) AS was, row_number() OVER (PARTITION BY l_orderkey, i ORDER BY pos DESC) AS back FROM m WHERE mark <> 'missing'),
+e AS (
+    SELECT l_orderkey, i, max(CASE WHEN back = 1 THEN CASE WHEN mark = 'bad' THEN 'hallucinated' WHEN was = 'bad' THEN 'corrected' ELSE 'lit' END END) AS status, count(*) FILTER (WHERE mark = 'bad') AS n_bad,
+        count(*) FILTER (WHERE mark = 'covered' AND was = 'bad') AS n_corrected
+    FROM x GROUP BY 1, 2
+),
+g AS (SELECT l_orderkey, unnest(range(1, 6)) AS i FROM (SELECT DISTINCT l_orderkey FROM t)), s AS (SELECT DISTINCT l_orderkey, i, 1 AS said FROM m)
+SELECT 'K' || CAST(i AS VARCHAR) AS kc_id, coalesce(status, CASE WHEN said = 1 THEN 'missing' ELSE 'unlit' END) AS status, count(*) AS n, CAST(sum(coalesce(n_bad, 0)) AS BIGINT) AS n_bad, CAST(sum(coalesce(n_corrected, 0)) AS BIGINT) AS n_corrected
+FROM g LEFT JOIN s USING (l_orderkey, i) LEFT JOIN e USING (l_orderkey, i) GROUP BY 1, 2
+"""
+
+
+def tasks_and_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps in coverage, tasks that turns call for by what becomes of them, and steps of threads that are ready, as counts by kind."""
+    t = F.col("turn")
+    rows = _rows(spark, d).select("paper_id", "turn_index", t["turn_id"].alias("turn_id"), F.size(D.events_of(t)).alias("n"), D.kc_ids(t, "missing").alias("missing"), D.kc_ids(t, "covered").alias("covered"), t["question_type"].alias("kind"))
+    gaps = Y.coverage_gaps(rows, ["paper_id"], "turn_id", F.col("missing")).select(F.lit("gap").alias("kind"), F.concat_ws("+", "missing_kc_ids").alias("what"))
+    tasks = Y.repair_tasks(rows, ["paper_id"], "turn_index", "turn_id", F.col("n"), F.col("missing"))
+    settled = tasks.select(F.col("task_type").alias("kind"), Y.settled(F.col("created_at") % 5, F.col("budget"), F.col("created_at") % 2 == 0).alias("what"))
+    first = Y.next_pending(tasks.withColumn("status", F.lit("pending")), ["paper_id"]).select(F.lit("next").alias("kind"), F.col("task_type").alias("what"))
+    steps = rows.filter(F.col("kind").startswith("thread_")).select("paper_id", F.col("kind").alias("thread_id"), F.col("turn_id").alias("step_id"), F.col("missing").alias("required"))
+    lit = rows.select("paper_id", F.explode("covered").alias("kc_id")).distinct().withColumn("status", F.lit("lit"))
+    ready = Y.thread_steps(steps, lit, ["paper_id"]).select(F.lit("step").alias("kind"), F.col("ready").cast("string").alias("what"))
+    return gaps.unionByName(settled).unionByName(first).unionByName(ready).groupBy("kind", "what").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["tasks_and_gaps"] = f"""{_SQL},
+k AS (SELECT l_orderkey, pos, 'hallucination' AS kind, 1 AS p FROM t WHERE n_events > 0 UNION ALL SELECT l_orderkey, pos, 'detail', 2 FROM t WHERE len(missing) > 0),
+c AS (SELECT l_orderkey, max(n_covered) AS best FROM t GROUP BY 1),
+r AS (
+    SELECT 'gap' AS kind, array_to_string(missing, '+') AS what FROM t WHERE len(missing) > 0
+    UNION ALL SELECT kind, CASE WHEN pos % 2 = 0 THEN 'completed' WHEN pos % 5 >= 3 THEN 'exhausted' ELSE 'pending' END FROM k
+    UNION ALL SELECT 'next', kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, pos) AS i FROM k) WHERE i = 1
+    UNION ALL SELECT 'step', CASE WHEN len(missing) = 0 OR n_target <= best THEN 'true' ELSE 'false' END FROM t JOIN c USING (l_orderkey) WHERE starts_with(question_type, 'thread_')
+)
+SELECT kind, what, count(*) AS n FROM r GROUP BY 1, 2
+"""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.blocks import Blocks, Chunks, Windows
+from quarry.functions.claims import (
+    CLAIM_WORDS, MAJOR, MECHANISM_WORDS, NEW_DATASET, OLD_DATASETS, OLD_SECTION, OTHER_TYPE, ROLE_TYPES, SECTION_WORDS, SHORT, TIE_ORDER, claim_type, macro_of, sections,
+)
 from quarry.functions.tables import grid_latex, grid_markdown, table_grid
 from quarry.operators.sequences import top_per_group
 from quarry.storage import written
@@ -119,6 +122,121 @@ FROM b
 """
 
 
+def _papers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as papers in Markdown: a title, lines on authors, an abstract, furniture, the text, and references."""
+    parts = ["# Title\nUniversity of T\nshort line\nwritten at @home by one\nA line that is kept here\n## Abstract\n", F.col("text"), "\n<div class=\"a\">x\ny</div><table><tr>1</tr></table>![i](p.png) <img src=\"q\">\nFigure 3: a caption\nand Table 2. another one\nCode: here\nsee GitHub.com/x\n\n\n\n### 2. Introduction\nend  of\ttext\n## References\n[1] gone"]
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("md"))
+
+
+_PAPERS = r"""
+WITH p AS (
+    SELECT doc_id, concat('# Title' || chr(10) || 'University of T' || chr(10) || 'short line' || chr(10) || 'written at @home by one' || chr(10) || 'A line that is kept here' || chr(10) || '## Abstract' || chr(10), text,
+        replace('~<div class="a">x~y</div><table><tr>1</tr></table>![i](p.png) <img src="q">~Figure 3: a caption~and Table 2. another one~Code: here~see GitHub.com/x~~~~### 2. Introduction~end  of' || chr(9) || 'text~## References~[1] gone', '~', chr(10))) AS md
+    FROM documents WHERE text IS NOT NULL
+)
+"""
+
+
+def paper_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Papers without furniture, authors, references and code links."""
+    return _papers(spark, d).select("doc_id", F.char_length(T.markdown_text(F.col("md"))).alias("n_chars"), F.sha2(T.markdown_text(F.col("md")), 256).alias("sha"))
+
+
+_CLEAN = "md"
+for _pattern in T.FURNITURE:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern.replace('(?id)', '(?i)')}', ' ', 'g')"
+_LINE = "lower(trim({}, ' '))"
+_X = _LINE.format("x")
+_AUTHORS = f"regexp_matches({_X}, '{T.AUTHOR_LINE}') OR regexp_matches({_X}, '{'|'.join(T.AUTHOR_MARKS)}') OR len(list_filter(regexp_split_to_array({_X}, '\\s+'), lambda w: w <> '')) <= 2"
+SQL["paper_clean"] = rf"""{_PAPERS},
+a AS (SELECT doc_id, string_split({_CLEAN}, chr(10)) AS l FROM p),
+b AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches({_X}, '{T.BODY_OPENS}')), true) AS body FROM a),
+c AS (SELECT doc_id, CASE WHEN body > 2 THEN array_to_string(list_filter(l, lambda x, i: i = 1 OR i >= body OR NOT ({_AUTHORS})), chr(10)) ELSE array_to_string(l, chr(10)) END AS t FROM b),
+e AS (SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(t, '{T.TAIL}', ''), ' '), chr(10)), lambda x: NOT regexp_matches({_X}, '{T.CODE_LINE}')), chr(10)) AS t FROM c),
+g AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ') AS t FROM e)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha FROM g
+"""
+
+
+def paper_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the papers, short ones joined to the one before."""
+    rows = sections(_papers(spark, d), "doc_id", "md")
+    return rows.select("doc_id", "section_id", "title", F.sha2("text", 256).alias("text"))
+
+
+SQL["paper_sections"] = rf"""{_PAPERS},
+l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, unnest(range(1, len(string_split(md, chr(10))) + 1)) AS i FROM p),
+h AS (SELECT *, trim(regexp_extract(line, '^\s{{0,3}}#{{1,6}}\s+(.+?)\s*$', 1), ' ') AS title FROM l),
+k AS (SELECT *, sum(CASE WHEN title <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h WHERE NOT (title <> '' AND (regexp_matches(lower(title), '^page\s+\d+\b') OR lower(title) IN ('acknowledgments', 'acknowledgements')))),
+s AS (SELECT doc_id, n, coalesce(max(CASE WHEN title <> '' THEN title END), 'Preamble') AS title, regexp_replace(coalesce(string_agg(CASE WHEN title = '' THEN line END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM k GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1 OR length(body) >= {SHORT} OR regexp_matches(lower(title), '^(\d+(\.\d+)*)\s+') OR lower(title) IN ({", ".join(f"'{x}'" for x in MAJOR)}) THEN 1 ELSE 0 END AS lead FROM s WHERE body <> ''),
+g AS (SELECT *, sum(lead) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM m)
+SELECT doc_id, concat('S', CAST(k AS BIGINT)) AS section_id, arg_min(title, n) AS title, sha256(string_agg(body, chr(10) || chr(10) ORDER BY n)) AS text FROM g GROUP BY doc_id, k
+"""
+
+
+def claim_places(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts as claims: their macro and type under titles and roles that go round, and the words that key them."""
+    k = (F.col("item_id") % 6 + 1).cast("int")
+    titles, roles = ("1 Introduction", "3 Method", "Experiments", "Conclusion", "Video Fact-Checking Datasets", None), ("problem", "Method module", "result", "dataset", None, "other")
+    at = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), k)
+    claim = F.concat("text", F.when(F.col("item_id") % 4 == 0, " we propose a dataset, checked by a module; accuracy remains.").otherwise(" limitation of the existing framework"))
+    return _t(spark, d, "benchmark").select("item_id", macro_of(claim, at(titles)).alias("macro"), claim_type(claim, at(roles)).alias("type"), F.array_join(T.key_terms(claim), ",").alias("terms"), T.as_claim(F.concat(F.lit("- "), F.lower("text"))).alias("claim"))
+
+
+def _any_sql(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_SCORES = {m: f"CASE WHEN {_any_sql('s', names)} THEN {weight} ELSE 0 END + " + " + ".join(f"CASE WHEN contains(c, '{w}') THEN 2 ELSE 0 END" for w in CLAIM_WORDS[m]) for m, (weight, names) in SECTION_WORDS.items()}
+_OLD = f"(contains(s, '{OLD_SECTION}') AND {_any_sql('c', OLD_DATASETS)})"
+_SCORES["M1"] += f" + CASE WHEN {_OLD} THEN 5 ELSE 0 END"
+_SCORES["M2"] += f" - CASE WHEN {_OLD} THEN 3 ELSE 0 END + CASE WHEN contains(c, 'dataset') AND {_any_sql('c', NEW_DATASET)} THEN 2 ELSE 0 END"
+_KINDS = " ".join(f"WHEN {_any_sql('r', words)} THEN '{kind}'" for kind, words in ROLE_TYPES.items())
+SQL["claim_places"] = rf"""
+WITH b AS (
+    SELECT item_id, text, text || CASE WHEN item_id % 4 = 0 THEN ' we propose a dataset, checked by a module; accuracy remains.' ELSE ' limitation of the existing framework' END AS t,
+        lower(CASE item_id % 6 WHEN 0 THEN '1 Introduction' WHEN 1 THEN '3 Method' WHEN 2 THEN 'Experiments' WHEN 3 THEN 'Conclusion' WHEN 4 THEN 'Video Fact-Checking Datasets' ELSE '' END) AS s,
+        lower(CASE item_id % 6 WHEN 0 THEN 'problem' WHEN 1 THEN 'Method module' WHEN 2 THEN 'result' WHEN 3 THEN 'dataset' WHEN 4 THEN '' ELSE 'other' END) AS r
+    FROM benchmark
+),
+c AS (SELECT *, lower(t) AS c FROM b), m AS (SELECT *, {", ".join(f"{x} AS {m}" for m, x in _SCORES.items())}, CASE {_KINDS} ELSE '{OTHER_TYPE}' END AS k FROM c),
+w AS (SELECT item_id, list_filter(regexp_extract_all(t, '[A-Za-z][A-Za-z\-]{{3,}}'), lambda x: NOT list_contains([{", ".join(f"'{x}'" for x in T.TERM_STOPS)}], lower(x))) AS w FROM b),
+u AS (SELECT item_id, list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:6] AS w FROM w),
+q AS (SELECT item_id, trim(regexp_replace(regexp_replace(trim('- ' || lower(text), ' '), '^[-*]+|[-*]+$', '', 'g'), '\s+', ' ', 'g'), ' ') AS q FROM b),
+v AS (SELECT item_id, CASE WHEN regexp_matches(q, '[.!?。！？]$') OR q = '' THEN q ELSE q || '.' END AS q FROM q)
+SELECT m.item_id, CASE greatest(M1, M2, M3, M4) {" ".join(f"WHEN {x} THEN '{x}'" for x in TIE_ORDER)} END AS macro, CASE WHEN k = 'method' AND {_any_sql("c", MECHANISM_WORDS)} THEN 'mechanism' ELSE k END AS type,
+    array_to_string(u.w, ',') AS terms, upper(substr(v.q, 1, 1)) || substr(v.q, 2) AS claim
+FROM m JOIN u ON m.item_id = u.item_id JOIN v ON m.item_id = v.item_id
+"""
+
+
+def text_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Small functions of texts and numbers, over parts."""
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    given = F.array(F.concat(name, F.lit(" ")), F.lit(" "), kind, name, F.col("p_brand"))
+    joined = lambda x: F.array_join(x, "|")
+    return _t(spark, d, "part").select(
+        "p_partkey", T.safe_path_component(F.concat(F.lit("../"), name, F.lit("/"), F.col("p_brand"), F.lit("."))).alias("path"), joined(T.panel_labels(F.concat(F.lit("(A) "), name, F.lit(" (b), (a) and ("), F.substring(kind, 1, 1), F.lit(")")))).alias("panels"),
+        T.trailing_int(F.col("p_brand")).alias("number"), joined(T.deduped(given)).alias("deduped"), joined(T.bounded(given, F.array(kind, F.col("p_brand")))).alias("bounded"), T.truncated(F.concat(name, F.lit("   x")), 12).alias("truncated"),
+        T.rendered("{a}-{b}-{a}{c}", a=name, b=F.lit("{a}"), c=F.when(k % 2 == 0, kind)).alias("rendered"), joined(T.id_list(F.concat(name, F.lit(",, "), kind, F.lit(" "), name))).alias("ids"), T.confidence((k / 100 - 0.5).cast("string")).alias("confidence"),
+        T.leaks_labels(F.concat(name, F.when(k % 3 == 0, " KC12").otherwise(" KCs"))).alias("leaks"), T.caption(F.concat(F.when(k % 3 == 0, "Fig. ").when(k % 3 == 1, " TABLE ").otherwise("see "), k.cast("string"))).getField("kind").alias("caption"),
+        F.array_join(F.map_values(F.map_from_entries(F.array_sort(F.map_entries(T.merged_scope(F.create_map(F.lit("x"), name, F.lit("y"), F.lit(" ")), {"y": "default", "z": "last"}))))), "|").alias("scope"),
+        T.paragraph_range(T.paragraphs(F.concat_ws("\n\n", name, kind, F.col("p_brand"))), F.array(F.lit("P2"), F.lit("odd"), F.concat(F.lit("P"), (k % 4 + 1).cast("string")))).alias("cited"),
+    )
+
+
+SQL["text_helpers"] = r"""
+WITH p AS (SELECT *, lower(substr(p_type, 1, 1)) AS first, [concat(p_name, ' '), ' ', p_type, p_name, p_brand] AS given, least(2, p_partkey % 4 + 1) AS low, least(3, greatest(2, p_partkey % 4 + 1)) AS high, [p_name, p_type, p_brand] AS ps FROM part)
+SELECT p_partkey, regexp_replace(regexp_replace('../' || p_name || '/' || p_brand || '.', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS path, CASE WHEN first IN ('a', 'b') THEN 'a|b' ELSE 'a|b|' || first END AS panels,
+    CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS number, concat_ws('|', p_name, p_type, p_brand) AS deduped, concat_ws('|', p_type, p_brand) AS bounded, rtrim(substr(p_name || '   x', 1, 12), ' ') AS truncated,
+    p_name || '-{a}-' || p_name || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS rendered, array_to_string(list_filter(list_concat(string_split(p_name, ' '), CASE WHEN list_contains(string_split(p_name, ' '), p_type) THEN [] ELSE [p_type] END), lambda x, i: x <> '' AND list_position(list_concat(string_split(p_name, ' '), [p_type]), x) = i), '|') AS ids,
+    round(greatest(0.0, least(1.0, p_partkey / 100 - 0.5)), 4) AS confidence, p_partkey % 3 = 0 AS leaks, CASE p_partkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' END AS caption, concat_ws('|', p_name, 'default', 'last') AS scope,
+    array_to_string(ps[low:high], chr(10) || chr(10)) AS cited
+FROM p
+"""
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of blocks per page, from a table function."""
     pages = _t(spark, d, "pages").select("page_id", F.regexp_replace("html", "(?i)<(p|h1|article|footer|nav|ul|li)\\b", "\n\n<$1").alias("text"))
