@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.storage import discard, written
+from quarry.storage import discard, kept, scratch, written
 
-__all__ = ["bounded", "bucket_of", "discard", "ranked", "slices", "written"]
+__all__ = ["bounded", "bucket_of", "discard", "kept", "ranked", "scratch", "slices", "small_batches", "written"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -30,8 +31,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
                 yield b
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside; the session's own settings are put back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: Rows up to which a table of short rows is sent to all tasks.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 200_000
 
 
 def bounded(df: DataFrame, most_rows: int = SENT_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, written
+from quarry.llm.common import slices, small_batches, written
 
 #: The contract's words, on lower-cased UTF-8: bytes of characters beyond ASCII, digits and letters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -72,7 +72,8 @@ def index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment_words
             yield _packed(next(segment), ids, lengths, list(terms), numbers)
 
     keyed = docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-    return written(keyed.mapInArrow(run, SCHEMA), "postings")
+    with small_batches(docs.sparkSession):
+        return written(keyed.mapInArrow(run, SCHEMA), "postings")
 
 
 class _Lists:

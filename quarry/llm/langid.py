@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices
 
 
-def _class(*categories: str) -> str:
-    """The characters of the categories as ranges of a character class."""
-    marks = [c for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) in categories]
+def _class(*categories: str, end: int = 0x110000) -> str:
+    """The characters of the categories below `end` as ranges of a character class."""
+    marks = [c for c in (*range(min(end, 0x20000)), *range(min(end, 0xE0000), min(end, 0xE0200))) if unicodedata.category(chr(c)) in categories]
     cuts = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1] + 1]
     return "".join(f"{re.escape(chr(marks[a]))}-{re.escape(chr(marks[b - 1]))}" for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True))
 
@@ -37,8 +37,8 @@ _MARKS, _NUMERALS = _class("Mn", "Mc", "Me"), _class("Nl", "No")
 #: Letters (categories L), with the marks (categories M) that stand among them; numerals such as fractions are none.
 _LETTER = rf"[^\W\d_{_NUMERALS}]"
 WORD = re.compile(rf"{_LETTER}+(?:[{_MARKS}]+{_LETTER}*)*")
-#: The same for texts that hold neither marks nor such numerals, which is faster to match.
-_ODD, _PLAIN = re.compile(f"[{_MARKS}{_NUMERALS}]"), re.compile(r"[^\W\d_]+")
+#: The same for texts that hold neither marks nor such numerals, which is faster to match; texts with characters of higher planes are matched in full.
+_ODD, _PLAIN = re.compile(f"[{_class('Mn', 'Mc', 'Me', 'Nl', 'No', end=0x10000)}\U00010000-\U0010FFFF]"), re.compile(r"[^\W\d_]+")
 #: Where the ranges of code points of the scripts begin, from the Unicode block list; what lies below the first is Latin.
 RANGES = ((0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x780, "other"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3100, "other"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "other"))
 SCRIPTS = ("Latin", *dict.fromkeys(s for _, s in RANGES if s != "Latin"))

@@ -32,7 +32,7 @@ from quarry.llm.common import slices
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept since the last turn-over, and pairs judged. Beyond, words not met again until the next turn-over are forgotten.
-KEPT, PAIRS = 150_000, 400_000
+KEPT, PAIRS = 200_000, 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -209,7 +209,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(at: str, sent: Broadcast) -> Encoder:
-    """The encoder of a call: a worker keeps it from task to task, with the pairs it has judged and a bounded number of words."""
+    """The encoder of a call: a worker keeps it, with the pairs it has judged, from task to task; words go when a task ends."""
     if at not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[at] = Encoder(Model(*sent.value))
@@ -223,14 +223,17 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", chec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(at, sent)
-        for b in slices(batches, 250, 2 << 20):
-            texts = b.column(place).to_pylist()
-            ids = encoder.encode_all(texts)
-            sizes = np.array([len(x) for x in ids], np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
-            more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
+        try:
+            for b in slices(batches, 250, 2 << 20):
+                texts = b.column(place).to_pylist()
+                ids = encoder.encode_all(texts)
+                sizes = np.array([len(x) for x in ids], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int32)))
+                more = [lists, pa.array(sizes.astype(np.int64))] + [pa.array([encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] * check
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"][: b.num_columns + 2 + check])
+        finally:
+            encoder.kept, encoder.old = {}, {}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * check)

@@ -25,7 +25,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, discard, ranked, written
+from quarry.llm.common import bucket_of, discard, kept, ranked, scratch, written
 
 #: Rows that one task sorts when ranks are made.
 PER_BUCKET = 50_000
@@ -185,16 +185,16 @@ def balanced(nodes: DataFrame, state: DataFrame, shards: int, total: int, order:
 def assign(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes and 16), text_crc32, shard, slot (gapless in its shard, from 0)."""
     t = F.col(text)
-    own = docs.select(F.col(id), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("key"))
-    own = written(own, "shard-rows")
-    total = own.count()
-    per = max(1, -(-total // shards // PER_BUCKET))
-    # a number by id and text, which does not depend on files: rows equal in both may change places
-    nodes = written(ranked(own, [], [id, "key"], [], max(1, -(-total // PER_BUCKET)), "uid"), "shard-nodes")
-    links = written(equal_text_links(nodes, "key", max(2, total // (4 * shards))), "shard-links")
-    state = propagated(links, shards, total // shards, rounds, per)
-    placed = written(balanced(nodes.drop("key"), state, shards, total, [id, "uid"]), "shard-placed")
-    discard(own, nodes, links, state)
+    with scratch() as made:
+        own = docs.select(F.col(id), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("key"))
+        own = written(own, "shard-rows")
+        total = own.count()
+        per = max(1, -(-total // shards // PER_BUCKET))
+        # a number by id and text, which does not depend on files: rows equal in both may change places
+        nodes = written(ranked(own, [], [id, "key"], [], max(1, -(-total // PER_BUCKET)), "uid"), "shard-nodes")
+        links = written(equal_text_links(nodes, "key", max(2, total // (4 * shards))), "shard-links")
+        state = propagated(links, shards, total // shards, rounds, per)
+        placed = kept(made, written(balanced(nodes.drop("key"), state, shards, total, [id, "uid"]), "shard-placed"))
     return ranked(placed, ["shard"], [id, "uid"], [], per, "slot").select(id, "size", "text_crc32", "shard", "slot")
 
 

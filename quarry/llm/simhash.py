@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, bucket_of, discard, slices, written
+from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, small_batches, written
 from quarry.operators.components import components
 
 BITS = 31
@@ -218,12 +218,13 @@ def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFra
 
 def near_duplicates(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """One row per class of equal fingerprints: fingerprint, n_docs, component_id (smallest id reachable). prints: id, fingerprint, written."""
-    classes = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    of = components(links(classes, threshold))
-    labelled = classes.join(of, classes["fingerprint"] == of["node"], "left").select("fingerprint", "first", "n_docs", F.coalesce("root", "fingerprint").alias("root"))
-    labelled = written(labelled, "labelled")
-    first = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(labelled.join(first, "root").select("fingerprint", "n_docs", "component_id"), "components")
+    with scratch() as made:
+        classes = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_docs")), "classes")
+        of = components(links(classes, threshold))
+        labelled = classes.join(of, classes["fingerprint"] == of["node"], "left").select("fingerprint", "first", "n_docs", F.coalesce("root", "fingerprint").alias("root"))
+        labelled = written(labelled, "labelled")
+        first = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+        return kept(made, written(labelled.join(first, "root").select("fingerprint", "n_docs", "component_id"), "components"))
 
 
 #: Near copies are compared by PRINTS fingerprints of 64 bits over shingles of SHORT words, where they differ in WIDE bits at most.
@@ -299,6 +300,11 @@ def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, le
     closer ones; what is seen is confirmed exactly on the whole texts. Among the members of an anchor the closest pairs that join what
     none has joined are confirmed, so a large group sends about as many pairs as it has members. Documents equal in all fingerprints are one class; those without words are one, too.
     """
+    with small_batches(docs.sparkSession), scratch() as made:
+        return kept(made, _near_copies(docs, id, text, words, least, most, block))
+
+
+def _near_copies(docs: DataFrame, id: str, text: str, words: int, least: float, most: int, block: int) -> DataFrame:
     prints = written(several_prints(docs, id, text), "copies-prints")
     classes = written(prints.groupBy("p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-classes")
     pairs = written(_wide_pairs(classes, most, block), "copies-pairs")
@@ -331,9 +337,7 @@ def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, le
     named = written(named, "copies-named")
     several = written(named.groupBy("root").agg(F.min("first").alias("group"), F.sum("n").alias("rows")).filter("rows > 1"), "copies-groups")
     of_class = written(named.join(bounded(several), "root").select("p0", "p1", "group"), "copies-of-class")
-    done = written(prints.join(bounded(of_class), ["p0", "p1"], "left").select("id", F.coalesce("group", "id").alias("group")), "copies")
-    discard(prints, classes, pairs, chosen, sets, linked, roots, named, several, of_class)
-    return done
+    return written(prints.join(bounded(of_class), ["p0", "p1"], "left").select("id", F.coalesce("group", "id").alias("group")), "copies")
 
 
 def as_hex(fingerprint: str = "fingerprint") -> Column:
