@@ -41,16 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
-    """A block whose stored tables are removed at its end, but for those taken off the list it gives; what is kept must not read the others."""
+    """A block whose stored tables are removed at its end, but for those taken off the list it gives (kept); what is kept must not read the others."""
     made: list[DataFrame] = []
     _OPEN.append(made)
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN.pop()
         discard(*made)
 
 
+def kept(made: list[DataFrame], df: DataFrame) -> DataFrame:
+    """df, a stored table, taken off the list of its scratch block; a block around that one may still remove it."""
+    made[:] = [x for x in made if x is not df]
+    if len(_OPEN) > 1 and _OPEN[-1] is made:
+        _OPEN[-2].append(df)
+    return df
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables that written() stored, once nothing that is still to run reads them; other frames are left as they are."""
     for df in frames:
