@@ -268,9 +268,9 @@ SELECT a.r_regionkey AS source_category, b.r_regionkey AS target_category, count
 
 
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Customers that no order names, as nodes without an edge, and nations without heavy trade of half more than the average."""
+    """Customers without an order over 450,000, as nodes without an edge, and nations without heavy trade of half more than the average."""
     nations = G.isolated(_t(spark, d, "nation").select("n_nationkey"), _heavy(_trade(spark, d), 1.5), "n_nationkey", "source", "target").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("node"))
-    bought = _t(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") + 10**12).alias("target"))
+    bought = _t(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") + 10**12).alias("target"))
     customers = G.isolated(_t(spark, d, "customer").select("c_custkey"), bought, "c_custkey", "source", "target").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("node"))
     return nations.unionByName(customers)
 
@@ -278,7 +278,7 @@ def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
 SQL["isolated_nodes"] = f"""
 WITH t AS ({_TRADE}), h AS (SELECT * FROM t WHERE n >= 1.5 * (SELECT avg(n) FROM t))
 SELECT 'nation' AS kind, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey NOT IN (SELECT source FROM h) AND n_nationkey NOT IN (SELECT target FROM h)
-UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)
 """
 
 
