@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, stored as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, stored as Parquet in the shared folder and read again; rows are kept apart by the values of `by`, so that a filter on it reads its own files alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     if _OPEN:
