@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, sharding, simhash, topk, urls
+from quarry.llm import ann, chat, clusters, decontaminate, langid, phrases, pieces, quality, secrets, sharding, simhash, topk, urls
 from quarry.llm.common import written
 
 
@@ -86,6 +86,19 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op11_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
+    done = clusters.fit(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", dim=64, k=8, rounds=10, by=1024, seed=3)
+    return clusters.assigned(done).withColumnRenamed("id", "vec_id")
+
+
+def op12_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.mine(spark.read.parquet(f"{d}/documents.parquet").select("lang", "text"), longest=4, least=30, most=2000)
+
+
+def op13_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -229,5 +242,49 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+def _op11_sql(rounds: int = 10) -> str:
+    """The rounds one after another. Products of whole numbers of this size are exact in doubles."""
+    far = "CAST(list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c) AS BIGINT)"
+    pick = lambda i: f"a{i} AS MATERIALIZED (SELECT r, k, d FROM (SELECT r, k, {far} AS d FROM v, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"
+    steps = [pick(0)]
+    for i in range(rounds):
+        steps.append(f"m{i} AS MATERIALIZED (SELECT k, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS j, unnest(v) AS x FROM a{i} JOIN v USING (r)) GROUP BY k, j)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(u, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS u FROM m{i} GROUP BY k) USING (k))")
+        steps.append(pick(i + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v AS c FROM v QUALIFY k < 8),
+{", ".join(steps)},
+t AS (SELECT k, CAST(sum(d) AS BIGINT) AS per FROM a{rounds} GROUP BY k),
+h AS (SELECT k, sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS said FROM c{rounds})
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, per AS cluster_inertia, CAST((SELECT sum(per) FROM t) AS BIGINT) AS inertia, said AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN t USING (k) JOIN h USING (k)
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT r, lang, unnest(string_split_regex(t, '[.,;:!?
+-]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^ 	]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, w[i : i + k - 1] AS g, k, count(*) AS a FROM s GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1),
+x AS (
+    SELECT c.lang, c.g, c.a, cut, l.a AS l, r.a AS r, CAST((2000000 * CAST(c.a AS HUGEINT)) // (l.a + r.a) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[cut + 1 :]
+),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT lang, g[i : i + m - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY 1, 2),
+q AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(b.a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM q JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_secret_scan": OP8_SQL}
+    return {"op11_centroid_clustering": _op11_sql(), "op12_phrase_collocations": OP12_SQL, "op4_exact_top_k": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_secret_scan": OP8_SQL}
