@@ -70,7 +70,7 @@ def learned(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> Rotat
     mean = sample.mean(axis=0)
     centred = sample - mean
     most = np.abs(centred).max(initial=0) or 1.0
-    _, axes = np.linalg.eigh(np.cov((centred / most).T).reshape(sample.shape[1], -1))
+    _, axes = np.linalg.eigh((centred / most).T @ (centred / most))
     axes = axes[:, ::-1][:, : min(bits, sample.shape[1])]
     low, parts = (centred / most) @ axes, []
     for seed in range(-(-bits // axes.shape[1])):

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from quarry.llm import chat, decontaminate, langid, pieces, quality, secrets, sharding, simhash, topk, urls
+from quarry.llm import ann, chat, clusters, decontaminate, langid, phrases, pieces, quality, secrets, sharding, simhash, topk, urls
 from quarry.llm import queries as q
 
 CLASH = "uid long, id string, key string, found int, rank int, shard int, fingerprint string, number int, host string, end int"
@@ -27,6 +27,7 @@ def test_documents(spark, tmp_path):
     assert {r.base_sha256 for r in q.op8_secret_scan(spark, d).collect()} == {hashlib.sha256(b"").hexdigest()}
     assert q.op9_simhash_near_dedup(spark, d).count() == n
     assert all(0 <= r.score <= 1 for r in q.op10_quality_rules(spark, d).collect())
+    assert q.op12_phrase_collocations(spark, d).count() == 0
 
 
 def test_other_tables(spark, tmp_path):
@@ -35,10 +36,12 @@ def test_other_tables(spark, tmp_path):
     clashing(spark, tmp_path, "conversations", [(None, None, None, None), (1, None, "user", None), (1, 0, None, "x"), (1, 0, None, "x")], "conv_id long, turn long, role string, text string")
     d = str(tmp_path)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in q.op4_exact_top_k(spark, d).collect()) == [(20, 1, 20, 1024), (20, 1, 20, 1024), (20, 2, 21, 1024), (20, 2, 21, 1024)]
+    assert q.op11_centroid_clustering(spark, d).count() == 0
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in q.op13_nearest_neighbours(spark, d).collect()) == []
     assert sorted((r.host, r.verdict) for r in q.op6_url_filter(spark, d).collect()) == [("", "allow"), ("a.com", "allow"), ("a.com", "allow"), ("x.net", "block")]
     assert sorted((r.conv_id or 0, r.n_turns) for r in q.op7_chat_format(spark, d).collect()) == [(-7, 2), (0, 1), (1, 3)]
 
 
 def test_every_operator_states_its_results():
-    for m in (chat, decontaminate, langid, pieces, quality, secrets, sharding, simhash, topk, urls):
+    for m in (ann, chat, clusters, decontaminate, langid, phrases, pieces, quality, secrets, sharding, simhash, topk, urls):
         assert "Defined results:" in m.__doc__, m.__name__
