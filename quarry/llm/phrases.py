@@ -1,7 +1,7 @@
 """Phrase collocation mining: exact counts of frequent phrases by minimal perfect hashing, and their weakest cuts.
 
-1. Each text is split into words once. Its words go on as 64-bit hashes with zeros for the breaks between pieces, in rows of up to a
-   million words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
+1. Each text is split into words once. Its words go on as 64-bit hashes with zeros for the breaks between pieces, in rows of up to
+   131,072 words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
@@ -39,9 +39,9 @@ ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 BREAK = b"\xff"  # in no UTF-8 text
 LOWERED = bytes(255 if x in ENDS else 32 if x in BLANKS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words of one encoded row, bytes of text split at a time, words of a task's dictionary before it sends its counts.
-ROW, PIECE, HELD = 1 << 20, 1 << 20, 400_000
-#: Words whose phrases a task brings together before it sends them.
-GATHERED = 1 << 22
+ROW, PIECE, HELD = 1 << 17, 1 << 20, 250_000
+#: Phrases that a task brings together before it sends them.
+GATHERED = 1 << 20
 #: Candidates of one turn: 24 MB of keys, counts and bits.
 TURN = 1 << 19
 #: Slots of one part of an array of counts, and arrays added up at a time.
@@ -249,19 +249,21 @@ def passing(code: np.uint64, codes: np.ndarray, filters: list[Bits]) -> Iterator
     yield np.flatnonzero(ok)
 
 
-def _unique(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each different one, how many there are of it)."""
+def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the different rows of some columns, how many there are of each)."""
+    if not len(columns[0]):
+        return columns, np.zeros(0, np.int64)
     h = joined(columns)
     order = np.argsort(h, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(at, len(h)))
-    of = np.repeat(order[at], counts)
-    if any((c[order] != c[of]).any() for c in columns):  # two phrases of one hash
+    h, columns = h[order], [c[order] for c in columns]
+    new = lambda cs: np.logical_or.reduce([np.concatenate([[True], c[1:] != c[:-1]]) for c in cs])
+    first = new(columns)
+    if first.sum() > new([h]).sum():  # different rows of one hash may lie mixed
         order = np.lexsort(columns)
-        new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(h)))
-    return order[at], counts
+        columns = [c[order] for c in columns]
+        first = new(columns)
+    at = np.flatnonzero(first)
+    return [c[at] for c in columns], np.diff(np.append(at, len(first)))
 
 
 def filter_bits(spark: SparkSession, frequent: DataFrame, k: int) -> Bits:
@@ -295,9 +297,8 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
         held: dict[str, list[list[np.ndarray]]] = {}
 
         def told(lang: str) -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*held.pop(lang), strict=True)]
-            first, n = _unique(columns)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *(pa.array(c[first].view(np.int64)) for c in columns), pa.array(np.minimum(n, least).astype(np.int32))], names=["lang", *names, "n"])
+            columns, n = _unique([np.concatenate(x) for x in zip(*held.pop(lang), strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.minimum(n, least).astype(np.int32))], names=["lang", *names, "n"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -307,9 +308,9 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
                 at = at[at < own]
                 if len(at):
                     held.setdefault(lang, []).append([words[at + j] for j in range(k)])
-                if len(at) and sum(len(p[0]) for p in held[lang]) > GATHERED // k:
+                if len(at) and sum(len(p[0]) for p in held[lang]) > GATHERED:
                     yield told(lang)
-                while len(held) > 1 and sum(len(p[0]) for ps in held.values() for p in ps) > GATHERED // k:
+                while len(held) > 1 and sum(len(p[0]) for ps in held.values() for p in ps) > GATHERED:
                     yield told(max(held, key=lambda x: sum(len(p[0]) for p in held[x])))
         for lang in list(held):
             yield told(lang)
