@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, written
+from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, small_batches, written
 
 #: Bytes that end a piece, and those that lie between words.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -42,8 +42,8 @@ LOWERED = bytes(255 if x in ENDS else 32 if x in BLANKS else x + 32 if 65 <= x <
 ROW, PIECE, HELD = 1 << 17, 1 << 20, 250_000
 #: Phrases that a task brings together before it sends them.
 GATHERED = 1 << 20
-#: Candidates of one turn: 24 MB of keys, counts and bits.
-TURN = 1 << 19
+#: Candidates of one turn: 50 MB of keys, counts and bits.
+TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
 PART, FAN = 4096, 16
 #: Bits of the largest filter.
@@ -394,7 +394,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int =
     score: floor(scale * a / (l + r)) at the weakest cut. Phrases are left out that lie in a longer candidate of at least inside[0] /
     inside[1] of their occurrences.
     """
-    with scratch() as made:
+    with small_batches(docs.sparkSession), scratch() as made:
         return kept(made, _mined(docs, lang, text, longest, least, most, scale, inside, turn, row))
 
 
