@@ -5,6 +5,7 @@
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
+   Pairs, the most by far, must also reach the threshold in an array of fixed size that all tasks tally them in by hash (`tallied`).
    It sends each phrase it holds once, with its occurrences there or the threshold, whichever is less: the sum of these reaches the
    threshold exactly where the whole count does, so candidates are safe and few before anything is counted.
 3. A minimal perfect hash (`Slots`: levels of bits, collisions go on to the next level, the slot is the rank of the bit) numbers the
@@ -46,6 +47,8 @@ GATHERED = 1 << 20
 TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
 PART, FAN = 4096, 16
+#: Places of the array that pairs are tallied in.
+TALLY = 1 << 24
 #: Bits of the largest filter.
 MOST_BITS = 1 << 28
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -288,8 +291,62 @@ def filter_bits(spark: SparkSession, frequent: DataFrame, k: int) -> Bits:
     return Bits(size, {r["part"]: bytes(r["bits"]) for r in parts}, part)
 
 
+def summed(arrays: DataFrame, tasks: int, kind: type, most: int | None = None, fan: int = FAN) -> DataFrame:
+    """arrays (task, part, sums) added up by part in a tree, `fan` tasks at a time; no sum is kept beyond `most`."""
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), kind).astype(np.int64) for x in table.column("sums"))
+        total = total if most is None else np.minimum(total, most)
+        return pa.table({"task": pa.array([table.column("task")[0].as_py() // fan], pa.int64()), "part": table.column("part").slice(0, 1), "sums": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    while True:
+        arrays = arrays.groupBy((F.col("task") / fan).cast("long").alias("g"), F.col("part").alias("p")).applyInArrow(added, "task long, part long, sums binary")
+        tasks = -(-tasks // fan)
+        if tasks <= 1:
+            return arrays
+
+
+def _parts(sums: np.ndarray, part: int) -> pa.RecordBatch:
+    """A task's array in parts, without those that are zero."""
+    some = [i for i in range(0, len(sums), part) if sums[i : i + part].any()]
+    columns = [pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()), pa.array([i // part for i in some], pa.int64()), pa.array([sums[i : i + part].tobytes() for i in some], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "part", "sums"])
+
+
+def tallied(spark: SparkSession, codes: DataFrame, filters: list[Bits], least: int, size: int = TALLY) -> Bits:
+    """A filter of phrases one word longer than those filtered: their occurrences, tallied by hash in an array of fixed size, reach `least`.
+
+    Phrases of one place add up, so none that is frequent is lost, and most that are not stay out of what tasks send each other.
+    """
+    sent, most = spark.sparkContext.broadcast(filters), min(least, 255)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, sums = sent.value, np.zeros(size, np.uint8)
+        for b in batches:
+            for i in range(b.num_rows):
+                code, own, words = _spread(*(b.column(j)[i].as_py() for j in range(3)))
+                *_, at = passing(code, words, filters)
+                at = at[at < own]
+                place, n = np.unique(joined([np.full(len(at), code), *(words[at + j] for j in range(len(filters) + 1))]) & np.uint64(size - 1), return_counts=True)
+                place = place.astype(np.int64)
+                sums[place] = np.minimum(sums[place] + n, most)
+        yield _parts(sums, 1 << 16)
+
+    read = codes.select("lang", "own", "codes")
+    done = summed(read.mapInArrow(run, "task long, part long, sums binary"), read.rdd.getNumPartitions(), np.uint8, most)
+    packed = lambda x: np.packbits(np.frombuffer(bytes(x), np.uint8) >= most, bitorder="little").tobytes()
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(x.as_py()) for x in b.column(1)], pa.binary())], names=["part", "bits"])
+
+    found = Bits(size, {r["part"]: bytes(r["bits"]) for r in done.select("part", "sums").mapInArrow(bits, "part long, bits binary").collect()}, 1 << 16)
+    sent.destroy()
+    return found
+
+
 def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits], least: int, longest: int) -> DataFrame:
-    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written."""
+    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of k - 1 lengths, or of k."""
     sent = spark.sparkContext.broadcast(filters)
     names = [f"w{i}" for i in range(1, k + 1)]
 
@@ -304,7 +361,7 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
             for i in range(b.num_rows):
                 lang = b.column(0)[i].as_py()
                 code, own, words = _spread(lang, b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                *_, at = passing(code, words, sent.value)
+                at = next(x for i, x in enumerate(passing(code, words, sent.value), 1) if i == k)
                 at = at[at < own]
                 if len(at):
                     held.setdefault(lang, []).append([words[at + j] for j in range(k)])
@@ -340,21 +397,10 @@ def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[B
                     at = at[at < own]
                     slot = table.find([np.full(len(at), code), *(words[at + j] for j in range(k))])
                     sums += np.bincount(slot[slot >= 0], minlength=n)
-        task = TaskContext.get().partitionId()
-        parts = [i for i in range(0, n, part) if sums[i : i + part].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int64()), pa.array([i // part for i in parts], pa.int64()), pa.array([sums[i : i + part].tobytes() for i in parts], pa.binary())], names=["task", "part", "sums"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
-        return pa.table({"task": pa.array([table.column("task")[0].as_py() // fan], pa.int64()), "part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+        yield _parts(sums, part)
 
     read = codes.select("lang", "own", "codes")
-    sums, tasks = read.mapInArrow(run, "task long, part long, sums binary"), read.rdd.getNumPartitions()
-    while True:
-        sums = sums.groupBy((F.col("task") / fan).cast("long").alias("g"), F.col("part").alias("p")).applyInArrow(added, "task long, part long, sums binary")
-        tasks = -(-tasks // fan)
-        if tasks <= 1:
-            break
+    sums = summed(read.mapInArrow(run, "task long, part long, sums binary"), read.rdd.getNumPartitions(), np.int64, fan=fan)
     out = np.zeros(n, np.int64)
     for r in sums.collect():  # one array of the turn's size
         data = np.frombuffer(bytes(r["sums"]), np.int64)
@@ -414,7 +460,8 @@ def _mined(docs: DataFrame, lang: str, text: str, longest: int, least: int, most
     frequent = written(words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]]), "phrases-candidates")
     levels, filters = [frequent], [filter_bits(spark, frequent, 1)]
     for k in range(2, longest + 1):
-        levels.append(candidates(spark, codes, k, filters, least, longest))
+        tally = [tallied(spark, codes, filters, least)] if k == 2 else []  # pairs are by far the most
+        levels.append(candidates(spark, codes, k, filters + tally, least, longest))
         filters.append(filter_bits(spark, levels[-1], k))
     everything = reduce(DataFrame.unionByName, levels)
     turns = max(1, -(-everything.count() * 5 // (4 * turn)))  # hashes do not deal them out quite evenly
