@@ -1,7 +1,7 @@
 """Phrase collocation mining: exact counts of frequent phrases by minimal perfect hashing, and their weakest cuts.
 
 1. Each text is split into words once. Its words go on as 64-bit hashes with zeros for the breaks between pieces, in rows of up to
-   131,072 words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
+   32,768 words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
@@ -40,7 +40,7 @@ ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 BREAK = b"\xff"  # in no UTF-8 text
 LOWERED = bytes(255 if x in ENDS else 32 if x in BLANKS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words of one encoded row, bytes of text split at a time, words of a task's dictionary before it sends its counts.
-ROW, PIECE, HELD = 1 << 17, 1 << 20, 250_000
+ROW, PIECE, HELD = 1 << 15, 1 << 20, 200_000
 #: Phrases that a task brings together before it sends them.
 GATHERED = 1 << 20
 #: Candidates of one turn: 50 MB of keys, counts and bits.
@@ -174,11 +174,11 @@ class _Words(dict):
         n = np.bincount(numbers[:own], minlength=len(self.hashes))
         n[: len(self.counts)] += self.counts
         self.counts = n
-        return np.array(self.hashes, np.uint64)[numbers]
+        return np.fromiter(self.hashes, np.uint64, len(self.hashes))[numbers]
 
 
 def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42, row: int = ROW) -> DataFrame:
-    """Two kinds of rows, written apart: `codes` (lang, own, codes: own words and longest - 1 more) and `words` (lang, word, hash, n).
+    """Two kinds of rows, written: `codes` (lang, own, codes: own words and longest - 1 more) and `words` (lang, word, hash, n).
 
     own: how many of the row's positions may begin a phrase; what stands behind them begins the next row.
     """
@@ -204,9 +204,10 @@ def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42,
             numbers = np.concatenate(parts)
             parts.clear()
             upto = len(numbers) if ended else max(0, len(numbers) - longest + 1)
+            codes = known[lang].codes(numbers, upto)
             for i in range(0, upto, row):
                 own = min(row, upto - i)
-                yield coded(lang, own, known[lang].codes(numbers[i : i + own + longest - 1], own))
+                yield coded(lang, own, codes[i : i + own + longest - 1])
             if upto < len(numbers):
                 parts.append(numbers[upto:])
 
@@ -216,7 +217,7 @@ def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42,
                 d, parts = known.setdefault(name, _Words(seed)), held.setdefault(name, [])
                 for part in blocks_of(t.as_py()):
                     parts.append(d.numbers(part))
-                    if len(part) >= PIECE // 2 and sum(map(len, parts)) > row:
+                    if len(part) >= PIECE // 2 and sum(map(len, parts)) > PIECE:
                         yield from rows(name, parts, False)
                 parts.append(np.zeros(1, np.int32))
             for name, parts in held.items():
@@ -227,7 +228,7 @@ def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42,
             yield counted(name)
 
     said = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    return written(said.mapInArrow(run, "kind string, lang string, word string, hash long, n long, own long, codes binary"), "phrases", by="kind")
+    return written(said.mapInArrow(run, "kind string, lang string, word string, hash long, n long, own long, codes binary"), "phrases")
 
 
 def _spread(lang: str, own: int, codes: bytes) -> tuple[np.uint64, int, np.ndarray]:
