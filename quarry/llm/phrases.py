@@ -1,7 +1,7 @@
 """Phrase collocation mining: exact counts of frequent phrases by minimal perfect hashing, and their weakest cuts.
 
 1. Each text is split into words once. Its words go on as 64-bit hashes with zeros for the breaks between pieces, in rows of up to
-   32,768 words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
+   16,384 words of a language (`encoded`); beside them lie each word's counts. The hash tells words apart exactly: whether any two
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
@@ -40,9 +40,9 @@ ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 BREAK = b"\xff"  # in no UTF-8 text
 LOWERED = bytes(255 if x in ENDS else 32 if x in BLANKS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words of one encoded row, bytes of text split at a time, words of a task's dictionary before it sends its counts.
-ROW, PIECE, HELD = 1 << 15, 1 << 20, 200_000
+ROW, PIECE, HELD = 1 << 14, 1 << 18, 100_000
 #: Phrases that a task brings together before it sends them.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Candidates of one turn: 50 MB of keys, counts and bits.
 TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
@@ -211,7 +211,7 @@ def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42,
             if upto < len(numbers):
                 parts.append(numbers[upto:])
 
-        for b in slices(batches, 2000, 4 << 20):
+        for b in slices(batches, 1000, 2 << 20):
             held: dict[str, list[np.ndarray]] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
                 d, parts = known.setdefault(name, _Words(seed)), held.setdefault(name, [])
