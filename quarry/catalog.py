@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import dialogues, metrics, planning, sequences, sets, states, texts
+from quarry.plans import calls, dialogues, metrics, planning, sequences, sets, states, texts
 
-PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states, dialogues, planning)
+PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states, dialogues, planning, calls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
