@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import calls, dialogues, metrics, planning, sequences, sets, states, texts, trees
+from quarry.plans import calls, dialogues, metrics, more, planning, sequences, sets, states, texts, trees
 
-PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states, dialogues, planning, calls, trees)
+PLANS: tuple[ModuleType, ...] = (metrics, sequences, sets, texts, states, dialogues, planning, calls, trees, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,3 +136,51 @@ def evaluation_context(blocks: DataFrame, assets: DataFrame) -> DataFrame:
     rows = blocks.join(covered, ["paper_id", "block_id"], "left").filter("at is null or at = 0")
     per = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("order", F.coalesce("rendered", "text").alias("t")))).alias("p"))
     return per.select("paper_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def quota_first(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id: str, order: Sequence[Column | str], quota: Column, minimum: int, limit: int) -> DataFrame:
+    """(keys, place, source, ids): each group's first `limit` plans: `minimum` nodes of the quota's kind, then nodes by rank, then edges that touch a node.
+
+    edges: keys, edge_id, source, target, whose order is edge_id's number; both ends must be among the nodes' group, so an edge touches one at
+    either end by a union of two semi joins. Only `limit` rows of each source of a group are ranked together.
+    """
+    of = lambda *c: Window.partitionBy(*keys, *c).orderBy(*order, id)
+    ranked = nodes.withColumn("_q", F.coalesce(quota, F.lit(False))).withColumn("_at", F.row_number().over(of("_q"))).filter(F.col("_at") <= limit)
+    chosen = F.col("_q") & (F.col("_at") <= minimum)
+    first = ranked.filter(chosen).select(*keys, F.lit(0).alias("_tier"), F.col("_at").cast("long").alias("_by"), F.lit("quota").alias("source"), F.array(id).alias("ids"))
+    rest = ranked.filter(~chosen).withColumn("_by", F.row_number().over(of()).cast("long")).filter(F.col("_by") <= limit)
+    rest = rest.select(*keys, F.lit(1).alias("_tier"), "_by", F.lit("rank").alias("source"), F.array(id).alias("ids"))
+    end = lambda c: edges.join(nodes.select(*keys, F.col(id).alias(c)).distinct(), [*keys, c], "left_semi")
+    touching = end("source").unionByName(end("target")).distinct()
+    by = Window.partitionBy(*keys).orderBy(trailing_number(F.col("edge_id")), "edge_id")
+    last = touching.withColumn("_by", F.row_number().over(by).cast("long")).filter(F.col("_by") <= limit).select(*keys, F.lit(2).alias("_tier"), "_by", F.lit("edge").alias("source"), F.array("edge_id", "source", "target").alias("ids"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_tier", "_by"))
+    return first.unionByName(rest).unionByName(last).withColumn("place", place).filter(F.col("place") <= limit).select(*keys, "place", "source", "ids")
+
+
+def short_of_quota(nodes: DataFrame, keys: Sequence[str], quota: Column, minimum: int) -> DataFrame:
+    """(keys, n): groups that have fewer nodes of the quota's kind than it asks for."""
+    return nodes.groupBy(*keys).agg(F.count_if(F.coalesce(quota, F.lit(False))).alias("n")).filter(F.col("n") < minimum)
+
+
+# The roles of thread turns whose relations are put to the test.
+RELATION_ROLES = ("bridge_reasoning", "review_consistency")
+
+
+def thread_relation_plans(turns: DataFrame, edges: DataFrame, nodes: DataFrame, keys: Sequence[str], limit: int = 12) -> DataFrame:
+    """(keys, place, thread_id, thread_turn_id, edge_ids, kc_ids): each group's first turns that rest on known edges between two components or more.
+
+    turns: keys, thread_id, thread_turn_id, role, supporting_edge_ids; edges: keys, edge_id, source, target; nodes: keys, kc_id. Edges and
+    components keep the order in which the turn names them, each component once.
+    """
+    named = turns.filter(F.col("role").isin(*RELATION_ROLES)).select(*keys, "thread_id", "thread_turn_id", F.posexplode("supporting_edge_ids").alias("_at", "edge_id"))
+    known = named.join(edges.select(*keys, "edge_id", "source", "target"), [*keys, "edge_id"])
+    ends = known.select(*keys, "thread_id", "thread_turn_id", "_at", "edge_id", F.posexplode(F.array("source", "target")).alias("_end", "kc_id"))
+    live = nodes.select(*keys, "kc_id").distinct().withColumn("_live", F.lit(True))
+    ends = ends.join(live, [*keys, "kc_id"], "left")
+    turn = [*keys, "thread_id", "thread_turn_id"]
+    listed = ends.groupBy(*turn).agg(  # a turn names some edges
+        F.array_sort(F.collect_set(F.struct("_at", "edge_id"))).alias("_e"), F.array_sort(F.collect_list(F.when(F.col("_live"), F.struct("_at", "_end", "kc_id")))).alias("_k"))
+    listed = listed.select(*turn, F.col("_e.edge_id").alias("edge_ids"), F.array_distinct(F.col("_k.kc_id")).alias("kc_ids")).filter(F.size("kc_ids") >= 2)
+    order = Window.partitionBy(*keys).orderBy(trailing_number(F.col("thread_id")), "thread_id", trailing_number(F.col("thread_turn_id")), "thread_turn_id")
+    return listed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

@@ -165,3 +165,29 @@ def means(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The mean of every numeric column."""
     numeric = [c for c, kind in rows.dtypes if kind in ("int", "bigint", "double", "float") and c not in by]
     return rows.groupBy(*by).agg(*[F.avg(c).alias(c) for c in numeric])
+
+
+def breakdowns(rows: DataFrame, keys: Sequence[str], dims: dict[str, Column], sets: dict[str, Sequence[str]], failed: Column) -> DataFrame:
+    """keys, n, n_failed, and for each set of dims by_<set> and failed_by_<set>: counts by its values, joint ones joined by |.
+
+    One scan and one shuffle of the rows: the sets are grouping sets, whose results are folded into maps by their grouping id. A null
+    value counts as `unknown`; failed_by maps hold what failed at least once.
+    """
+    flat = rows.select(*keys, *[F.coalesce(c.cast("string"), F.lit("unknown")).alias(d) for d, c in dims.items()], F.coalesce(failed, F.lit(False)).alias("_failed"))
+    columns = [*keys, *dims]
+    code = lambda chosen: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys and c not in chosen)
+    every = [list(keys), *([*keys, *s] for s in sets.values())]
+    each = flat.groupingSets([[F.col(c) for c in s] for s in every], *columns).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_failed").alias("_f"), F.grouping_id().alias("_id"))
+    named = lambda s: F.concat_ws("|", *s)
+    folded = lambda s, n: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("_id") == code(s)) & (F.col(n) > 0), F.struct(named(s).alias("k"), F.col(n).alias("n"))))))
+    whole = F.col("_id") == code(())
+    maps = [x for name, s in sets.items() for x in (folded(s, "_n").alias(f"by_{name}"), folded(s, "_f").alias(f"failed_by_{name}"))]
+    return each.groupBy(*keys).agg(F.max(F.when(whole, F.col("_n"))).alias("n"), F.max(F.when(whole, F.col("_f"))).alias("n_failed"), *maps)
+
+
+def challenge_breakdowns(turns: DataFrame, keys: Sequence[str], type_: Column, scope: Column, modality_: Column, failed: Column) -> DataFrame:
+    """The challenge counters of each task, with their rates: by type, scope, modality, and type and modality together."""
+    dims = {"type": type_, "scope": scope, "modality": modality_}
+    sets = {"type": ["type"], "scope": ["scope"], "modality": ["modality"], "type_and_modality": ["type", "modality"]}
+    out = breakdowns(turns, keys, dims, sets, failed)
+    return out.withColumns({"failure_rate": rate("n_failed", "n"), "resistance_rate": rate(F.col("n") - F.col("n_failed"), "n")})

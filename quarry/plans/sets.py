@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import claim_key, claim_tokens
+from quarry.functions.text import claim_key, claim_tokens, nfkc
 from quarry.operators import graph as G
 from quarry.operators import selection as X
 from quarry.operators import similarity as D
@@ -46,7 +46,7 @@ SELECT name, CAST(coalesce(try_cast(regexp_extract(name, '([0-9]+)$', 1) AS BIGI
 
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", claim_key(F.col("text")).alias("claim"))
+    rows = _t(spark, d, "documents").select("doc_id", claim_key(nfkc(F.col("text"))).alias("claim"))
     found = D.classes(rows, "doc_id", "claim").filter("n > 1")
     return found.select(F.col("rep").alias("first_id"), "n", "sha")
 
@@ -58,7 +58,7 @@ SELECT min(doc_id) AS first_id, count(*) AS n, sha256(claim) AS sha FROM t WHERE
 
 
 def _representatives(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(F.col("text")).alias("claim"))
+    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(nfkc(F.col("text"))).alias("claim"))
     reps = D.classes(rows, "doc_id", "claim", ["lang"]).select(F.col("rep").alias("doc_id"))
     return rows.join(reps, "doc_id", "left_semi").select("lang", F.col("doc_id").alias("rep"), F.array_distinct(F.split("claim", " ")).alias("tokens"))
 
@@ -81,7 +81,7 @@ FROM p JOIN n x ON p.a = x.id JOIN n y ON p.b = y.id WHERE CAST(shared AS DOUBLE
 
 
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(F.col("text")).alias("claim"), claim_tokens(F.col("text")).alias("tokens"))
+    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(nfkc(F.col("text"))).alias("claim"), claim_tokens(nfkc(F.col("text"))).alias("tokens"))
     return D.duplicate_groups(rows, "doc_id", "claim", "tokens", ["lang"])
 
 
