@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, stored as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """df, stored as Parquet in the shared folder and read again. row_group: bytes of a row group, which a reader of large values holds in memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     if _OPEN:
