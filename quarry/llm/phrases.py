@@ -41,6 +41,8 @@ BREAK = b"\xff"  # in no UTF-8 text
 LOWERED = bytes(255 if x in ENDS else 32 if x in BLANKS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Words of one encoded row, bytes of text split at a time, words of a task's dictionary before it sends its counts.
 ROW, PIECE, HELD = 1 << 14, 1 << 18, 100_000
+#: Bytes of a row group of the encoded texts: a reader holds one as vectors.
+GROUP = 8 << 20
 #: Phrases that a task brings together before it sends them.
 GATHERED = 1 << 19
 #: Candidates of one turn: 50 MB of keys, counts and bits.
@@ -228,7 +230,7 @@ def encoded(docs: DataFrame, text: str, lang: str, longest: int, seed: int = 42,
             yield counted(name)
 
     said = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    return written(said.mapInArrow(run, "kind string, lang string, word string, hash long, n long, own long, codes binary"), "phrases")
+    return written(said.mapInArrow(run, "kind string, lang string, word string, hash long, n long, own long, codes binary"), "phrases", row_group=GROUP)
 
 
 def _spread(lang: str, own: int, codes: bytes) -> tuple[np.uint64, int, np.ndarray]:
@@ -375,7 +377,9 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
 
     seen = codes.select("lang", "own", "codes").mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "n int"]))
     found = seen.groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return written(found.select("lang", *names, *[F.lit(0).cast("long").alias(f"w{i}") for i in range(k + 1, longest + 1)]), "phrases-candidates")
+    done = written(found.select("lang", *names, *[F.lit(0).cast("long").alias(f"w{i}") for i in range(k + 1, longest + 1)]), "phrases-candidates")
+    sent.destroy()
+    return done
 
 
 def _array_of(keys: pa.Table, longest: int) -> np.ndarray:
