@@ -5,7 +5,7 @@
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
-   Pairs, the most by far, must also reach the threshold in an array of fixed size that all tasks tally them in by hash (`tallied`).
+   It must also reach the threshold in an array of fixed size that all tasks tally the level's phrases in by hash (`tallied`).
    It sends each phrase it holds once, with its occurrences there or the threshold, whichever is less: the sum of these reaches the
    threshold exactly where the whole count does, so candidates are safe and few before anything is counted.
 3. A minimal perfect hash (`Slots`: levels of bits, collisions go on to the next level, the slot is the rank of the bit) numbers the
@@ -44,12 +44,12 @@ ROW, PIECE, HELD = 1 << 14, 1 << 18, 100_000
 #: Bytes of a row group of the encoded texts: a reader holds one as vectors.
 GROUP = 8 << 20
 #: Phrases that a task brings together before it sends them.
-GATHERED = 1 << 19
+GATHERED = 1 << 20
 #: Candidates of one turn: 50 MB of keys, counts and bits.
 TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
 PART, FAN = 4096, 16
-#: Places of the array that pairs are tallied in.
+#: Places of the array that the phrases of a level are tallied in.
 TALLY = 1 << 24
 #: Bits of the largest filter.
 MOST_BITS = 1 << 28
@@ -349,7 +349,7 @@ def tallied(spark: SparkSession, codes: DataFrame, filters: list[Bits], least: i
 
 
 def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits], least: int, longest: int) -> DataFrame:
-    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of k - 1 lengths, or of k."""
+    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of the shorter lengths, and the level's own."""
     sent = spark.sparkContext.broadcast(filters)
     names = [f"w{i}" for i in range(1, k + 1)]
 
@@ -465,8 +465,7 @@ def _mined(docs: DataFrame, lang: str, text: str, longest: int, least: int, most
     frequent = written(words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]]), "phrases-candidates")
     levels, filters = [frequent], [filter_bits(spark, frequent, 1)]
     for k in range(2, longest + 1):
-        tally = [tallied(spark, codes, filters, least)] if k == 2 else []  # pairs are by far the most
-        levels.append(candidates(spark, codes, k, filters + tally, least, longest))
+        levels.append(candidates(spark, codes, k, [*filters, tallied(spark, codes, filters, least)], least, longest))
         filters.append(filter_bits(spark, levels[-1], k))
     everything = reduce(DataFrame.unionByName, levels)
     turns = max(1, -(-everything.count() * 5 // (4 * turn)))  # hashes do not deal them out quite evenly
