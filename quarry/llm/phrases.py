@@ -44,7 +44,7 @@ ROW, PIECE, HELD = 1 << 14, 1 << 18, 100_000
 #: Bytes of a row group of the encoded texts: a reader holds one as vectors.
 GROUP = 8 << 20
 #: Phrases that a task brings together before it sends them.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Candidates of one turn: 50 MB of keys, counts and bits.
 TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
