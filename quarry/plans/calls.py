@@ -63,7 +63,7 @@ FROM t
 def group_constraints(spark: SparkSession, d: str) -> DataFrame:
     """What the line items of each order break of rules on numbers, kinds, order, distinct sources and caps, and orders that name unknown parts."""
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    keys, at, place = ["l_orderkey"], F.col("l_linenumber"), F.expr("(l_linenumber * 1000000L + l_partkey) * 1000000L + l_suppkey")  # numbers repeat in some orders
+    keys, at, place = ["l_orderkey"], F.col("l_linenumber"), F.expr("(((l_linenumber * 1000000L + l_partkey) * 10000L + l_suppkey) * 100L + CAST(l_quantity AS BIGINT)) * 128L + ascii(l_returnflag)")  # numbers repeat in some orders
     rows = C.before(items, keys, [place], "l_returnflag", "flag_before")
     rules = {
         "two to six lines": C.between(2, 6), "numbered from one": C.consecutive(at), "a bridge": C.any_of(F.col("l_suppkey") % 4 == 0), "two suppliers": C.distinct_values("l_suppkey", 2),
@@ -78,7 +78,7 @@ def group_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["group_constraints"] = """
-WITH i AS (SELECT *, (l_linenumber * 1000000::BIGINT + l_partkey) * 1000000::BIGINT + l_suppkey AS place FROM lineitem),
+WITH i AS (SELECT *, (((l_linenumber * 1000000::BIGINT + l_partkey) * 10000::BIGINT + l_suppkey) * 100::BIGINT + CAST(l_quantity AS BIGINT)) * 128::BIGINT + ascii(l_returnflag) AS place FROM lineitem),
 r AS (SELECT *, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY place) AS b FROM i),
 g AS (
     SELECT l_orderkey, count(*) BETWEEN 2 AND 6 AS r0, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS r1, bool_or(l_suppkey % 4 = 0) AS r2,
