@@ -60,13 +60,6 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return majority(shingles(text, words, seed))
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles, from those at hand."""
-    x = hashes ^ (hashes >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row per document: id, fingerprint as a signed long."""
 
@@ -227,117 +220,192 @@ def near_duplicates(prints: DataFrame, threshold: int = 3) -> DataFrame:
         return kept(made, written(labelled.join(first, "root").select("fingerprint", "n_docs", "component_id"), "components"))
 
 
-#: Near copies are compared by PRINTS fingerprints of 64 bits over shingles of SHORT words, where they differ in WIDE bits at most.
-#: The pairs of words that copies of similarity 0.8 do not share leave about 11 of 128 bits different, with a deviation of 3.
-PRINTS, SHORT, WIDE = 2, 2, 30
+#: Near copies are compared by PRINTS fingerprints of 64 bits. Majority bits of two sets of similarity 0.8 differ in 15 % of places, too
+#: many for halves to meet at an anchor, so each bit here is one of the least hash under an order of its own, which differs in (1 - similarity) / 2.
+#: Those of similarity 0.8 differ in 12.8 of 128 bits with a deviation of 3.4; pairs that differ in more than WIDE are not compared.
+PRINTS, WIDE = 2, 24
+ORDERS = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(64 * PRINTS)], np.uint64)
+
+
+def least_bits(found: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints of a set of hashes, one bit of the least product with each of ORDERS; zero for the empty set."""
+    if not len(found):
+        return np.zeros(PRINTS, np.uint64)
+    least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
+    for i in range(0, len(found), 2048):
+        least = np.minimum(least, (found[i : i + 2048, None] * ORDERS).min(axis=0))
+    return np.packbits(((least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def several_prints(docs: DataFrame, id: str, text: str = "text", words: int = SHORT) -> DataFrame:
-    """One row per document: id and PRINTS fingerprints p0, p1, all of the same shingles under different hashes."""
+def set_prints(docs: DataFrame, id: str, text: str = "text", words: int = 5) -> DataFrame:
+    """One row per document: id, d (hash of the set of its shingles) and the fingerprints p0, p1 of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2000, 16 << 20):
-            prints = np.zeros((b.num_rows, PRINTS), np.uint64)
+            prints = np.zeros((b.num_rows, 1 + PRINTS), np.uint64)
             for i, t in enumerate(b.column(1).cast(pa.large_binary())):
-                hashes = shingles(t.as_py(), words)
-                for k in range(PRINTS):
-                    prints[i, k] = majority(hashes)
-                    hashes = _mixed(hashes)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS))], names=["id", "p0", "p1"])
-
-    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, p0 long, p1 long")
-
-
-def _wide_pairs(classes: DataFrame, most: int, block: int) -> DataFrame:
-    """Pairs of classes (a0, a1, b0, b1) that meet at an anchor of any half and differ in `most` bits of all, as many as join those that do."""
+                found = np.unique(shingles(t.as_py(), words))
+                prints[i, 0], prints[i, 1:] = xxhash.xxh64_intdigest(found.tobytes()), least_bits(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in prints.T.copy())], names=["id", "d", "p0", "p1"])
+
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, d long, p0 long, p1 long")
+
+
+def _joining(a: np.ndarray, b: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) join all that they link, the closest of each part first; label, the part of every member, is brought up to date."""
+    kept, order = [], np.argsort(apart, kind="stable")
+    while len(order := order[label[a[order]] != label[b[order]]]):
+        ends = np.stack([label[a[order]], label[b[order]]], axis=1).ravel()
+        forest, names = _Forest(), np.arange(label.max() + 1)
+        for i in order[np.unique(np.unique(ends, return_index=True)[1] // 2)].tolist():
+            if forest.joins(int(label[a[i]]), int(label[b[i]])):
+                kept.append(i)
+        for x in list(forest.up):
+            names[x] = forest.root(x)
+        label[:] = names[label]
+    return np.array(kept, np.int64)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, label: np.ndarray, quota: int) -> np.ndarray:
+    """Which of the pairs are among the `quota` closest of the part of either end."""
+    order = np.argsort(apart, kind="stable")
+    keep = np.zeros(len(order), bool)
+    for part in (label[a[order]], label[b[order]]):
+        at = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.diff(part[at], prepend=-1))
+        place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        keep[order[at[place < quota]]] = True
+    return np.flatnonzero(keep)
+
+
+def _meeting(members: np.ndarray, label: np.ndarray, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs to confirm, members with pairs held back) of an anchor; label tells what confirmed links have joined.
+
+    In turn 0 that is nothing, and the pairs that would join all that is near are sent; later 8 ** turn pairs for each part and tile.
+    """
+    sent, held, step, label = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], 512, label.copy()
+    for i in range(0, len(members), step):
+        for j in range(i, len(members), step):
+            apart = np.bitwise_count(members[i : i + step, None] ^ members[None, j : j + step]).sum(axis=2, dtype=np.uint16)
+            a, b = np.nonzero(apart <= most)
+            far, a, b = apart[a, b], a + i, b + j
+            keep = (a < b) & ((label[a] != label[b]) if turn else True)
+            a, b, far = a[keep], b[keep], far[keep]
+            if len(a):
+                go = _nearest(a, b, far, label, 8**turn) if turn else _joining(a, b, far, label)
+                sent.append(np.stack([a[go], b[go]], axis=1))
+                rest = np.ones(len(a), bool)
+                rest[go] = False
+                held += [a[rest], b[rest]]
+    return np.concatenate(sent), np.unique(np.concatenate(held))
+
+
+def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFrame:
+    """Pairs of sets (da, a0, db, b0) that meet at an anchor of any half and differ in `most` bits or fewer, to be confirmed in this turn.
+
+    active: d, p0, p1 and, after turn 0, r0, r1 that name the part. Rows with `held` name a set (da, a0) with pairs that wait for the next turn.
+    """
+    columns = active.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5000):
-            prints = [b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(PRINTS)]
+            all_ = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
             for k in range(PRINTS):
-                at, row = anchors(prints[k], 2 * k)
-                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *(pa.array(x[row].view(np.int64)) for x in prints)], names=["anchor", "p0", "p1"])
-
-    placed = _dealt(classes.select("p0", "p1").mapInArrow(place, "anchor long, p0 long, p1 long"), ["p0", "p1"], block)
-
-    def closest(members: np.ndarray) -> np.ndarray:
-        """Of the pairs near enough, closest first, those that join what none before has joined."""
-        forest, kept, step = _Forest(), [], 512
-        for i in range(0, len(members), step):
-            for j in range(i, len(members), step):
-                left, right = members[i : i + step], members[j : j + step]
-                apart = np.bitwise_count(left[:, None] ^ right[None, :]).sum(axis=2, dtype=np.uint16)
-                a, b = np.nonzero(apart <= most)
-                order = np.argsort(apart[a, b], kind="stable")
-                a, b = a[order] + i, b[order] + j
-                keep = a < b
-                kept += [x for x in zip(a[keep].tolist(), b[keep].tolist(), strict=True) if forest.joins(*x)]
-        return np.array(kept, np.int64).reshape(-1, 2)
+                at, row = anchors(all_[1 + k].view(np.uint64), 2 * k)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *(pa.array(x[row]) for x in all_)], names=["anchor", *columns])
+
+    placed = _dealt(active.mapInArrow(place, ", ".join(f"{c} long" for c in ("anchor", *columns))), columns, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, value in _groups(batches):
             starts, sizes = _cut(key)
-            found = []
-            at = starts[sizes == 2]
-            near = np.bitwise_count(value[at] ^ value[at + 1]).sum(axis=1) <= most
-            found.append(np.stack([at[near], at[near] + 1], axis=1))
-            for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                found.append(closest(value[at : at + size]) + at)
-            a, b = (value[x].view(np.int64) for x in np.concatenate(found).T)
-            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-            a[swap], b[swap] = b[swap], a[swap].copy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[:, 0].copy(), a[:, 1].copy(), b[:, 0].copy(), b[:, 1].copy())], names=["a0", "a1", "b0", "b1"])
-
-    dealt = placed.select("anchor", "part", "p0", "p1").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long").distinct()
+            busy = sizes > 8
+            for size in range(2, 9):  # small groups are looked through together, most hold nothing near
+                of = np.flatnonzero(sizes == size)
+                group = value[starts[of][:, None] + np.arange(size), 1 : 1 + PRINTS]
+                for i in range(size):
+                    for j in range(i + 1, size):
+                        busy[of] |= np.bitwise_count(group[:, i] ^ group[:, j]).sum(axis=1) <= most
+            pairs, held = [np.zeros((0, 4), np.int64)], [np.zeros((0, 4), np.int64)]
+            for at, size in zip(starts[busy].tolist(), sizes[busy].tolist(), strict=True):
+                rows = value[at : at + size]
+                label = np.unique(rows[:, 1 + PRINTS :], axis=0, return_inverse=True)[1].ravel() if turn else np.arange(size)
+                ab, wait = _meeting(rows[:, 1 : 1 + PRINTS], label, most, turn)
+                named = rows[:, :2].copy().view(np.int64)
+                a, b = named[ab[:, 0]], named[ab[:, 1]]
+                swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+                pairs.append(np.concatenate([np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)], axis=1))
+                held.append(np.concatenate([named[wait], named[wait]], axis=1))
+            pairs, held = np.concatenate(pairs), np.unique(np.concatenate(held), axis=0)
+            both = np.concatenate([pairs, held])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in both.T.copy()), pa.array(np.arange(len(both)) >= len(pairs))], names=["da", "a0", "db", "b0", "held"])
+
+    dealt = placed.select("anchor", "part", *columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(run, "da long, a0 long, db long, b0 long, held boolean").distinct()
 
 
 def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, least: float = 0.8, most: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(id, group) for every document, written: groups are linked by a Jaccard similarity of `least` or more of their sets of shingles of `words` words.
 
-    id: unique, of any type with an order; group is the least id of the group. Two documents are compared where one of their four half
-    fingerprints meets at an anchor, so whether a pair is seen is a matter of chance, of over 0.9 at the least similarity and higher for
-    closer ones; what is seen is confirmed exactly on the whole texts. Among the members of an anchor the closest pairs that join what
-    none has joined are confirmed, so a large group sends about as many pairs as it has members. Documents equal in all fingerprints are one class; those without words are one, too.
+    id: unique, of any type with an order; group is the least id of the group. Texts of equal sets are one class; those without words are one, too.
+    Two classes are compared where one of their four half fingerprints meets at an anchor, so whether a pair is seen is a matter of chance,
+    of 0.92 at a similarity of 0.8, 0.96 at 0.825 and 0.98 at 0.85, wherever the texts differ. All links are confirmed exactly on the whole texts.
+
+    An anchor sends the pairs that would join its near members, closest first; what they leave apart once they are confirmed is sent in
+    further turns, 8, 64, ... pairs for each part, until no pair waits. So a large group of copies sends about as many pairs as it has members,
+    and no pair that was seen goes unconfirmed unless confirmed links join its ends.
     """
     with small_batches(docs.sparkSession), scratch() as made:
         return kept(made, _near_copies(docs, id, text, words, least, most, block))
 
 
 def _near_copies(docs: DataFrame, id: str, text: str, words: int, least: float, most: int, block: int) -> DataFrame:
-    prints = written(several_prints(docs, id, text), "copies-prints")
-    classes = written(prints.groupBy("p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-classes")
-    pairs = written(_wide_pairs(classes, most, block), "copies-pairs")
-    ends = pairs.select(F.col("a0").alias("p0"), F.col("a1").alias("p1")).union(pairs.select("b0", "b1")).distinct()
-    chosen = written(classes.join(ends, ["p0", "p1"]).select("p0", "p1", "first"), "copies-chosen")
+    ends = ["da", "a0", "db", "b0"]
+    prints = written(set_prints(docs, id, text, words), "copies-prints")
+    classes = written(prints.groupBy("d", "p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-classes")
+    node = lambda d, p: F.concat(as_hex(d), as_hex(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column(2).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["p0", "p1", "set"])
-
-    said = docs.select(F.col(id).alias("first"), F.col(text).cast("string").alias("text"))
-    sets = written(said.join(bounded(chosen), "first").select("p0", "p1", "text").mapInArrow(run, "p0 long, p1 long, set binary"), "copies-sets")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["d", "p0", "set"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keep = []
+            same = []
             for x, y in zip(b.column(4), b.column(5), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= least * (len(x) + len(y) - shared))
-            yield b.select(["a0", "a1", "b0", "b1"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda x: sets.select(F.col("p0").alias(f"{x}0"), F.col("p1").alias(f"{x}1"), F.col("set").alias(f"set_{x}"))
-    both = pairs.join(of("a"), ["a0", "a1"]).join(of("b"), ["b0", "b1"]).select("a0", "a1", "b0", "b1", "set_a", "set_b")
-    node = lambda x: F.concat(as_hex(f"{x}0"), as_hex(f"{x}1"))
-    linked = written(both.mapInArrow(confirm, "a0 long, a1 long, b0 long, b1 long").select(node("a").alias("a"), node("b").alias("b")), "copies-links")
-    roots = written(components(linked), "copies-roots")
-    named = classes.withColumn("node", F.concat(as_hex("p0"), as_hex("p1"))).join(bounded(roots), "node", "left").select("p0", "p1", "first", "n", F.coalesce("root", "node").alias("root"))
+                same.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(same, pa.bool_())], names=[*ends, "same"])
+
+    active, turn, tested, sets = classes.select("d", "p0", "p1"), 0, None, None
+    while True:
+        found = written(_wide_pairs(active, most, block, turn), "copies-found")
+        pairs = found.filter("not held").select(*ends)
+        if sets is None:  # later turns ask for no others: whatever is near a member has a pair in the first
+            asked = pairs.select(F.col("da").alias("d"), F.col("a0").alias("p0")).union(pairs.select("db", "b0")).distinct()
+            chosen = written(classes.join(asked, ["d", "p0"]).select("d", "p0", "first"), "copies-chosen")
+            said = docs.select(F.col(id).alias("first"), F.col(text).cast("string").alias("text"))
+            sets = written(said.join(bounded(chosen), "first").select("d", "p0", "text").mapInArrow(run, "d long, p0 long, set binary"), "copies-sets")
+        else:
+            pairs = pairs.join(tested, ends, "left_anti")
+        of = lambda x: sets.select(F.col("d").alias(f"d{x}"), F.col("p0").alias(f"{x}0"), F.col("set").alias(f"set_{x}"))  # noqa: B023, E731
+        both = pairs.join(of("a"), ["da", "a0"]).join(of("b"), ["db", "b0"]).select(*ends, "set_a", "set_b")
+        checked = written(both.mapInArrow(confirm, "da long, a0 long, db long, b0 long, same boolean"), "copies-checked")
+        tested = checked if tested is None else tested.union(checked)
+        roots = written(components(tested.filter("same").select(node("da", "a0").alias("a"), node("db", "b0").alias("b"))), "copies-roots")
+        held = found.filter("held").select(F.col("da").alias("d"), F.col("a0").alias("p0"))
+        if held.isEmpty():
+            break
+        part = lambda at: F.conv(F.substring(F.coalesce("root", "node"), at, 16), 16, -10).cast("long")
+        waiting = classes.join(held, ["d", "p0"]).select("d", "p0", "p1", node("d", "p0").alias("node")).join(bounded(roots), "node", "left")
+        active, turn = written(waiting.select("d", "p0", "p1", part(1).alias("r0"), part(17).alias("r1")), "copies-active"), turn + 1
+    named = classes.withColumn("node", node("d", "p0")).join(bounded(roots), "node", "left").select("d", "p0", "first", "n", F.coalesce("root", "node").alias("root"))
     named = written(named, "copies-named")
     several = written(named.groupBy("root").agg(F.min("first").alias("group"), F.sum("n").alias("rows")).filter("rows > 1"), "copies-groups")
-    of_class = written(named.join(bounded(several), "root").select("p0", "p1", "group"), "copies-of-class")
-    return written(prints.join(bounded(of_class), ["p0", "p1"], "left").select("id", F.coalesce("group", "id").alias("group")), "copies")
+    of_class = written(named.join(bounded(several), "root").select("d", "p0", "group"), "copies-of-class")
+    return written(prints.join(bounded(of_class), ["d", "p0"], "left").select("id", F.coalesce("group", "id").alias("group")), "copies")
 
 
 def as_hex(fingerprint: str = "fingerprint") -> Column:

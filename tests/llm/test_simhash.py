@@ -106,3 +106,83 @@ def test_near_copies_are_found_and_others_left_alone(spark):
     n = len(texts)
     assert found[n - 1] == 0 and found[n - 2] == found[n - 3] == n - 3 and found[n - 4] == found[n - 5] == n - 5
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
+
+
+def whole_components(texts, least=0.8):
+    """Component of each text under links of similarity `least`, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if shared >= least * (len(a) + len(sets[j]) - shared):
+                links.append((j, i))
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))], links
+
+
+def copies_of(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.id: r.group for r in simhash.near_copies(docs, "doc_id", **options).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_repeated_filler_makes_no_copies(spark):
+    random.seed(21)
+    words = iter(random.sample(range(10**6), 3000))
+    texts = ["| " * 130 + " ".join(f"u{next(words)}" for _ in range(100)) for _ in range(12)]
+    texts += ["spam " * 4, "spam " * 50, " ".join(f"u{next(words)} | | | | |" for _ in range(60)), " ".join(f"u{next(words)} | | | | |" for _ in range(60))]
+    assert copies_of(spark, texts) == whole_components(texts)[0] == list(range(len(texts)))
+
+
+def test_families_at_the_border_are_joined_by_confirmed_links_alone(spark):
+    random.seed(22)
+    texts = []
+    for _ in range(12):
+        base = random.choices([f"v{i}" for i in range(3000)], k=200)
+        for _ in range(30):
+            w, n = list(base), random.randint(5, 40)
+            at = random.randrange(len(w) - n)
+            w[at : at + n] = random.choices([f"y{i}" for i in range(3000)], k=n)
+            texts.append(" ".join(w))
+    want, _ = whole_components(texts)
+    for block in (16, 8192):
+        got = copies_of(spark, texts, block=block)
+        assert all(want[a] == want[b] for b, a in enumerate(got)), "groups hold confirmed links alone"
+        assert len(set(got)) <= len(set(want)) + 0.03 * len(texts)
+
+
+def test_recall_by_kind_of_change_and_similarity(spark):
+    random.seed(23)
+    fresh = lambda n: [f"z{random.randrange(10**7)}" for _ in range(n)]
+    texts, kinds = [], {}
+    for n in range(1200):
+        w, kind = fresh(random.randint(80, 300)), ("stretch", "appended", "prepended", "scattered")[n % 4]
+        some = int(len(w) * random.uniform(0.01, 0.12 if kind == "stretch" else 0.24))
+        if kind == "stretch":
+            at = random.randrange(len(w) - some)
+            other = w[:at] + fresh(some) + w[at + some :]
+        elif kind == "scattered":
+            other = list(w)
+            for at in random.sample(range(len(w)), max(1, some // 10)):
+                other[at] = fresh(1)[0]
+        else:
+            other = w + fresh(some) if kind == "appended" else fresh(some) + w
+        texts += [" ".join(w), " ".join(other)]
+        alike = jaccard5(*texts[-2:])
+        kinds.setdefault((kind, "0.8" if alike < 0.85 else "0.85" if alike < 0.9 else "0.9") if alike >= 0.8 else None, []).append(2 * n)
+    got = copies_of(spark, texts)
+    share = {k: (sum(got[i] == got[i + 1] for i in at) / len(at), len(at)) for k, at in kinds.items()}
+    print(share)
+    assert share.pop(None, (0, 0))[0] == 0, "what is less alike stays apart"
+    assert all(s >= 0.9 for s, _ in share.values()) and len(share) == 12
