@@ -100,8 +100,10 @@ def retrieve(rows: DataFrame, id: str, vector: str, query: Column, k: int, items
     Vectors are scaled to length one, and their products taken tile by tile (quarry.operators.products); those of length zero take no part.
     """
     def unit(df: DataFrame) -> DataFrame:
-        whole = df.select(F.col(id).alias("id"), F.coalesce(query, F.lit(False)).alias("asks"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-        return whole.withColumn("l", norm(F.col("v"))).filter("l > 0").select("id", "asks", F.transform("v", lambda x: x / F.col("l")).alias("v"))
+        v = F.transform(vector, lambda x: x.cast("double"))
+        # the length is bound by the end of the fold, so it is taken once a vector; as a column it would be taken anew for every component
+        scaled = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x, lambda s: F.when(s > 0, F.transform("v", lambda x: x / F.sqrt(s))))
+        return df.select(F.col(id).alias("id"), F.coalesce(query, F.lit(False)).alias("asks"), v.alias("v")).withColumn("v", scaled).filter("v is not null")
 
     found = search(unit(rows), "id", "v", F.col("asks"), k, items=None if items is None else unit(items))
     return found.select("query_id", F.col("vec_id").alias("item_id"), F.col("score").alias("similarity"), "rank")
