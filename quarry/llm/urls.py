@@ -32,10 +32,10 @@ ROUNDS, DAMPING = 20, 0.85
 LONGEST = 253
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Patterns of one character class at a time: they take one pass and no stack, however long a text is.
-#: Hosts that a page links to by an address with a host.
-LINK = r"""(?:href|src|url)[\t\n\f\r ]*=[\t\n\f\r ]*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\t\n\f\r >]+)"""
+#: Hosts that a page links to by an address with a host; attributes may be in either case.
+LINK = r"""(?:[Hh][Rr][Ee][Ff]|[Ss][Rr][Cc]|[Uu][Rr][Ll])[\t\n\f\r ]*=[\t\n\f\r ]*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\t\n\f\r >]+)"""
 #: All addresses; what has neither a scheme nor a host is relative.
-ADDRESS = r"""(?:href|src)[\t\n\f\r ]*=[\t\n\f\r ]*["']?([^"'\t\n\f\r >]+)"""
+ADDRESS = r"""(?:[Hh][Rr][Ee][Ff]|[Ss][Rr][Cc])[\t\n\f\r ]*=[\t\n\f\r ]*["']?([^"'\t\n\f\r >]+)"""
 ELSEWHERE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)"
 #: What may be a host named in a text.
 NAMED = r"[A-Za-z0-9@._/:-]+"

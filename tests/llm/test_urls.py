@@ -96,6 +96,14 @@ def test_hosts_only_linked_to_are_seeds_and_long_hosts_are_taken(spark, tmp_path
     assert {r[0] for r in got if r[4] == "block"} == {1, 2}
 
 
+def test_attributes_in_upper_case_are_links(spark, tmp_path):
+    pages = [(1, "http://loud.com/", '<A HREF="http://bad.net/x">'), (2, "http://still.com/", '<META CONTENT="0;URL=http://bad.net">'), (3, "http://calm.com/", '<A HREF="/in">'), (4, "http://x.bad.net/", "")]
+    pages += [(5, "http://seen.com/", '<IMG Src="//bad.net/i">'), (6, "http://good.org/fr/", "")]
+    got = found(spark, tmp_path, pages)
+    assert got == brute(pages, queries.URL_RULES)
+    assert {r[0] for r in got if r[4] == "block"} == {1, 2, 4, 5}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
 def test_propagation_decides_on_the_given_pages(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html").collect()]
