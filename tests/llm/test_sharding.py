@@ -82,6 +82,33 @@ def test_groups_are_packed_whole_where_they_fit():
     for g, a, b, s in found:
         by[g].add(s)
     assert {g: len(s) for g, s in by.items()} == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1} and sum(room) == 50
+    assert sharding.packed([(1, 30), (2, 20)], 3, 100, [25, -5, 40]) == ([(1, 0, 30, 2), (2, 0, 20, 0)], [5, 0, 10])
+
+
+def test_rounds_gather_what_a_hash_has_scattered(spark, tmp_path):
+    rows = [(i, f"copy {i * 7919 % 6000 // 12}") for i in range(6000)] + [(10_000 + i, f"own {i}") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    report = []
+    found = sharding.assign(spark.read.parquet(f"{tmp_path}/documents.parquet"), report=report).collect()
+    (_, before), *later = report
+    assert before > 0.9 * 5500  # 39 of 40 links, by the scattering
+    assert later[0][0] > 0.6 * 5500 and sum(m for m, _ in later) > 0.8 * 5500  # joins and quotas make the moves
+    assert later[-1][1] < 0.15 * 5500
+    places = defaultdict(set)
+    for r in found:
+        places[r.text_crc32].add(r.shard)
+    assert sum(len(p) == 1 for p in places.values()) >= 2500 - 10
+
+
+def test_the_start_is_even_and_the_repair_leaves_whole_groups(spark):
+    near = [(u, u // 8 * 8) for u in range(800)]
+    start = {r.uid: r.shard for r in sharding._started(spark.createDataFrame(near, "uid long, near long"), 4, 250).collect()}
+    order = sorted(range(800), key=lambda u: hashed((u, "<q")) % 2**64)
+    assert start == {u: i * 1000 // 800 // 250 for i, u in enumerate(order)}
+    state = [(u, 0 if n < 400 else u % 4, n) for u, n in near]
+    found = {r.uid: r.shard for r in sharding.repaired(spark.createDataFrame(state, "uid long, shard int, near long"), 4, 420).collect()}
+    assert len(found) == 800 and all(found[u] == 0 for u, n in near if n < 400)
+    assert all(len({found[u] for u in range(n, n + 8)}) == 1 for n in range(0, 800, 8)) and max(Counter(found.values()).values()) <= 420
 
 
 def test_groups_over_a_quarter_of_a_shard_stand_together(spark):
