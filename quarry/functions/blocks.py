@@ -102,19 +102,19 @@ def chunks(text: str | None, limit: int = 7_000, overlap: int = 600) -> Iterator
         start = max(start + 1, end - overlap)
 
 
-@udtf(returnType="block int, kind string, text string, image string, caption_kind string, caption_number string")
+@udtf(returnType="block int, kind string, text string, image string, caption_kind string, caption_number string", useArrow=True)
 class Blocks:
     def eval(self, text: str):
         yield from parse_blocks(text)
 
 
-@udtf(returnType="at int, text string")
+@udtf(returnType="at int, text string", useArrow=True)
 class Windows:
     def eval(self, text: str, limit: int, overlap: int):
         yield from enumerate(windows(text, limit, overlap))
 
 
-@udtf(returnType="at int, text string")
+@udtf(returnType="at int, text string", useArrow=True)
 class Chunks:
     def eval(self, text: str, limit: int, overlap: int):
         yield from enumerate(chunks(text, limit, overlap))

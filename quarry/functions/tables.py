@@ -11,8 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 # The ten characters that LaTeX reserves.
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
-#: The largest span that a cell may claim; larger ones count as this.
-MOST_SPAN = 1000
+#: Columns that a cell may span at most, as HTML itself cuts `colspan`; rows are not bounded, as a span ends with its table.
+MOST_COLUMNS = 1000
 
 
 class _Cells(HTMLParser):
@@ -29,8 +29,8 @@ class _Cells(HTMLParser):
             self._close()
             if not self.rows:
                 self.rows.append([])
-            span = lambda k: min(MOST_SPAN, max(1, int(v))) if (v := dict(attrs).get(k) or "").isdigit() else 1
-            self.open = [[], span("rowspan"), span("colspan")]
+            span = lambda k: max(1, int(v)) if (v := dict(attrs).get(k) or "").isdecimal() else 1
+            self.open = [[], span("rowspan"), min(MOST_COLUMNS, span("colspan"))]
         elif tag == "br" and self.open:
             self.open[0].append(" ")
 

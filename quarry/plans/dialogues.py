@@ -55,10 +55,8 @@ def _ks(a: Column | int, b: Column) -> Column:
 
 
 def _flat(spark: SparkSession, d: str) -> DataFrame:
-    for name in ("lineitem", "orders"):
-        _t(spark, d, name).createOrReplaceTempView(f"_dialogues_{name}")
-    rows = _ROWS.replace("FROM lineitem JOIN orders", "FROM _dialogues_lineitem JOIN _dialogues_orders")
-    return spark.sql(f"WITH lines AS ({rows}) {_FLAT}")
+    rows = _ROWS.replace("FROM lineitem JOIN orders", "FROM {lineitem} AS lineitem JOIN {orders} AS orders")
+    return spark.sql("WITH lines AS (" + rows + ") " + _FLAT, lineitem=_t(spark, d, "lineitem"), orders=_t(spark, d, "orders"))
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:

@@ -283,15 +283,19 @@ UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SEL
 
 
 def row_signature(spark: SparkSession, d: str) -> DataFrame:
-    """Per source a digest over all its rows in order, by way of digests of a thousand ids each, so no source is gathered whole."""
+    """Per source a digest over all its rows in order, by way of digests of a thousand ids, of a million and of a milliard, so no source is gathered whole."""
     rows = _t(spark, d, "documents").select("source", "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("~")), F.coalesce("text", F.lit("~"))), 256).alias("sha"))
     listed = lambda x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["sha"]), ","), 256)
     parts = rows.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.count(F.lit(1)).alias("n"), listed(F.struct("doc_id", "sha")).alias("sha"))
+    for _ in range(2):
+        parts = parts.groupBy("source", F.floor(F.col("part") / 1000).alias("_part")).agg(F.sum("n").alias("n"), listed(F.struct("part", "sha")).alias("sha")).withColumnRenamed("_part", "part")
     return parts.groupBy("source").agg(F.sum("n").alias("n"), listed(F.struct("part", "sha")).alias("signature"))
 
 
 SQL["row_signature"] = """
 WITH r AS (SELECT source, doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), coalesce(lang, '~'), coalesce(text, '~'))) AS sha FROM documents),
-p AS (SELECT source, doc_id // 1000 AS part, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY doc_id, sha)) AS sha FROM r GROUP BY 1, 2)
-SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(sha, ',' ORDER BY part, sha)) AS signature FROM p GROUP BY source
+p AS (SELECT source, doc_id // 1000 AS part, count(*) AS n, sha256(string_agg(sha, ',' ORDER BY doc_id, sha)) AS sha FROM r GROUP BY 1, 2),
+q AS (SELECT source, part // 1000 AS part, sum(n) AS n, sha256(string_agg(sha, ',' ORDER BY p.part, sha)) AS sha FROM p GROUP BY 1, 2),
+z AS (SELECT source, part // 1000 AS part, sum(n) AS n, sha256(string_agg(sha, ',' ORDER BY q.part, sha)) AS sha FROM q GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(sha, ',' ORDER BY part, sha)) AS signature FROM z GROUP BY source
 """

@@ -258,7 +258,25 @@ def packed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def table_grids(spark: SparkSession, d: str) -> DataFrame:
     """Tables built from the rows of pages' lists: pages themselves hold none."""
-    cells = F.transform(F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), F.lit(1)), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>")))
+    cells = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<li>(.*?)</li>"), F.lit(1)), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>")))
     html = F.concat(F.lit("<table><tr><th colspan=2>links</th></tr><tr>"), F.array_join(cells, "</tr><tr>"), F.lit("</tr></table>"))
     grid = _t(spark, d, "pages").select("page_id", table_grid(html).alias("grid"))
     return grid.select("page_id", F.size("grid").alias("n_rows"), F.size(F.element_at("grid", 1)).alias("n_columns"), F.sha2(grid_markdown(F.col("grid")), 256).alias("markdown"), F.sha2(grid_latex(F.col("grid")), 256).alias("latex"))
+
+
+SQL["table_grids"] = r"""
+WITH c AS (
+    SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '<li>(.*?)</li>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(
+        regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS found FROM pages
+),
+g AS (SELECT page_id, CASE WHEN len(found) > 0 THEN found ELSE [''] END AS cells FROM c),
+t AS (
+    SELECT page_id, cells, list_transform(cells, lambda x: array_to_string(list_transform(string_split(x, ''), lambda y: CASE
+        WHEN y = '\' THEN '\textbackslash{}' WHEN y = '~' THEN '\textasciitilde{}' WHEN y = '^' THEN '\textasciicircum{}'
+        WHEN y IN ('&', '%', '$', '#', '_', '{', '}') THEN '\' || y ELSE y END), '')) AS escaped FROM g
+)
+SELECT page_id, CAST(len(cells) + 1 AS INTEGER) AS n_rows, CAST(2 AS INTEGER) AS n_columns,
+    sha256('| links | links |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(cells, lambda x: '| ' || replace(x, '|', '\|') || ' |  |'), chr(10))) AS markdown,
+    sha256('\begin{tabular}{ll}' || chr(10) || 'links & links \\' || chr(10) || array_to_string(list_transform(escaped, lambda x: x || ' &  \\'), chr(10)) || chr(10) || '\end{tabular}') AS latex
+FROM t
+"""

@@ -38,6 +38,8 @@ def test_grids(spark):
     assert grid_of("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == [["a", "b"], ["a", "c"]]
     assert grid_of("<tr><th colspan=2>h &amp; k</th></tr><tr><td>1</td></tr>") == [["h & k", "h & k"], ["1", ""]]
     assert grid_of("<table><tr><td rowspan=2 colspan=2>x</td><td>y</td></tr><tr><td>z</td></tr><tr><td>w<td>v</table>") == [["x", "x", "y"], ["x", "x", "z"], ["w", "v", ""]]
+    assert grid_of("<tr><td rowspan=5000>a</td></tr>" + "<tr><td>b</td></tr>" * 3000) == [["a", ""]] + [["a", "b"]] * 3000
+    assert grid_of("<tr><td rowspan=99999999999999999999>a</td><td rowspan=²>b</td></tr><tr></tr>") == [["a", "b"], ["a", ""]]
     assert grid_of("") == [] and grid_of(None) == []
     df = spark.createDataFrame([([["a|b", "50%"], ["x_y", "\\"]],), ([],), ([["a"], []],)], "g array<array<string>>")
     rows = df.select(grid_markdown(F.col("g")).alias("m"), grid_latex(F.col("g")).alias("l"), padded(F.col("g")).alias("p")).collect()
