@@ -5,7 +5,9 @@ A trajectory is one row with an array of turns; the accessors are expressions ov
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.metrics import category, category_pivot, ratio
@@ -111,6 +113,26 @@ def counts(turns: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _asked(turns: DataFrame, keys: tuple[str, ...], more: dict[str, Column]) -> DataFrame:
+    """Follow-ups with the places of the turns that asked the question they name: (keys, root_turn_id, root_question_id, at, more, n_roots, root_at).
+
+    n_roots counts those earlier in the same trajectory, root_at is the first of them. Each turn stands once as a question and once more where it
+    is a follow-up, so that one window in place of a join finds them, and turns that lie together by trajectory stay there.
+    """
+    t = F.col("turn")
+    r = t["repair_context"]
+    one = lambda id, question, child: F.struct(id.alias("root_turn_id"), question.alias("root_question_id"), F.lit(child).alias("child"))
+    both = F.array(one(t["turn_id"], t["question_id"], False), F.when(r["root_turn_id"].isNotNull(), one(r["root_turn_id"], r["root_question_id"], True)))
+    rows = turns.select(*keys, F.col("turn_index").alias("at"), *[c.alias(n) for n, c in more.items()], F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"))
+    rows = rows.select(*keys, "at", *more, "x.*")
+    earlier = Window.partitionBy(*keys, "root_turn_id", "root_question_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    known = F.col("root_question_id").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    at = F.when(~F.col("child") & known, F.col("at"))
+    return rows.withColumns({"n_roots": F.count(at).over(earlier), "root_at": F.min(at).over(earlier)}).filter("child").drop("child")
+
+
 def repair_tasks(turns: DataFrame, *keys: str, budget: int = 3) -> DataFrame:
     """One row per repaired question: repair_type, root, attempts, succeeded, exhausted, span.
 
@@ -118,30 +140,32 @@ def repair_tasks(turns: DataFrame, *keys: str, budget: int = 3) -> DataFrame:
     when none of the remaining ids is missing any more, a hallucination repair when its turn holds no event.
     """
     t = F.col("turn")
-    children = turns.filter(t["repair_context"]["root_turn_id"].isNotNull()).select(*keys, F.col("turn_index").alias("at"), t["repair_context"].alias("r"), kc_ids(t, "covered").alias("covered"), F.size(events_of(t)).alias("n_events"))
-    done = F.when(F.col("r.repair_type") == "detail", F.size(F.array_except(F.coalesce("r.remaining_kc_ids", F.array().cast("array<string>")), F.coalesce("covered", F.array().cast("array<string>")))) == 0).otherwise(F.col("n_events") == 0)
-    children = children.select(*keys, "at", F.col("r.repair_type").alias("repair_type"), F.col("r.root_turn_id").alias("root_turn_id"), F.col("r.root_question_id").alias("root_question_id"), done.alias("done"))
-    roots = turns.select(*keys, t["turn_id"].alias("root_turn_id"), t["question_id"].alias("root_question_id"), F.col("turn_index").alias("root_at"))
-    rows = children.join(roots, [*keys, "root_turn_id", "root_question_id"]).filter("root_at < at")
-    group = [*keys, "repair_type", "root_turn_id", "root_question_id"]
-    first = rows.groupBy(*group).agg(F.min("root_at").alias("root_at"), F.array_sort(F.collect_list(F.struct("at", "done"))).alias("tries"), F.min(F.when(F.col("done"), F.col("at"))).alias("success_at"))
-    tried = F.filter("tries", lambda x: F.col("success_at").isNull() | (x["at"] <= F.col("success_at")))
-    return first.select(*group, F.size(tried).alias("attempts"), F.col("success_at").isNotNull().alias("succeeded"), (F.col("success_at").isNull() & (F.size("tries") >= budget)).alias("exhausted"), (F.element_at(tried, -1)["at"] - F.col("root_at") + 1).alias("span"))
+    r, none = t["repair_context"], F.array().cast("array<string>")
+    done = F.when(r["repair_type"] == "detail", F.size(F.array_except(F.coalesce(r["remaining_kc_ids"], none), F.coalesce(kc_ids(t, "covered"), none))) == 0).otherwise(F.size(events_of(t)) == 0)
+    rows = _asked(turns, keys, {"repair_type": r["repair_type"], "done": done}).filter("n_roots > 0")
+    group = [*keys, "root_turn_id", "root_question_id", "repair_type"]
+    won = F.coalesce(F.max("done").over(Window.partitionBy(*group).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    tried = lambda c: F.when(~F.col("_won"), c)
+    first = rows.withColumn("_won", won).groupBy(*group).agg(
+        F.sum(tried(F.col("n_roots"))).cast("int").alias("attempts"), F.max(F.coalesce("done", F.lit(False))).alias("succeeded"), (F.sum("n_roots") >= budget).alias("_spent"), (F.max(tried(F.col("at"))) - F.min("root_at") + 1).alias("span"))
+    return first.select(*keys, "repair_type", "root_turn_id", "root_question_id", "attempts", "succeeded", (~F.col("succeeded") & F.col("_spent")).alias("exhausted"), "span")
 
 
 def orphaned_repairs(turns: DataFrame, *keys: str) -> DataFrame:
     """Follow-ups whose root is missing, later, or asked another question; strict runs raise if there are any."""
-    t = F.col("turn")
-    children = turns.filter(t["repair_context"]["root_turn_id"].isNotNull()).select(*keys, "turn_index", t["repair_context"]["root_turn_id"].alias("root_turn_id"), t["repair_context"]["root_question_id"].alias("root_question_id"))
-    roots = turns.select(*keys, t["turn_id"].alias("root_turn_id"), t["question_id"].alias("root_question_id"), F.col("turn_index").alias("root_at"))
-    return children.join(roots, [*keys, "root_turn_id", "root_question_id"], "left").filter("root_at is null or root_at >= turn_index").drop("root_at")
+    return _asked(turns, keys, {}).filter("n_roots = 0").select(*keys, "root_turn_id", "root_question_id", F.col("at").alias("turn_index"))
 
 
 def metric_pairs(counted: DataFrame, repairs: DataFrame, *keys: str) -> DataFrame:
     """(keys, metric, numerator, denominator, value): the metrics of each trajectory, null where the denominator is zero."""
     of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("repair_type") == kind, c)), F.lit(0)).cast("long")
     fixed = repairs.groupBy(*keys).agg(*[x for kind in ("detail", "hallucination") for x in (of(kind, F.lit(1)).alias(f"{kind}_tasks"), of(kind, F.col("succeeded").cast("int")).alias(f"{kind}_fixed"), of(kind, F.when(F.col("succeeded"), F.col("attempts"))).alias(f"{kind}_rounds"))])
-    rows = counted.join(fixed, list(keys), "left").fillna(0).withColumn("one", F.lit(1).cast("long"))
+    # the two meet in an aggregate, whose rows stay where their trajectory lies; a join would deal them out by all keys
+    names = [c for c in (*counted.columns, *fixed.columns) if c not in keys]
+    both = counted.withColumn("_n", F.lit(1)).unionByName(fixed, allowMissingColumns=True)
+    known = [F.col(k).isNotNull() for k in keys]
+    both = both.filter(reduce(lambda a, b: a & b, known, F.col("_n").isNull()) | F.col("_n").isNotNull())
+    rows = both.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in dict.fromkeys(names)]).filter("_n = 1").drop("_n").withColumn("one", F.lit(1).cast("long"))
     pairs = {
         "one_turn_kc_coverage": ("main_covered_kcs", "main_target_kcs"), "one_turn_macro_complete_rate": ("main_complete", "main_turns"),
         "challenge_failure_rate": ("challenge_failures", "challenges"), "text_challenge_failure_rate": ("text_challenge_failures", "text_challenges"),

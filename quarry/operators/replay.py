@@ -30,14 +30,13 @@ def states(marked: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     misses it changes nothing but an untouched component, which is missing then.
     """
     kc = [*keys, "kc_id"]
-    decisive = marked.filter(F.col("mark") != "missing")
-    decisive = decisive.withColumn("_before", F.lag("mark").over(Window.partitionBy(*kc).orderBy(*order)))
-    fixes = (F.col("mark") == "covered") & (F.col("_before") == "bad")
-    status = F.when(F.col("mark") == "bad", "hallucinated").when(fixes, "corrected").otherwise("lit")
-    place = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    ended = decisive.groupBy(*kc).agg(F.max_by(status, place).alias("status"), F.count_if(F.col("mark") == "bad").alias("n_bad"), F.count_if(fixes).alias("n_corrected"))
-    every = marked.select(*kc).distinct()
-    return every.join(ended, kc, "left").fillna({"status": "missing", "n_bad": 0, "n_corrected": 0})
+    decisive = F.when(F.col("mark") != "missing", F.col("mark"))
+    before = F.last(decisive, ignorenulls=True).over(Window.partitionBy(*kc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = marked.withColumns({"_mark": decisive, "_before": before})
+    fixes = (F.col("_mark") == "covered") & (F.col("_before") == "bad")
+    status = F.when(F.col("_mark") == "bad", "hallucinated").when(fixes, "corrected").otherwise("lit")
+    place = F.when(F.col("_mark").isNotNull(), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]))  # null places are left out
+    return rows.groupBy(*kc).agg(F.coalesce(F.max_by(status, place), F.lit("missing")).alias("status"), F.count_if(F.col("_mark") == "bad").alias("n_bad"), F.count_if(fixes).alias("n_corrected"))
 
 
 def with_all(found: DataFrame, components: DataFrame, keys: Sequence[str]) -> DataFrame:

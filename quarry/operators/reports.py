@@ -56,11 +56,11 @@ def macro_metrics(macros: DataFrame, components: DataFrame, keys: Sequence[str])
 def order_score(turns: DataFrame, keys: Sequence[str], levels: int = 64) -> DataFrame:
     """The share of pairs of main questions asked in the order of their macros; one question alone is in order."""
     t = F.col("turn")
-    main = turns.filter(t["question_type"].isin(*MAIN) & (t["macro_id"] != "")).select(*keys, "turn_index", F.regexp_extract(t["macro_id"], r"^M(\d+)$", 1).try_cast("int").alias("_rank"))
-    n = main.groupBy(*keys).agg(F.count(F.lit(1)).alias("_main"))
-    pairs = concordance(main.filter("_rank is not null"), keys, ["turn_index"], F.col("_rank"), levels)
-    score = F.when(F.col("_main") == 1, 1.0).otherwise(rate(F.coalesce("n_concordant", F.lit(0)), F.coalesce("n_pairs", F.lit(0))))
-    return turns.select(*keys).distinct().join(n, list(keys), "left").join(pairs, list(keys), "left").select(*keys, F.when(F.col("_main").isNull(), 0.0).otherwise(score).alias("macro_order_following_score"))
+    main = F.coalesce(t["question_type"].isin(*MAIN) & (t["macro_id"] != ""), F.lit(False))
+    rows = turns.select(*keys, "turn_index", main.alias("_main"), F.when(main, F.regexp_extract(t["macro_id"], r"^M(\d+)$", 1).try_cast("int")).alias("_rank"))
+    found = concordance(rows, keys, ["turn_index"], F.col("_rank"), levels, {"_main": F.count_if("_main")})
+    score = F.when(F.col("_main") == 0, 0.0).when(F.col("_main") == 1, 1.0).otherwise(rate("n_concordant", "n_pairs"))
+    return found.select(*keys, score.alias("macro_order_following_score"))
 
 
 def bank_metrics(macros: DataFrame, components: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -63,17 +63,18 @@ def correction_episodes(rows: DataFrame, keys: Sequence[str], order: Sequence[Co
     return each.groupBy(*keys).agg(F.count("_first").alias("n_opened"), F.count_if(fixed).alias("n_fixed"), F.avg(F.when(fixed, F.col("_done") - F.col("_first"))).alias("mean_delta")).withColumn("rate", F.coalesce(F.try_divide("n_fixed", "n_opened"), F.lit(0.0)))
 
 
-def concordance(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], level: Column, levels: int) -> DataFrame:
+def concordance(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], level: Column, levels: int, more: dict[str, Column] | None = None) -> DataFrame:
     """Per key the share of pairs in order whose level does not fall: n_pairs, n_concordant, score (null without pairs).
 
-    level runs from 0 to levels - 1. Each row counts the earlier rows of each level at or below its own by running sums, so
-    pairs are counted without being made.
+    level runs from 0 to levels - 1; rows without one are in no pair. Each row counts the earlier rows of each level at or below its
+    own by running sums, so pairs are counted without being made. more: aggregates over all rows of a key, taken in the same pass.
     """
     before = _over(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    more = more or {}
     rows = rows.withColumn("_level", level)
     lower = sum((F.when(F.col("_level") >= i, F.coalesce(F.count_if(F.col("_level") == i).over(before), F.lit(0))).otherwise(0) for i in range(levels)), F.lit(0))
-    each = rows.select(*keys, F.count(F.lit(1)).over(before).alias("_earlier"), lower.alias("_lower"))
-    return each.groupBy(*keys).agg(F.sum("_earlier").alias("n_pairs"), F.sum("_lower").alias("n_concordant")).withColumn("score", F.try_divide("n_concordant", "n_pairs"))
+    rows = rows.withColumns({"_earlier": F.when(F.col("_level").isNotNull(), F.count("_level").over(before)).otherwise(0), "_lower": lower})
+    return rows.groupBy(*keys).agg(F.sum("_earlier").alias("n_pairs"), F.sum("_lower").alias("n_concordant"), *[c.alias(n) for n, c in more.items()]).withColumn("score", F.try_divide("n_concordant", "n_pairs"))
 
 
 def forward_fill(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], marks: Column, value: Column, name: str) -> DataFrame:
