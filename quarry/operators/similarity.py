@@ -35,20 +35,23 @@ def _dealt(prefix: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     return prefix.join(F.broadcast(hot), list(keys), "left").withColumn("part", F.explode(parts)).drop("_k")  # hot: one row in `block` rows at most
 
 
-def _rarest(sets: DataFrame, frequency: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """(group, id, n, at, token): each set's rarest tokens with their places. The counts are sent to the tasks, so no set is shuffled."""
-    table = frequency.toArrow()  # bounded by most_sent, 16 bytes a token
-    token, df = table.column("token").to_numpy(), table.column("df").to_numpy()
-    order = np.argsort(token)
-    sent = sets.sparkSession.sparkContext.broadcast((token[order], df[order]))
+def _rarest(sets: DataFrame, places: DataFrame, size: int, group: Sequence[str], threshold: float) -> DataFrame:
+    """(group, id, n, at, token): each set's rarest tokens with their places. The counts of `size` places that tokens share are sent to the tasks, so no set is shuffled.
+
+    Any order of tokens that all sets share finds all pairs; the better it tells rare tokens, the fewer are compared.
+    """
+    table = places.toArrow()  # at most `size` rows
+    counts = np.zeros(size, np.int64)
+    counts[table.column("place").to_numpy()] = table.column("df").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
+        counts = sent.value
         for b in batches:
             lists = b.column(b.num_columns - 1)
             flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-            by = np.lexsort((flat, counts[np.searchsorted(known, flat)], row))  # rows stay in order, so places count from their first
+            by = np.lexsort((flat, counts[np.mod(flat, size)], row))  # rows stay in order, so places count from their first
             at = np.arange(len(flat)) - first[row]
             kept = at < (n - np.ceil(threshold * n - 1e-9) + 1)[row]
             rows = pa.array(row[kept])
@@ -66,18 +69,13 @@ def similar_pairs(reps: DataFrame, id: str, tokens: str, group: Sequence[str], t
 
     Prefix filter: with tokens in order of rarity, two sets this similar share one of their n - ceil(threshold * n) + 1 rarest.
     Only those are joined; lengths, and what is left behind the places at which a token stands, cut pairs that cannot reach the
-    threshold; sets that remain are compared exactly. Counts of up to `most_sent` tokens are sent to the tasks; more are joined. Tokens that many prefixes share are dealt out in blocks.
+    threshold; sets that remain are compared exactly. Tokens are counted in `most_sent` places, which they share where there are more of them. Tokens that many prefixes share are dealt out in blocks.
     """
     sets = reps.select(*group, F.col(id).alias("id"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("set")).filter(F.size("set") >= least)
     sets = written(sets.withColumn("n", F.size("set")), "token-sets")
-    words = sets.select(*group, "id", "n", F.explode("set").alias("token"))
-    frequency = written(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token-counts")
-    if frequency.count() <= most_sent:
-        prefix = _rarest(sets, frequency, group, threshold)
-    else:
-        size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        ordered = words.join(frequency, "token").groupBy(*group, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
-        prefix = written(ordered.select(*group, "id", "n", F.posexplode(F.slice("by_df", F.lit(1), size.cast("int"))).alias("at", "x")).select(*group, "id", "n", "at", "x.token"), "token-prefixes")
+    size = max(1, most_sent)
+    places = sets.select(F.explode("set").alias("token")).groupBy(F.pmod("token", F.lit(size)).alias("place")).agg(F.count(F.lit(1)).alias("df"))
+    prefix = _rarest(sets, places, size, group, threshold)
     dealt = _dealt(prefix, [*group, "token"], block)
     side = lambda x: dealt.select(*group, "token", "part", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
     left = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarry.operators import dialogue as D
 from quarry.operators import replay as Y
 from quarry.operators import reports as R
-from quarry.plans import dialogues
+from quarry.operators.similarity import similar_pairs
+from quarry.plans import dialogues, sets
 
 DIR = os.environ.get("QUARRY_TEST_DIR", "/root/testdata/sf0.001")
 
@@ -46,3 +47,20 @@ def test_order_of_turns_without_a_macro(spark):
     rows = [("a", 1, "M2"), ("a", 2, "x"), ("a", 3, "M1"), ("a", 4, "M3"), ("b", 1, "x"), ("c", 1, None)]
     turns = spark.createDataFrame(rows, "k string, turn_index int, m string").select("k", "turn_index", F.struct(F.lit("main").alias("question_type"), F.col("m").alias("macro_id")).alias("turn"))
     assert {r.k: r.macro_order_following_score for r in R.order_score(turns, ["k"]).collect()} == {"a": 0.6667, "b": 1.0, "c": 0.0}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+def test_neighbours_are_sent_as_lists(spark):
+    assert "(l_partkey" not in "".join(x for x in plan(sets.kc_connectivity(spark, DIR)).splitlines() if "Join" in x)
+
+
+def test_tokens_are_never_joined_with_their_counts(spark, monkeypatch):
+    from quarry.operators import similarity
+
+    kept, stored = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name, *a: kept.append((name, plan(df))) or stored(df, name, *a))
+    rows = [(i, [f"w{j}" for j in range(i, i + 40)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "key long, tokens array<string>").withColumn("g", F.lit("a"))
+    found = sorted((r.a, r.b) for r in similar_pairs(df, "key", "tokens", ["g"], 0.9, 5, most_sent=8).collect())
+    assert found == [(i, j) for i in range(30) for j in range(i + 1, min(i + 3, 30))]
+    assert not [name for name, said in kept if "Join" in said and name != "token-hot"]
