@@ -144,9 +144,13 @@ def _within(members: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
             yield from zip(left[a[keep]].tolist(), right[b[keep]].tolist(), strict=True)
 
 
-def _dealt(placed: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """placed with part: members of an anchor with more than `block` of them meet in pairs of blocks, each a part of its own."""
-    hot = placed.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("k"))
+def _dealt(placed: DataFrame, columns: list[str], block: int, counted: DataFrame | None = None, share: int = 1) -> DataFrame:
+    """placed with part: members of an anchor with more than `block` of them meet in pairs of blocks, each a part of its own.
+
+    counted: one row in `share` of placed, by which large anchors are told; an error there deals a group out more or less finely and changes no result.
+    """
+    of = (placed if counted is None else counted).groupBy("anchor").count().select("anchor", (F.col("count") * share).alias("count"))
+    hot = of.filter(F.col("count") > block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / block).cast("int").alias("k"))
     hot = written(hot, "simhash-hot")
     if hot.isEmpty():
         return placed.withColumn("part", F.lit(0))
@@ -301,11 +305,11 @@ def _meeting(members: np.ndarray, label: np.ndarray, most: int, turn: int) -> tu
 
 
 def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFrame:
-    """Pairs of sets (da, a0, db, b0) that meet at an anchor of any half and differ in `most` bits or fewer, to be confirmed in this turn.
+    """Pairs of sets (a, b, apart) that meet at an anchor of any half and differ in `most` bits or fewer, to be confirmed in this turn.
 
-    active: d, p0, p1 and, after turn 0, r0, r1 that name the part. Rows with `held` name a set (da, a0) with pairs that wait for the next turn.
+    active: c (a set's number), p0, p1 and, after turn 0, r that names the part. Rows with `held` name a set (a) with pairs that wait for the next turn.
     """
-    columns = active.columns
+    columns, share = active.columns, max(1, block // 128)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5000):
@@ -314,7 +318,8 @@ def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFram
                 at, row = anchors(all_[1 + k].view(np.uint64), 2 * k)
                 yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *(pa.array(x[row]) for x in all_)], names=["anchor", *columns])
 
-    placed = _dealt(active.mapInArrow(place, ", ".join(f"{c} long" for c in ("anchor", *columns))), columns, block)
+    at_anchors = lambda df: df.mapInArrow(place, ", ".join(f"{c} long" for c in ("anchor", *columns)))
+    placed = _dealt(at_anchors(active), columns, block, at_anchors(active.filter(bucket_of("c", n=share) == 0)), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, value in _groups(batches):
@@ -326,22 +331,73 @@ def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFram
                 for i in range(size):
                     for j in range(i + 1, size):
                         busy[of] |= np.bitwise_count(group[:, i] ^ group[:, j]).sum(axis=1) <= most
-            pairs, held = [np.zeros((0, 4), np.int64)], [np.zeros((0, 4), np.int64)]
+            pairs, held = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
             for at, size in zip(starts[busy].tolist(), sizes[busy].tolist(), strict=True):
                 rows = value[at : at + size]
-                label = np.unique(rows[:, 1 + PRINTS :], axis=0, return_inverse=True)[1].ravel() if turn else np.arange(size)
-                ab, wait = _meeting(rows[:, 1 : 1 + PRINTS], label, most, turn)
-                named = rows[:, :2].copy().view(np.int64)
-                a, b = named[ab[:, 0]], named[ab[:, 1]]
-                swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-                pairs.append(np.concatenate([np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)], axis=1))
-                held.append(np.concatenate([named[wait], named[wait]], axis=1))
-            pairs, held = np.concatenate(pairs), np.unique(np.concatenate(held), axis=0)
-            both = np.concatenate([pairs, held])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in both.T.copy()), pa.array(np.arange(len(both)) >= len(pairs))], names=["da", "a0", "db", "b0", "held"])
+                label = np.unique(rows[:, 1 + PRINTS], return_inverse=True)[1].ravel() if turn else np.arange(size)
+                words = rows[:, 1 : 1 + PRINTS]
+                ab, wait = _meeting(words, label, most, turn)
+                named = rows[:, 0].copy().view(np.int64)
+                apart = np.bitwise_count(words[ab[:, 0]] ^ words[ab[:, 1]]).sum(axis=1, dtype=np.int64)
+                pairs.append(np.concatenate([np.sort(named[ab], axis=1), apart[:, None]], axis=1))
+                held.append(named[wait])
+            pairs, held = np.concatenate(pairs), np.unique(np.concatenate(held))
+            both = np.concatenate([pairs, np.stack([held, held, np.zeros_like(held)], axis=1)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in both.T.copy()), pa.array(np.arange(len(both)) >= len(pairs))], names=["a", "b", "apart", "held"])
 
     dealt = placed.select("anchor", "part", *columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "da long, a0 long, db long, b0 long, held boolean").distinct()
+    return dealt.mapInArrow(run, "a long, b long, apart long, held boolean").distinct()
+
+
+def _nearest_of(left: DataFrame, quota: int) -> DataFrame:
+    """(a, b): of the pairs of each part (ra, rb) the closest ones, one in each of `quota` shares of them."""
+    ends = left.select("a", "b", "apart", F.explode(F.array("ra", "rb")).alias("part"), bucket_of("a", "b", n=quota).alias("share"))
+    return ends.groupBy("part", "share").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+
+
+def _parted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """pairs between different parts, with the parts of their ends as ra and rb."""
+    if roots is None:
+        return pairs.select("a", "b", "apart", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    roots = bounded(roots)
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.select("a", "b", "apart", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).filter("ra <> rb")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, tested: DataFrame | None, roots: DataFrame | None, least: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """(tested, roots) once every pair is confirmed, refused or joined by others.
+
+    All at once where they are at most four for each set among them. Else first each part's closest pair, then 8, 64, ... of each, until no more
+    than that are left; those that confirmed ones have joined need no look. So a group of copies costs comparisons by its members, not its pairs.
+    """
+    ids = ["a", "b"]
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            same = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], names=[*ids, "same"])
+
+    of = lambda x: sets.select(F.col("c").alias(x), F.col("set").alias(f"set_{x}"))
+    left, quota = written(_parted(pairs, roots), "copies-left"), 1
+    room = 4 * left.select(F.explode(F.array(*ids))).distinct().count()
+    while n := left.count():
+        asked = bounded(left.select(*ids) if n <= room else written(_nearest_of(left, quota), "copies-asked"))
+        other = of("b").join(asked.select("b"), "b", "left_semi")  # no set is shuffled that is not asked for
+        both = asked.join(of("a"), "a").join(other, "b").select(*ids, "set_a", "set_b")
+        checked = written(both.mapInArrow(confirm, "a long, b long, same boolean"), "copies-checked")
+        tested = checked if tested is None else tested.union(checked)
+        links = checked.filter("same").select(*ids)
+        roots = written(components(links if roots is None else links.union(roots.select("node", "root"))), "copies-roots")
+        if n <= room:
+            break
+        rest = left.select(*ids, "apart").join(checked.select(*ids), ids, "left_anti")
+        left, quota = written(_parted(rest, roots), "copies-left"), 8 * quota
+    return tested, roots
 
 
 def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, least: float = 0.8, most: int = WIDE, block: int = BLOCK) -> DataFrame:
@@ -352,56 +408,43 @@ def near_copies(docs: DataFrame, id: str, text: str = "text", words: int = 5, le
     of 0.92 at a similarity of 0.8, 0.96 at 0.825 and 0.98 at 0.85, wherever the texts differ. All links are confirmed exactly on the whole texts.
 
     An anchor sends the pairs that would join its near members, closest first; what they leave apart once they are confirmed is sent in
-    further turns, 8, 64, ... pairs for each part, until no pair waits. So a large group of copies sends about as many pairs as it has members,
-    and no pair that was seen goes unconfirmed unless confirmed links join its ends.
+    further turns, 8, 64, ... pairs for each part, until no pair waits. Of what all anchors send, each part's closest pairs are confirmed first
+    (`_confirmed`), and no pair that was seen goes unconfirmed unless confirmed links join its ends.
     """
     with small_batches(docs.sparkSession), scratch() as made:
         return kept(made, _near_copies(docs, id, text, words, least, most, block))
 
 
 def _near_copies(docs: DataFrame, id: str, text: str, words: int, least: float, most: int, block: int) -> DataFrame:
-    ends = ["da", "a0", "db", "b0"]
     prints = written(set_prints(docs, id, text, words), "copies-prints")
-    classes = written(prints.groupBy("d", "p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies-classes")
-    node = lambda d, p: F.concat(as_hex(d), as_hex(p))
+    classes = prints.groupBy("d", "p0", "p1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "copies-classes")  # a number is half of a hash and shuffles as less
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column(2).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["d", "p0", "set"])
+            sets = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["c", "set"])
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            same = []
-            for x, y in zip(b.column(4), b.column(5), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(shared >= least * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(same, pa.bool_())], names=[*ends, "same"])
-
-    active, turn, tested, sets = classes.select("d", "p0", "p1"), 0, None, None
+    active, turn, tested, roots, sets = classes.select("c", "p0", "p1"), 0, None, None, None
     while True:
         found = written(_wide_pairs(active, most, block, turn), "copies-found")
-        pairs = found.filter("not held").select(*ends)
+        pairs = found.filter("not held").select("a", "b", "apart")
         if sets is None:  # later turns ask for no others: whatever is near a member has a pair in the first
-            asked = pairs.select(F.col("da").alias("d"), F.col("a0").alias("p0")).union(pairs.select("db", "b0")).distinct()
-            chosen = written(classes.join(asked, ["d", "p0"]).select("d", "p0", "first"), "copies-chosen")
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+            chosen = written(classes.join(asked, "c").select("c", "first"), "copies-chosen")
             said = docs.select(F.col(id).alias("first"), F.col(text).cast("string").alias("text"))
-            sets = written(said.join(bounded(chosen), "first").select("d", "p0", "text").mapInArrow(run, "d long, p0 long, set binary"), "copies-sets")
-        else:
-            pairs = pairs.join(tested, ends, "left_anti")
-        of = lambda x: sets.select(F.col("d").alias(f"d{x}"), F.col("p0").alias(f"{x}0"), F.col("set").alias(f"set_{x}"))  # noqa: B023, E731
-        both = pairs.join(of("a"), ["da", "a0"]).join(of("b"), ["db", "b0"]).select(*ends, "set_a", "set_b")
-        checked = written(both.mapInArrow(confirm, "da long, a0 long, db long, b0 long, same boolean"), "copies-checked")
-        tested = checked if tested is None else tested.union(checked)
-        roots = written(components(tested.filter("same").select(node("da", "a0").alias("a"), node("db", "b0").alias("b"))), "copies-roots")
-        held = found.filter("held").select(F.col("da").alias("d"), F.col("a0").alias("p0"))
+            sets = written(said.join(bounded(chosen), "first").select("c", "text").mapInArrow(run, "c long, set binary"), "copies-sets")
+        elif tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested, roots = _confirmed(pairs, sets, tested, roots, least)
+        held = found.filter("held").select(F.col("a").alias("c"))
         if held.isEmpty():
             break
-        part = lambda at: F.conv(F.substring(F.coalesce("root", "node"), at, 16), 16, -10).cast("long")
-        waiting = classes.join(held, ["d", "p0"]).select("d", "p0", "p1", node("d", "p0").alias("node")).join(bounded(roots), "node", "left")
-        active, turn = written(waiting.select("d", "p0", "p1", part(1).alias("r0"), part(17).alias("r1")), "copies-active"), turn + 1
-    named = classes.withColumn("node", node("d", "p0")).join(bounded(roots), "node", "left").select("d", "p0", "first", "n", F.coalesce("root", "node").alias("root"))
+        waiting = classes.join(held, "c").select("c", "p0", "p1").join(bounded(roots.withColumnRenamed("node", "c")), "c", "left")
+        active, turn = written(waiting.select("c", "p0", "p1", F.coalesce("root", "c").alias("r")), "copies-active"), turn + 1
+    named = classes.select("d", "p0", "first", "n", F.col("c").alias("root"))
+    if roots is not None:
+        named = classes.join(bounded(roots.withColumnRenamed("node", "c")), "c", "left").select("d", "p0", "first", "n", F.coalesce("root", "c").alias("root"))
     named = written(named, "copies-named")
     several = written(named.groupBy("root").agg(F.min("first").alias("group"), F.sum("n").alias("rows")).filter("rows > 1"), "copies-groups")
     of_class = written(named.join(bounded(several), "root").select("d", "p0", "group"), "copies-of-class")

@@ -186,3 +186,20 @@ def test_recall_by_kind_of_change_and_similarity(spark):
     print(share)
     assert share.pop(None, (0, 0))[0] == 0, "what is less alike stays apart"
     assert all(s >= 0.9 for s, _ in share.values()) and len(share) == 12
+
+
+def test_a_large_group_costs_about_as_many_comparisons_as_it_has_members(spark, monkeypatch):
+    random.seed(24)
+    hub = random.choices([f"v{i}" for i in range(3000)], k=200)
+    texts = []
+    for i in range(600):
+        w = list(hub)
+        for at in random.sample(range(200), 2):
+            w[at] = f"x{i}_{at}"
+        texts.append(" ".join(w))
+    made, stored = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *a: made.append((name, stored(df, name, *a))) or made[-1][1])
+    looked = []
+    monkeypatch.setattr(simhash, "components", lambda edges, of=simhash.components: looked.append(sum(df.count() for name, df in made if name == "copies-checked")) or of(edges))
+    assert set(copies_of(spark, texts)) == {0}
+    assert looked[-1] < 3 * len(texts)
