@@ -7,6 +7,7 @@ one row after the other, serve streams (quarry.streaming.replay), and tests hold
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,16 @@ def states(marked: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def with_all(found: DataFrame, components: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All components of a dialogue's graph, those never spoken of unlit."""
+    """All components of a dialogue's graph, those never spoken of unlit.
+
+    The two meet in an aggregate, whose rows stay where their dialogue lies; a join would deal both out again by all keys.
+    """
     kc = [*keys, "kc_id"]
-    return components.select(*kc).join(found, kc, "left").fillna({"status": "unlit", "n_bad": 0, "n_corrected": 0})
+    rest = [c for c in found.columns if c not in kc]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in kc])  # null keys match nothing
+    both = components.select(*kc, F.lit(1).alias("_n")).unionByName(found.filter(known), allowMissingColumns=True)
+    rows = both.groupBy(*kc).agg(F.count("_n").cast("int").alias("_n"), *[F.first(c, ignorenulls=True).alias(c) for c in rest]).filter("_n > 0")
+    return rows.select(*kc, *rest, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_r")).drop("_r").fillna({"status": "unlit", "n_bad": 0, "n_corrected": 0})
 
 
 def macros(marked: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:

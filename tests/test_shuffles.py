@@ -64,3 +64,11 @@ def test_tokens_are_never_joined_with_their_counts(spark, monkeypatch):
     found = sorted((r.a, r.b) for r in similar_pairs(df, "key", "tokens", ["g"], 0.9, 5, most_sent=8).collect())
     assert found == [(i, j) for i in range(30) for j in range(i + 1, min(i + 3, 30))]
     assert not [name for name, said in kept if "Join" in said and name != "token-hot"]
+
+
+def test_components_never_spoken_of_need_no_join(spark):
+    found = spark.createDataFrame([("a", "K1", "lit", 1, 2), ("b", "K9", "lit", 1, 1), (None, "K1", "lit", 3, 3)], "d string, kc_id string, status string, n_bad int, n_corrected int")
+    graph = spark.createDataFrame([("a", "K1"), ("a", "K2"), ("a", "K2"), (None, "K1")], "d string, kc_id string")
+    got = Y.with_all(found, graph, ["d"])
+    assert "Join" not in plan(got)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "K1", "lit", 1, 2), ("a", "K2", "unlit", 0, 0), ("a", "K2", "unlit", 0, 0), (None, "K1", "unlit", 0, 0)]))
