@@ -5,13 +5,16 @@
    different words of the corpus share one is looked up, and if so another seed is taken.
 2. Candidates are found level by level (`candidates`). By Apriori a phrase is frequent only if both its ends without one word are, so
    a task looks at those positions alone, with a bit filter of the shorter frequent phrases whose errors merely let more through.
-   It must also reach the threshold in an array of fixed size that all tasks tally the level's phrases in by hash (`tallied`).
+   It must also reach the threshold in an array that all tasks tally the level's phrases in by hash (`tallied`); where a corpus would
+   fill it, phrases are dealt to slices by their first two words and tallied slice by slice, so that the array tells as much at any size.
    It sends each phrase it holds once, with its occurrences there or the threshold, whichever is less: the sum of these reaches the
    threshold exactly where the whole count does, so candidates are safe and few before anything is counted.
 3. A minimal perfect hash (`Slots`: levels of bits, collisions go on to the next level, the slot is the rank of the bit) numbers the
    candidates, words among them, and stores their keys, all words' hashes, in the order of the slots. Tasks look up every position,
    compare the stored key word by word, and bincount the slots that are verified into one numpy array; the arrays are added up in a
    tree, some tasks at a time. Candidates take turns of up to `TURN`, so what is sent to the tasks is bounded whatever the corpus holds.
+   Turns, too, are dealt by the first two words: a turn looks up only the positions that may begin one of its candidates, and a phrase
+   where its beginning was found, so that all turns together look up each position once.
 4. Each candidate reads its own count and those of both sides of all its cuts by slot, from the turn's array.
 
 Scores and comparisons are exact: they are taken in decimals of 38 digits, not in floats.
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, small_batches, written
@@ -49,8 +52,8 @@ GATHERED = 1 << 19
 TURN = 1 << 20
 #: Slots of one part of an array of counts, and arrays added up at a time.
 PART, FAN = 4096, 16
-#: Places of the array that the phrases of a level are tallied in.
-TALLY = 1 << 24
+#: Places of the array that the phrases of a level are tallied in: the fewest, the most, and words of the corpus for each place.
+TALLY, MOST_TALLY, LOAD = 1 << 24, 1 << 26, 6
 #: Bits of the largest filter.
 MOST_BITS = 1 << 28
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -141,6 +144,21 @@ class Bits:
         return (self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def dealt(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """A number of the first two words of a phrase, by which slices and turns are dealt; hashes are even as they are. `_dealt` is the same in Spark."""
+    return (first if second is None else first ^ (second >> np.uint64(1))) & np.uint64(2**62 - 1)
+
+
+def _dealt() -> Column:
+    return F.col("w1").bitwiseXOR(F.shiftrightunsigned("w2", 1)).bitwiseAND(F.lit(2**62 - 1))
+
+
+def few_tasks(codes: DataFrame) -> DataFrame:
+    """codes in two tasks a core at most: each sends an array, or each phrase that it holds, and these should not grow with the number of files."""
+    n = 2 * codes.sparkSession.sparkContext.defaultParallelism
+    return codes.coalesce(n) if codes.rdd.getNumPartitions() > n else codes
+
+
 def blocks_of(text: bytes, size: int = PIECE) -> Iterator[bytes]:
     """A text in blocks that end at a blank or a piece's end, as far as it has any."""
     text = text.translate(LOWERED)
@@ -242,9 +260,17 @@ def language_code(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
 
 
-def passing(code: np.uint64, codes: np.ndarray, filters: list[Bits]) -> Iterator[np.ndarray]:
-    """For 1, 2, ... words, the positions of phrases that their filter lets through, as it does both their ends without one word; then those of one word more, whose ends pass."""
+def passing(code: np.uint64, codes: np.ndarray, filters: list[Bits], wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """For 1, 2, ... words, the positions of phrases that their filter lets through, as it does both their ends without one word; then those of one word more, whose ends pass.
+
+    wanted: the positions that the last ones are asked of; others are looked at only as far as these need them.
+    """
     ok = codes != 0
+    if wanted is not None:
+        near = wanted.copy()
+        for j in range(1, len(filters) + 1):
+            near[j:] |= wanted[:-j]
+        ok &= near
     for k, bits in enumerate(filters, 1):
         at = np.flatnonzero(ok)
         at = at[bits.has(joined([np.full(len(at), code), *(codes[at + i] for i in range(k))]))]
@@ -252,24 +278,24 @@ def passing(code: np.uint64, codes: np.ndarray, filters: list[Bits]) -> Iterator
         passed = np.zeros(len(ok), bool)
         passed[at] = True
         ok = passed[:-1] & passed[1:]
-    yield np.flatnonzero(ok)
+    yield np.flatnonzero(ok if wanted is None else ok & wanted[: len(ok)])
 
 
-def _unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(the different rows of some columns, how many there are of each)."""
+def _unique(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the different rows of some columns, the sum of n for each)."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64)
     h = joined(columns)
     order = np.argsort(h, kind="stable")
-    h, columns = h[order], [c[order] for c in columns]
+    h, columns, n = h[order], [c[order] for c in columns], n[order]
     new = lambda cs: np.logical_or.reduce([np.concatenate([[True], c[1:] != c[:-1]]) for c in cs])
     first = new(columns)
     if first.sum() > new([h]).sum():  # different rows of one hash may lie mixed
         order = np.lexsort(columns)
-        columns = [c[order] for c in columns]
+        columns, n = [c[order] for c in columns], n[order]
         first = new(columns)
     at = np.flatnonzero(first)
-    return [c[at] for c in columns], np.diff(np.append(at, len(first)))
+    return [c[at] for c in columns], np.add.reduceat(n, at)
 
 
 def filter_bits(spark: SparkSession, frequent: DataFrame, k: int) -> Bits:
@@ -316,66 +342,119 @@ def _parts(sums: np.ndarray, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["task", "part", "sums"])
 
 
-def tallied(spark: SparkSession, codes: DataFrame, filters: list[Bits], least: int, size: int = TALLY) -> Bits:
-    """A filter of phrases one word longer than those filtered: their occurrences, tallied by hash in an array of fixed size, reach `least`.
+class Sliced:
+    """A filter in slices, one for each share of the phrases as `dealt` deals them."""
+
+    def __init__(self, slices: list[Bits]) -> None:
+        self.slices = slices
+
+    def has(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """of: the slice of each phrase."""
+        out = np.zeros(len(hashes), bool)
+        for i, bits in enumerate(self.slices):
+            at = np.flatnonzero(of == i)
+            out[at] = bits.has(hashes[at])
+        return out
+
+
+def _slice_of(first: np.ndarray, second: np.ndarray, slices: int) -> np.ndarray:
+    return (dealt(first, second) >> np.uint64(32)) % np.uint64(slices)
+
+
+def tally_size(words: int, least_size: int = TALLY, most_size: int = MOST_TALLY, load: int = LOAD) -> tuple[int, int]:
+    """(places of an array, slices) for a corpus of so many words."""
+    size = least_size
+    while size < most_size and words > load * size:
+        size *= 2
+    return size, max(1, -(-words // (load * size)))
+
+
+def tallied(spark: SparkSession, codes: DataFrame, filters: list[Bits], least: int, size: int = TALLY, slices: int = 1) -> Sliced:
+    """A filter of phrases one word longer than those filtered: their occurrences, tallied by hash in an array of `size` places, reach `least`.
 
     Phrases of one place add up, so none that is frequent is lost, and most that are not stay out of what tasks send each other.
     """
     sent, most = spark.sparkContext.broadcast(filters), min(least, 255)
+    read = few_tasks(codes.select("lang", "own", "codes"))
+    tasks = read.rdd.getNumPartitions()
+
+    def tally(slice: int) -> Bits:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters, sums = sent.value, np.zeros(size, np.uint8)
+            for b in batches:
+                for i in range(b.num_rows):
+                    code, own, words = _spread(*(b.column(j)[i].as_py() for j in range(3)))
+                    wanted = None
+                    if slices > 1:
+                        wanted = np.zeros(len(words), bool)
+                        wanted[:-1] = _slice_of(words[:-1], words[1:], slices) == slice
+                        wanted[own:] = False
+                    *_, at = passing(code, words, filters, wanted)
+                    at = at[at < own]
+                    place, n = np.unique(joined([np.full(len(at), code), *(words[at + j] for j in range(len(filters) + 1))]) & np.uint64(size - 1), return_counts=True)
+                    place = place.astype(np.int64)
+                    sums[place] = np.minimum(sums[place] + n, most)
+            yield _parts(sums, 1 << 16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, sums = sent.value, np.zeros(size, np.uint8)
-        for b in batches:
-            for i in range(b.num_rows):
-                code, own, words = _spread(*(b.column(j)[i].as_py() for j in range(3)))
-                *_, at = passing(code, words, filters)
-                at = at[at < own]
-                place, n = np.unique(joined([np.full(len(at), code), *(words[at + j] for j in range(len(filters) + 1))]) & np.uint64(size - 1), return_counts=True)
-                place = place.astype(np.int64)
-                sums[place] = np.minimum(sums[place] + n, most)
-        yield _parts(sums, 1 << 16)
+        done = summed(read.mapInArrow(run, "task long, part long, sums binary"), tasks, np.uint8, most)
+        packed = lambda x: np.packbits(np.frombuffer(bytes(x), np.uint8) >= most, bitorder="little").tobytes()
 
-    read = codes.select("lang", "own", "codes")
-    done = summed(read.mapInArrow(run, "task long, part long, sums binary"), read.rdd.getNumPartitions(), np.uint8, most)
-    packed = lambda x: np.packbits(np.frombuffer(bytes(x), np.uint8) >= most, bitorder="little").tobytes()
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(x.as_py()) for x in b.column(1)], pa.binary())], names=["part", "bits"])
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(x.as_py()) for x in b.column(1)], pa.binary())], names=["part", "bits"])
+        return Bits(size, {r["part"]: bytes(r["bits"]) for r in done.select("part", "sums").mapInArrow(bits, "part long, bits binary").collect()}, 1 << 16)
 
-    found = Bits(size, {r["part"]: bytes(r["bits"]) for r in done.select("part", "sums").mapInArrow(bits, "part long, bits binary").collect()}, 1 << 16)
+    found = Sliced([tally(i) for i in range(slices)])
     sent.destroy()
     return found
 
 
-def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits], least: int, longest: int) -> DataFrame:
-    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of the shorter lengths, and the level's own."""
-    sent = spark.sparkContext.broadcast(filters)
+def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits], tally: Sliced, least: int, longest: int, gathered: int = GATHERED) -> DataFrame:
+    """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of the shorter lengths; tally: the level's own.
+
+    What a task holds is added up whenever it is `gathered` phrases, and sent only where more than half as many different ones are left.
+    """
+    sent = spark.sparkContext.broadcast((filters, tally))
     names = [f"w{i}" for i in range(1, k + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[list[np.ndarray]]] = {}
+        held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
+        (filters, tally), size = sent.value, 0
+
+        def added(lang: str) -> tuple[list[np.ndarray], np.ndarray]:
+            parts = held[lang]
+            return _unique([np.concatenate(x) for x in zip(*(c for c, _ in parts), strict=True)], np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
         def told(lang: str) -> pa.RecordBatch:
-            columns, n = _unique([np.concatenate(x) for x in zip(*held.pop(lang), strict=True)])
+            columns, n = added(lang)
+            del held[lang]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.minimum(n, least).astype(np.int32))], names=["lang", *names, "n"])
 
         for b in batches:
             for i in range(b.num_rows):
                 lang = b.column(0)[i].as_py()
                 code, own, words = _spread(lang, b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                at = next(x for i, x in enumerate(passing(code, words, sent.value), 1) if i == k)
+                *_, at = passing(code, words, filters)
                 at = at[at < own]
+                columns = [words[at + j] for j in range(k)]
+                at = np.flatnonzero(tally.has(joined([np.full(len(at), code), *columns]), _slice_of(columns[0], columns[1], len(tally.slices))))
                 if len(at):
-                    held.setdefault(lang, []).append([words[at + j] for j in range(k)])
-                if len(at) and sum(len(p[0]) for p in held[lang]) > GATHERED:
-                    yield told(lang)
-                while len(held) > 1 and sum(len(p[0]) for ps in held.values() for p in ps) > GATHERED:
-                    yield told(max(held, key=lambda x: sum(len(p[0]) for p in held[x])))
+                    held.setdefault(lang, []).append(_unique([c[at] for c in columns], np.ones(len(at), np.int64)))
+                    size += len(held[lang][-1][1])
+                if size > gathered:
+                    for x in held:
+                        held[x] = [added(x)]
+                    rows = {x: len(parts[0][1]) for x, parts in held.items()}
+                    while sum(rows.values()) > gathered // 2:
+                        most = max(rows, key=rows.__getitem__)
+                        del rows[most]
+                        yield told(most)
+                    size = sum(rows.values())
         for lang in list(held):
             yield told(lang)
 
-    seen = codes.select("lang", "own", "codes").mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "n int"]))
+    seen = few_tasks(codes.select("lang", "own", "codes")).mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "n int"]))
     found = seen.groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     done = written(found.select("lang", *names, *[F.lit(0).cast("long").alias(f"w{i}") for i in range(k + 1, longest + 1)]), "phrases-candidates")
     sent.destroy()
@@ -388,23 +467,36 @@ def _array_of(keys: pa.Table, longest: int) -> np.ndarray:
     return np.stack([first, *(keys.column(f"w{i}").to_numpy().view(np.uint64) for i in range(1, longest + 1))], axis=1) if len(first) else np.zeros((0, longest + 1), np.uint64)
 
 
-def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[Bits], longest: int, part: int = PART, fan: int = FAN) -> np.ndarray:
+def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[Bits], longest: int, turn: int = 0, turns: int = 1, part: int = PART, fan: int = FAN) -> np.ndarray:
     """Occurrences of the turn's candidates by slot: a task bincounts into one array, arrays are added up in a tree."""
     sent, n = spark.sparkContext.broadcast((table, filters)), len(table.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, filters = sent.value
         sums = np.zeros(n, np.int64)
+
+        def found(code: np.uint64, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+            """Of some positions those that begin a candidate of k words, which is counted."""
+            columns = [np.full(len(at), code), *(words[at + j] for j in range(k))]
+            some = np.flatnonzero(filters[k - 1].has(joined(columns)))
+            slot = table.find([c[some] for c in columns])
+            sums[:] += np.bincount(slot[slot >= 0], minlength=n)
+            return at[some[slot >= 0]]
+
         for b in batches:
             for i in range(b.num_rows):
                 code, own, words = _spread(*(b.column(j)[i].as_py() for j in range(3)))
-                for k, at in zip(range(1, longest + 1), passing(code, words, filters), strict=False):
-                    at = at[at < own]
-                    slot = table.find([np.full(len(at), code), *(words[at + j] for j in range(k))])
-                    sums += np.bincount(slot[slot >= 0], minlength=n)
+                real, own = words != 0, min(own, len(words))
+                mine = lambda x: x % np.uint64(turns) == turn if turns > 1 else True
+                found(code, words, np.flatnonzero(real[:own] & mine(dealt(words[:own]))), 1)
+                at = np.flatnonzero(real[:-1] & real[1:] & mine(dealt(words[:-1], words[1:])))
+                at = at[at < own]
+                for k in range(2, longest + 1):
+                    at = at[at + k <= len(words)]
+                    at = found(code, words, at[real[at + k - 1]], k)
         yield _parts(sums, part)
 
-    read = codes.select("lang", "own", "codes")
+    read = few_tasks(codes.select("lang", "own", "codes"))
     sums = summed(read.mapInArrow(run, "task long, part long, sums binary"), read.rdd.getNumPartitions(), np.int64, fan=fan)
     out = np.zeros(n, np.int64)
     for r in sums.collect():  # one array of the turn's size
@@ -414,7 +506,7 @@ def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[B
     return out
 
 
-def read_cuts(spark: SparkSession, asked: DataFrame, table: Table, counts: np.ndarray, longest: int) -> DataFrame:
+def read_cuts(spark: SparkSession, asked: DataFrame, table: Table, counts: np.ndarray, longest: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """asked (lang, w1 .., reads: own count, then both sides of every cut) with what the turn's array knows of them filled in, by slot."""
     sent = spark.sparkContext.broadcast((table, counts))
 
@@ -429,8 +521,9 @@ def read_cuts(spark: SparkSession, asked: DataFrame, table: Table, counts: np.nd
                 row = np.flatnonzero(size == k)
                 words = [keys[row, 1 + j] for j in range(k)]
                 for place, i, j in [(0, 0, k), *((2 * c - 1, 0, c) for c in range(1, k)), *((2 * c, c, k) for c in range(1, k))]:
-                    slot = table.find([keys[row, 0], *words[i:j]])
-                    reads[row[slot >= 0], place] = counts[slot[slot >= 0]]
+                    of = np.flatnonzero(dealt(*words[i:j][:2]) % np.uint64(turns) == turn)
+                    slot = table.find([keys[row[of], 0], *(w[of] for w in words[i:j])])
+                    reads[row[of[slot >= 0]], place] = counts[slot[slot >= 0]]
             flat = pa.array(reads.reshape(-1))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, reads.size + 1, reads.shape[1]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "reads"), listed], names=[*(c for c in b.schema.names if c != "reads"), "reads"])
@@ -464,16 +557,17 @@ def _mined(docs: DataFrame, lang: str, text: str, longest: int, least: int, most
     codes, words = _encoded_words(docs, text, lang, longest, row)
     frequent = written(words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]]), "phrases-candidates")
     levels, filters = [frequent], [filter_bits(spark, frequent, 1)]
+    size, slices = tally_size(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     for k in range(2, longest + 1):
-        levels.append(candidates(spark, codes, k, [*filters, tallied(spark, codes, filters, least)], least, longest))
+        levels.append(candidates(spark, codes, k, filters, tallied(spark, codes, filters, least, size, slices), least, longest))
         filters.append(filter_bits(spark, levels[-1], k))
     everything = reduce(DataFrame.unionByName, levels)
     turns = max(1, -(-everything.count() * 5 // (4 * turn)))  # hashes do not deal them out quite evenly
-    of_turn = F.pmod(F.xxhash64("lang", *names), F.lit(turns))
+    of_turn = _dealt() % turns
     asked = reduce(DataFrame.unionByName, levels[1:]).withColumn("reads", F.array_repeat(F.lit(0).cast("long"), 2 * longest - 1))
     for t in range(turns):
         table = Table(_array_of(everything.filter(of_turn == t).toArrow(), longest))
-        asked = read_cuts(spark, asked, table, counted(spark, codes, table, filters, longest), longest)
+        asked = read_cuts(spark, asked, table, counted(spark, codes, table, filters, longest, t, turns), longest, t, turns)
         if t % 8 == 7:
             asked = written(asked, "phrases-read")
     return written(_ranked(written(asked, "phrases-read"), words, names, longest, most, scale, inside, buckets=16 * turns), "phrases-found")

@@ -86,3 +86,21 @@ def test_stored_keys_verify():
     found = t.find(list(keys.T))
     assert sorted(found.tolist()) == list(range(3000)) and (t.keys[found] == keys).all()
     assert (t.find(list(np.roll(keys, 1, axis=0)[:, [1, 0, 2, 3]].T)) == -1).all()
+
+
+def test_slices_turns_and_early_sends_change_nothing(spark, monkeypatch):
+    sent, lookups = phrases.candidates, []
+    monkeypatch.setattr(phrases, "tally_size", lambda words: (1 << 16, 5))
+    monkeypatch.setattr(phrases, "candidates", lambda *a: sent(*a, gathered=64))
+    monkeypatch.setattr(phrases, "counted", lambda *a, of=phrases.counted: lookups.append(a[-1]) or of(*a))
+    docs = documents(9, 100)
+    got = phrases.mine(spark.createDataFrame(docs, "lang string, text string").repartition(3), least=4, most=50, turn=60, row=64)
+    assert sorted(map(tuple, got.collect())) == plain(docs, 4, 4, 50, 2_000_000, (80, 100))
+    assert len(lookups) > 1 and set(lookups) == {len(lookups)}
+
+
+def test_the_tally_keeps_pace_with_the_corpus():
+    for words in (0, 1, 10**8, 10**9, 10**10, 10**11):
+        size, slices = phrases.tally_size(words)
+        assert size <= phrases.MOST_TALLY and words <= phrases.LOAD * size * slices
+    assert phrases.tally_size(0) == (phrases.TALLY, 1)
