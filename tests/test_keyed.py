@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,58 @@ def test_what_is_written_down_counts_before_what_is_inferred(spark):
     plans = spark.createDataFrame([(1, "Q1", 1), (1, "Q2", 2), (1, "Q0", 2), (2, "Q3", 1)], "d long, question_id string, place int")
     assert {tuple(r) for r in artifacts.to_do(plans, done, ["d"]).select("d", "question_id", "position").collect()} == {(1, "Q0", 1), (1, "Q2", 2)}
     assert artifacts.stored(spark, "/tmp/quarry-not-there", "turns", "a long").count() == 0
+
+
+class _Store:
+    """A state store's handle in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.maps = 0, {}
+
+    def of(self, name, *_):
+        return _Map(self, self.maps.setdefault(name, {}))
+
+    getMapState = getValueState = of  # noqa: N815
+
+
+class _Map:
+    def __init__(self, store, rows):
+        self.store, self.rows = store, rows
+
+    def called(self, x=None):
+        self.store.calls += 1
+        return x
+
+    def containsKey(self, k):  # noqa: N802
+        return self.called(k in self.rows)
+
+    def getValue(self, k):  # noqa: N802
+        return self.called(self.rows[k])
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.called(self.rows.__setitem__(k, v))
+
+    def exists(self):
+        return self.called(() in self.rows)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, v):
+        self.updateValue((), v)
+
+
+def test_calls_to_the_store_do_not_grow_with_the_turns():
+    def run(parts):
+        store = _Store()
+        turns, out = keyed.Turns(), []
+        turns.init(store)
+        for rows in parts:
+            frame = pd.DataFrame([(at, ["k"], ["bad"], [f"E{at}"], ["k"]) for at in rows], columns=["at", "kcs", "marks", "events", "missing"])
+            out += [x for f in turns.handleInputRows((1,), iter([frame]), None) for x in f.itertuples(index=False)]
+        return store.calls, [tuple(x)[4:] for x in out if x.kind == "dialogue"]
+
+    few, many = run([range(8)]), run([range(800)])
+    assert many[0] <= few[0] + 2 * keyed.PARTS and many[1] == [(799, 800, 800, 800)] and few[1] == [(7, 8, 8, 8)]
+    again = run([range(8), range(4, 12), range(12)])  # known turns, events and gaps count once
+    assert again[1] == [(7, 8, 8, 8), (11, 12, 12, 4)]
