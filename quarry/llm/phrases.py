@@ -413,7 +413,8 @@ def tallied(spark: SparkSession, codes: DataFrame, filters: list[Bits], least: i
 def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits], tally: Sliced, least: int, longest: int, gathered: int = GATHERED) -> DataFrame:
     """lang and w1 .. wk of the phrases of k words that occur `least` times or more; written. filters: of the shorter lengths; tally: the level's own.
 
-    What a task holds is added up whenever it is `gathered` phrases, and sent only where more than half as many different ones are left.
+    What a task holds is added up whenever it is `gathered` phrases. Where more than half as many different ones are left, it sends the
+    rarest of them and keeps the others, which are likely to come again, so that a task sends a frequent phrase about once.
     """
     sent = spark.sparkContext.broadcast((filters, tally))
     names = [f"w{i}" for i in range(1, k + 1)]
@@ -426,9 +427,7 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
             parts = held[lang]
             return _unique([np.concatenate(x) for x in zip(*(c for c, _ in parts), strict=True)], np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
-        def told(lang: str) -> pa.RecordBatch:
-            columns, n = added(lang)
-            del held[lang]
+        def told(lang: str, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.minimum(n, least).astype(np.int32))], names=["lang", *names, "n"])
 
         for b in batches:
@@ -445,14 +444,15 @@ def candidates(spark: SparkSession, codes: DataFrame, k: int, filters: list[Bits
                 if size > gathered:
                     for x in held:
                         held[x] = [added(x)]
-                    rows = {x: len(parts[0][1]) for x, parts in held.items()}
-                    while sum(rows.values()) > gathered // 2:
-                        most = max(rows, key=rows.__getitem__)
-                        del rows[most]
-                        yield told(most)
-                    size = sum(rows.values())
-        for lang in list(held):
-            yield told(lang)
+                    size = sum(len(n) for ((_, n),) in held.values())
+                    if size > gathered // 2:
+                        rare = np.partition(np.concatenate([n for ((_, n),) in held.values()]), size - gathered // 4)[size - gathered // 4]
+                        for x, ((columns, n),) in held.items():
+                            yield told(x, [c[n <= rare] for c in columns], n[n <= rare])
+                            held[x] = [([c[n > rare] for c in columns], n[n > rare])]
+                        size = sum(len(n) for ((_, n),) in held.values())
+        for lang in held:
+            yield told(lang, *added(lang))
 
     seen = few_tasks(codes.select("lang", "own", "codes")).mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "n int"]))
     found = seen.groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -473,14 +473,14 @@ def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[B
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, filters = sent.value
-        sums = np.zeros(n, np.int64)
+        sums, slots, held = np.zeros(n, np.int64), [], 0
 
         def found(code: np.uint64, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
             """Of some positions those that begin a candidate of k words, which is counted."""
             columns = [np.full(len(at), code), *(words[at + j] for j in range(k))]
             some = np.flatnonzero(filters[k - 1].has(joined(columns)))
             slot = table.find([c[some] for c in columns])
-            sums[:] += np.bincount(slot[slot >= 0], minlength=n)
+            slots.append(slot[slot >= 0].astype(np.int32))
             return at[some[slot >= 0]]
 
         for b in batches:
@@ -494,6 +494,13 @@ def counted(spark: SparkSession, codes: DataFrame, table: Table, filters: list[B
                 for k in range(2, longest + 1):
                     at = at[at + k <= len(words)]
                     at = found(code, words, at[real[at + k - 1]], k)
+                held += sum(map(len, slots[-longest:]))
+                if held > n // 2:  # an array of the turn's size is made for many rows at once
+                    sums += np.bincount(np.concatenate(slots), minlength=n)
+                    slots.clear()
+                    held = 0
+        if slots:
+            sums += np.bincount(np.concatenate(slots), minlength=n)
         yield _parts(sums, part)
 
     read = few_tasks(codes.select("lang", "own", "codes"))
