@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.storage import discard, kept, scratch, written
 
-__all__ = ["bounded", "bucket_of", "discard", "kept", "ranked", "scratch", "slices", "small_batches", "written"]
+__all__ = ["bounded", "bucket_of", "discard", "kept", "ranked", "scratch", "slices", "small_batches", "tidy", "written"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -31,6 +32,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
                 yield b
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, whose worker gives free memory back after the last batch.
+
+    Workers wait for later tasks, and what they hold while idle counts with the executor that then works without them.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
     """Smaller Arrow batches for what is run inside; the session's own settings are put back."""

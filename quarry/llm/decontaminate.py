@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, small_batches, written
+from quarry.llm.common import slices, small_batches, tidy, written
 
 #: The contract's words, on lower-cased UTF-8: bytes of characters beyond ASCII, digits and letters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,7 +73,7 @@ def index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment_words
 
     keyed = docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
     with small_batches(docs.sparkSession):
-        return written(keyed.mapInArrow(run, SCHEMA), "postings")
+        return written(keyed.mapInArrow(tidy(run), SCHEMA), "postings")
 
 
 class _Lists:
@@ -165,7 +165,7 @@ def _search(index_: DataFrame, items: list[tuple[str | None, list[bytes]]], wind
             for row in b.to_pylist():
                 yield _found(row, numbered, wanted, window, slop)
 
-    return index_.mapInArrow(run, FOUND)
+    return index_.mapInArrow(tidy(run), FOUND)
 
 
 def _found(row: dict, numbered: list, wanted: list[bytes], window: int, slop: int | None) -> pa.RecordBatch:

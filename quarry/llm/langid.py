@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import slices, tidy
 
 
 def _class(*categories: str, end: int = 0x110000) -> str:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "at", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()  # a row per bucket and language at most
+    counted = rows.mapInArrow(tidy(run), "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()  # a row per bucket and language at most
     langs = sorted(counted["lang"].unique())
     sums = np.zeros((len(ORDERS) * BUCKETS + 1 + len(SCRIPTS), len(langs)))
     sums[counted["at"].to_numpy(int), counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] = counted["n"]
@@ -202,4 +202,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(share), lists], names=[*b.schema.names, "lang_pred", "score", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")

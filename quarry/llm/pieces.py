@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import slices, tidy
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", chec
             encoder.kept, encoder.old = {}, {}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * check)
+    return docs.mapInArrow(tidy(run), f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * check)
 
 
 def decode(encoded: DataFrame, model: Model | None = None, ids: str = "token_ids") -> DataFrame:

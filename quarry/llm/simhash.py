@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, small_batches, written
+from quarry.llm.common import bounded, bucket_of, kept, scratch, slices, small_batches, tidy, written
 from quarry.operators.components import components
 
 BITS = 31
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["id", "fingerprint"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint long")
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, fingerprint long")
 
 
 def _flips() -> np.ndarray:
@@ -105,7 +105,7 @@ def _placed(classes: DataFrame) -> DataFrame:
             at, row = anchors(prints)
             yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(prints[row].view(np.int64))], names=["anchor", "fingerprint"])
 
-    return classes.select("fingerprint").mapInArrow(run, "anchor long, fingerprint long")
+    return classes.select("fingerprint").mapInArrow(tidy(run), "anchor long, fingerprint long")
 
 
 class _Forest:
@@ -210,7 +210,7 @@ def links(classes: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     dealt = placed.select("anchor", "part", "fingerprint").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(prints: DataFrame, threshold: int = 3) -> DataFrame:
@@ -252,7 +252,7 @@ def set_prints(docs: DataFrame, id: str, text: str = "text", words: int = 5) ->
                 prints[i, 0], prints[i, 1:] = xxhash.xxh64_intdigest(found.tobytes()), least_bits(found)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in prints.T.copy())], names=["id", "d", "p0", "p1"])
 
-    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, d long, p0 long, p1 long")
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"id {docs.schema[id].dataType.simpleString()}, d long, p0 long, p1 long")
 
 
 def _joining(a: np.ndarray, b: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -318,7 +318,7 @@ def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFram
                 at, row = anchors(all_[1 + k].view(np.uint64), 2 * k)
                 yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *(pa.array(x[row]) for x in all_)], names=["anchor", *columns])
 
-    at_anchors = lambda df: df.mapInArrow(place, ", ".join(f"{c} long" for c in ("anchor", *columns)))
+    at_anchors = lambda df: df.mapInArrow(tidy(place), ", ".join(f"{c} long" for c in ("anchor", *columns)))
     placed = _dealt(at_anchors(active), columns, block, at_anchors(active.filter(bucket_of("c", n=share) == 0)), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def _wide_pairs(active: DataFrame, most: int, block: int, turn: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in both.T.copy()), pa.array(np.arange(len(both)) >= len(pairs))], names=["a", "b", "apart", "held"])
 
     dealt = placed.select("anchor", "part", *columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "a long, b long, apart long, held boolean").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long, apart long, held boolean").distinct()
 
 
 def _nearest_of(left: DataFrame, quota: int) -> DataFrame:
@@ -389,7 +389,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, tested: DataFrame | None, root
         asked = bounded(left.select(*ids) if n <= room else written(_nearest_of(left, quota), "copies-asked"))
         other = of("b").join(asked.select("b"), "b", "left_semi")  # no set is shuffled that is not asked for
         both = asked.join(of("a"), "a").join(other, "b").select(*ids, "set_a", "set_b")
-        checked = written(both.mapInArrow(confirm, "a long, b long, same boolean"), "copies-checked")
+        checked = written(both.mapInArrow(tidy(confirm), "a long, b long, same boolean"), "copies-checked")
         tested = checked if tested is None else tested.union(checked)
         links = checked.filter("same").select(*ids)
         roots = written(components(links if roots is None else links.union(roots.select("node", "root"))), "copies-roots")
@@ -433,7 +433,7 @@ def _near_copies(docs: DataFrame, id: str, text: str, words: int, least: float,
             asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
             chosen = written(classes.join(asked, "c").select("c", "first"), "copies-chosen")
             said = docs.select(F.col(id).alias("first"), F.col(text).cast("string").alias("text"))
-            sets = written(said.join(bounded(chosen), "first").select("c", "text").mapInArrow(run, "c long, set binary"), "copies-sets")
+            sets = written(said.join(bounded(chosen), "first").select("c", "text").mapInArrow(tidy(run), "c long, set binary"), "copies-sets")
         elif tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested, roots = _confirmed(pairs, sets, tested, roots, least)
