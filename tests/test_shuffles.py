@@ -72,3 +72,9 @@ def test_components_never_spoken_of_need_no_join(spark):
     got = Y.with_all(found, graph, ["d"])
     assert "Join" not in plan(got)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "K1", "lit", 1, 2), ("a", "K2", "unlit", 0, 0), ("a", "K2", "unlit", 0, 0), (None, "K1", "unlit", 0, 0)]))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+def test_no_query_of_the_step_gathers_turns(spark):
+    for name in ("trajectory_metrics", "report_order", "trajectory_categories", "answer_lengths", "trajectory_events", "trajectory_counts", "turn_buckets", "tasks_and_gaps"):
+        assert "collect_list" not in plan(getattr(dialogues, name)(spark, DIR)), name
