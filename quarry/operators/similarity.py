@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quarry.operators.components import components
 from quarry.operators.products import search
-from quarry.storage import written
+from quarry.storage import discard, written
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -24,67 +25,167 @@ def classes(rows: DataFrame, id: str, claim: str, group: Sequence[str] = ()) ->
     return rows.filter(F.col(claim) != "").groupBy(*group, F.sha2(claim, 256).alias("sha")).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def _dealt(prefix: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    """prefix with part: rows of a key that over `block` rows share meet in pairs of blocks, each pair a part of its own."""
-    hot = written(prefix.groupBy(*keys).count().filter(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("_k")), "token-hot")
-    if hot.isEmpty():
-        return prefix.withColumn("part", F.lit(0))
-    k = F.coalesce("_k", F.lit(1))
-    own = F.pmod(F.xxhash64("id"), k).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
-    return prefix.join(F.broadcast(hot), list(keys), "left").withColumn("part", F.explode(parts)).drop("_k")  # hot: one row in `block` rows at most
+def _sets(rows: DataFrame, id: str, tokens: str, group: Sequence[str]) -> DataFrame:
+    """(group, id, sha, set): the digest of a row's tokens in their order and their 64-bit hashes, each once. Tokens are made once a row."""
+    both = F.get(F.transform(F.array(tokens), lambda t: F.struct(F.unhex(F.sha2(F.array_join(t, " "), 256)).alias("sha"), F.array_distinct(F.transform(t, lambda w: F.xxhash64(w))).alias("set"))), 0)
+    return rows.select(*group, F.col(id).alias("id"), both.alias("_of")).select(*group, "id", "_of.sha", "_of.set")
+
+
+def _bounds(most: int, threshold: float, least: int) -> np.ndarray:
+    """The smallest sizes of the classes of sets, from `least` to beyond `most`: a class and the next hold all sizes that two similar sets can have."""
+    found = [least]
+    while len(found) < 3 or found[-2] <= most:  # a set's class, and the next with its end
+        found.append(int(found[-1] / threshold**3 + 1e-9) + 1)
+    return np.array(found, np.int64)
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """The last step of SplitMix64, on unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def _marks(sets: DataFrame, group: Sequence[str], threshold: float, least: int) -> DataFrame:
+    """sets (group, id, sha, set), but for empty ones, with n and marks in place of set: two similar sets of a group, of `least` tokens or more, share a mark.
 
-def _rarest(sets: DataFrame, places: DataFrame, size: int, group: Sequence[str], threshold: float) -> DataFrame:
-    """(group, id, n, at, token): each set's rarest tokens with their places. The counts of `size` places that tokens share are sent to the tasks, so no set is shuffled.
+    Sets of n and m tokens at the threshold differ in (1 - t) / (1 + t) * (n + m) of them at most. Tokens are dealt by their hash into one part
+    more than that, so that one part holds the same tokens in both, and a mark stands for what a part holds. How many parts there are
+    goes by the class of the larger set; sets near the end of their class bear the marks of the next one too. The lowest bit of a mark says
+    that it is of the set's own class.
+    """
+
+    def of_class(flat: np.ndarray, row: np.ndarray, seed: np.ndarray, at: np.ndarray, bounds: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = ((1 - threshold) / (1 + threshold) * 2 * (bounds[at + 1] - 1) + 1e-6).astype(np.int64) + 1
+        first = np.cumsum(parts) - parts
+        place = first[row] + ((flat >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, place, _hashed(flat))  # order does not count
+        of = np.repeat(np.arange(len(parts)), parts)
+        named = _hashed(seed[of] + (at[of] * 1_000_003 + np.arange(len(of)) - first[of]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return of, (_hashed(sums + named) & np.uint64(0xFFFFFFFFFFFFFFFE)) | np.uint64(own)
 
-    Any order of tokens that all sets share finds all pairs; the better it tells rare tokens, the fewer are compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                lists = b.column("set")
+                n = np.diff(lists.offsets.to_numpy())
+                flat, row, seed = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n), b.column("seed").to_numpy().view(np.uint64)
+                bounds = _bounds(int(n.max()), threshold, least)
+                at = np.searchsorted(bounds, n, "right") - 1
+                found = []
+                for own in (1, 0):  # the next class is for sets that may be similar to some in it
+                    bear = (n >= least) & ((own == 1) | (n >= threshold * bounds[at + 1] - 1e-9))
+                    held, number = bear[row], np.cumsum(bear) - 1
+                    of, marks = of_class(flat[held], number[row[held]], seed[bear], at[bear] + 1 - own, bounds, own)
+                    found.append((np.flatnonzero(bear)[of], marks))
+                of, marks = (np.concatenate(x) for x in zip(*found, strict=True))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(marks[np.argsort(of, kind="stable")].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n.astype(np.int32)), listed], names=[*names, "n", "marks"]).filter(pa.array(n > 0))
+
+    names = [*group, "id", "sha"]
+    plain = sets.select(*names, "set", F.xxhash64(*group).alias("seed"))
+    return plain.mapInArrow(run, ", ".join([*(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in names), "n int, marks array<bigint>"]))
+
+
+def _dealt(placed: DataFrame, block: int) -> DataFrame:
+    """placed (id, n, mark) with part and side: rows of a mark that over `block` rows bear meet in pairs of blocks, each pair a part of its own, with sides 1 and 2; a block alone has side 0.
+
+    Marks are counted on every sixteenth set where blocks are large, as a count only decides how rows are dealt.
     """
-    table = places.toArrow()  # at most `size` rows
-    counts = np.zeros(size, np.int64)
-    counts[table.column("place").to_numpy()] = table.column("df").to_numpy()
-    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    share = 16 if block >= 1024 else 1
+    counted = placed.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("mark").count().filter(F.col("count") * share > block)
+    hot = written(counted.select("mark", F.ceil(F.col("count") * share / block).cast("int").alias("_k")), "token-hot")
+    if hot.isEmpty():
+        return placed.withColumns({"part": F.lit(0), "side": F.lit(0)})
+    k = F.coalesce("_k", F.lit(1))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), k).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct((F.least(own, j) * k + F.greatest(own, j)).alias("part"), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
+    return placed.join(F.broadcast(hot), "mark", "left").withColumn("_p", F.explode(parts)).select("id", "n", "mark", "_p.part", "_p.side")  # hot: one row in `block` rows at most
+
+
+def _met(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, as often as met: sets of one mark and part, not on one side, whose sizes can be similar. n is below 0 where the mark is of the class above."""
+
+    def pairs(held: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        mark, part, n, side = (held.column(c).to_numpy() for c in ("mark", "part", "n", "side"))
+        new = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (part[1:] != part[:-1])]))
+        end = np.repeat(np.append(new[1:], len(mark)), np.diff(np.append(new, len(mark))))
+        size, at, step = np.abs(n), np.arange(len(mark)), 1
+        while len(at := at[at + step < end[at]]):
+            to = at + step
+            fit = ((n[at] > 0) | (n[to] > 0)) & ((side[at] == 0) | (side[at] != side[to])) & (np.minimum(size[at], size[to]) >= threshold * np.maximum(size[at], size[to]) - 1e-9)
+            if fit.any():
+                yield pa.RecordBatch.from_arrays([held.column("id").take(pa.array(at[fit])), held.column("id").take(pa.array(to[fit]))], names=["a", "b"])
+            step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        rest = None  # the rows of the last mark, which the next batch may go on with
         for b in batches:
-            lists = b.column(b.num_columns - 1)
-            flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-            by = np.lexsort((flat, counts[np.mod(flat, size)], row))  # rows stay in order, so places count from their first
-            at = np.arange(len(flat)) - first[row]
-            kept = at < (n - np.ceil(threshold * n - 1e-9) + 1)[row]
-            rows = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:-1]), pa.array(at[kept].astype(np.int32)), pa.array(flat[by][kept])], names=[*b.schema.names[:-1], "at", "token"])
-
-    plain = sets.select(*group, "id", "n", "set")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "at int", "token long"])
-    done = written(plain.mapInArrow(run, schema), "token-prefixes")
+            if not b.num_rows:
+                continue
+            held = b if rest is None else pa.concat_batches([rest, b])
+            mark, part = held.column("mark").to_numpy(), held.column("part").to_numpy()
+            cut = int(np.flatnonzero((mark != mark[-1]) | (part != part[-1])).max(initial=-1)) + 1
+            if cut:
+                yield from pairs(held.slice(0, cut))
+            rest = held.slice(cut)
+        if rest is not None:
+            yield from pairs(rest)
+
+    rows = dealt.repartition("mark", "part").sortWithinPartitions("mark", "part", "id")
+    id = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {id}, b {id}")
+
+
+def _named(sets: DataFrame, near: DataFrame, places: int) -> DataFrame:
+    """The sets that near names, stored, and some others: a table of `places` bits tells them before tokens are made, and is sent to the tasks. All of them without places."""
+    if not places:
+        return written(sets, "token-named")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    ids = near.select((at("a") + 1).alias("at")).union(near.select(at("b") + 1))
+    bits = ids.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()  # `places` bits at most
+    table = np.zeros((-(-places // 32768), 4096), np.uint8)  # Spark counts places from 1
+    for bucket, said in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        table[bucket - 1] = np.frombuffer(said, np.uint8)
+    sent = sets.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.arrow_udf(BooleanType())
+    def told(place: pa.Array) -> pa.Array:
+        x = place.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    done = written(sets.filter(told(at("id"))), "token-named")
     sent.destroy()
     return done
 
 
-def similar_pairs(reps: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float, least: int, block: int = 4096, most_sent: int = 1_000_000) -> DataFrame:
+def _pairs(marks: DataFrame, sets: DataFrame, group: Sequence[str], threshold: float, block: int, most_sent: int, once: bool) -> DataFrame:
+    """similar_pairs of marked sets; once: those of equal digest and group stand as one, by its smallest id."""
+    known = lambda df: df.dropna(subset=list(group)) if group else df
+    marks = known(marks).filter(F.size("marks") > 0)
+    if once:
+        marks = marks.groupBy(*group, "sha").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks"))
+    one = written(marks.select("id", "n", "marks"), "token-marks")
+    placed = one.select("id", "n", F.explode("marks").alias("m")).select("id", F.when(F.col("m").bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n")).alias("n"), F.shiftrightunsigned("m", 1).alias("mark"))
+    near = written(_met(_dealt(placed, block), threshold).filter("a < b").distinct(), "token-near")
+    discard(one)
+    named = _named(known(sets).select(*group, "id", "set"), near, 64 * most_sent)
+    of = lambda x: named.select(*group, F.col("id").alias(x), F.col("set").alias(f"_s{x}"))
+    return near.join(of("a"), "a").join(of("b"), [*group, "b"]).withColumn("jaccard", jaccard(F.col("_sa"), F.col("_sb"))).filter(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
+
+
+def similar_pairs(rows: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float, least: int, block: int = 4096, most_sent: int = 1_000_000, once: bool = False) -> DataFrame:
     """(group, a, b, jaccard), a < b: all pairs of sets of `least` tokens or more within a group at the threshold. Tokens are compared by 64-bit hashes.
 
-    Prefix filter: with tokens in order of rarity, two sets this similar share one of their n - ceil(threshold * n) + 1 rarest.
-    Only those are joined; lengths, and what is left behind the places at which a token stands, cut pairs that cannot reach the
-    threshold; sets that remain are compared exactly. Tokens are counted in `most_sent` places, which they share where there are more of them. Tokens that many prefixes share are dealt out in blocks.
+    Sets this similar share one of some marks, each of which stands for a part of a set (_marks), so few others meet; those that do are
+    compared exactly. Only marks and the sets to be compared, whose tokens are made anew, are stored and shuffled. Marks that over `block` sets bear are dealt out in blocks.
+    What tells the sets to be compared takes `most_sent` words of 64 bits, which are sent to the tasks. once: rows of equal tokens in equal
+    order and group stand as one, by its smallest id.
     """
-    sets = reps.select(*group, F.col(id).alias("id"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("set")).filter(F.size("set") >= least)
-    sets = written(sets.withColumn("n", F.size("set")), "token-sets")
-    size = max(1, most_sent)
-    places = sets.select(F.explode("set").alias("token")).groupBy(F.pmod("token", F.lit(size)).alias("place")).agg(F.count(F.lit(1)).alias("df"))
-    prefix = _rarest(sets, places, size, group, threshold)
-    dealt = _dealt(prefix, [*group, "token"], block)
-    side = lambda x: dealt.select(*group, "token", "part", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
-    left = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
-    near = side("a").join(side("b"), [*group, "token", "part"]).filter(
-        (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (left >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6)
-    )
-    near = near.select(*group, "a", "b").distinct()
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"_s{x}"))
-    return near.join(of("a"), "a").join(of("b"), "b").withColumn("jaccard", jaccard(F.col("_sa"), F.col("_sb"))).filter(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
+    sets = _sets(rows, id, tokens, group)
+    return _pairs(_marks(sets, group, threshold, least), sets, group, threshold, block, most_sent, once)
 
 
 def duplicate_groups(rows: DataFrame, id: str, claim: str, tokens: str, group: Sequence[str], threshold: float = 0.92, least: int = 5) -> DataFrame:

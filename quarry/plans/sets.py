@@ -57,15 +57,13 @@ SELECT min(doc_id) AS first_id, count(*) AS n, sha256(claim) AS sha FROM t WHERE
 """
 
 
-def _representatives(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(nfkc(F.col("text"))).alias("claim"))
-    reps = D.classes(rows, "doc_id", "claim", ["lang"]).select(F.col("rep").alias("doc_id"))
-    return rows.join(reps, "doc_id", "left_semi").select("lang", F.col("doc_id").alias("rep"), F.array_distinct(F.split("claim", " ")).alias("tokens"))
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", "lang", claim_tokens(nfkc(F.col("text"))).alias("tokens"))
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs between representatives of equal texts; exact_duplicates has the members."""
-    pairs = D.similar_pairs(_representatives(spark, d), "rep", "tokens", ["lang"], 0.92, 5)
+    pairs = D.similar_pairs(_claims(spark, d), "doc_id", "tokens", ["lang"], 0.92, 5, once=True)
     return pairs.select("lang", "a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 

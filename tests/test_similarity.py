@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import similarity
 from quarry.operators.similarity import similar_pairs
 
 
@@ -27,3 +28,42 @@ def test_no_sets(spark):
     df = spark.createDataFrame([], "g string, key long, tokens array<string>")
     assert similar_pairs(df, "key", "tokens", ["g"], 0.8, 5).count() == 0
     assert similar_pairs(spark.range(3).select(F.lit("a").alias("g"), F.col("id").alias("key"), F.array(F.lit("w")).alias("tokens")), "key", "tokens", ["g"], 0.8, 5).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_rows_of_equal_tokens_stand_as_one(spark, block):
+    random.seed(7)
+    rows = {}
+    for i in range(300):
+        n = random.choice([5, 6, 12, 13, 14, 25, 40, 90, 180])
+        t = list(random.choice(list(rows.values()))[1]) if i and random.random() < 0.8 else [f"w{random.randrange(10**6)}" for _ in range(n)]
+        if random.random() < 0.7:  # some tokens go, some come, some change places
+            t = [x for x in t if random.random() > 0.02] + [f"w{random.randrange(10**6)}" for _ in range(random.randrange(3))]
+            t = t[1:] + t[:1]
+        rows[i] = (random.choice(["a", "b"]), t)
+    df = spark.createDataFrame([(g, i, t) for i, (g, t) in rows.items()], "g string, key long, tokens array<string>").repartition(5)
+    found = sorted((r.g, r.a, r.b, r.jaccard) for r in similar_pairs(df, "key", "tokens", ["g"], 0.92, 5, block=block, once=True).collect())
+    first = {}
+    for i, (g, t) in rows.items():
+        first.setdefault((g, tuple(t)), i)
+    reps = [(i, g, set(t)) for (g, t), i in first.items() if len(set(t)) >= 5]
+    want = sorted((g, a, b, len(x & y) / len(x | y)) for a, g, x in reps for b, h, y in reps if a < b and g == h and len(x & y) / len(x | y) >= 0.92)
+    assert len(reps) < 290 and len(want) > 100 and found == want
+
+
+def test_common_tokens_bring_no_sets_together(spark, monkeypatch):
+    """Sets of common tokens that are not similar are neither dealt out nor met, and nothing that holds tokens is joined before pairs are known."""
+    stored, kept = similarity.written, {}
+
+    def seen(df, name, *a):
+        kept[name] = (df._jdf.queryExecution().executedPlan().toString(), out := stored(df, name, *a))
+        return out
+
+    monkeypatch.setattr(similarity, "written", seen)
+    monkeypatch.setattr(similarity, "discard", lambda *frames: None)
+    random.seed(9)
+    rows = [(i, [f"w{j}" for j in random.sample(range(300), 60)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, tokens array<string>").withColumn("g", F.lit("a"))
+    similar_pairs(df, "key", "tokens", ["g"], 0.92, 5, block=16).collect()
+    assert kept["token-hot"][1].isEmpty() and kept["token-near"][1].count() < 20
+    assert not [name for name, (said, _) in kept.items() if "Join" in said]
