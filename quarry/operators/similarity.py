@@ -188,22 +188,23 @@ def similar_pairs(rows: DataFrame, id: str, tokens: str, group: Sequence[str], t
     return _pairs(_marks(sets, group, threshold, least), sets, group, threshold, block, most_sent, once)
 
 
-def duplicate_groups(rows: DataFrame, id: str, claim: str, tokens: str, group: Sequence[str], threshold: float = 0.92, least: int = 5) -> DataFrame:
+def duplicate_groups(rows: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float = 0.92, least: int = 5) -> DataFrame:
     """(id, group_id, n_members, kind) for rows in a group of two or more; group_id is the smallest id of the group.
 
-    Equal claims belong together in any group, near ones within their own; a component is `near` if it holds different claims.
+    Claims are tokens in their order; a row without any is in no group. Equal claims belong together in any group, near ones within their
+    own; a component is `near` if it holds different claims.
     """
-    own = rows.filter(F.col(claim) != "").withColumn("_sha", F.sha2(claim, 256))
-    everywhere = written(own.groupBy("_sha").agg(F.min(id).alias("rep")), "claims")  # stored, so that a very common claim's join can be split
-    member = written(own.select(id, "_sha", *group).join(everywhere, "_sha"), "members")
-    sets = own.select(F.col(id).alias("rep"), F.col(tokens).alias("_tokens")).join(everywhere.select("rep"), "rep", "left_semi")
-    near = similar_pairs(member.select(*group, "rep").distinct().join(sets, "rep"), "rep", "_tokens", group, threshold, least)
-    of = components(near.select("a", "b"))
-    roots = written(everywhere.join(of, everywhere["rep"] == of["node"], "left").select("_sha", "rep", F.coalesce("root", "rep").alias("group_id")), "roots")
-    counts = member.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = roots.join(counts, "_sha").groupBy("group_id").agg(F.sum("_n").alias("n_members"), F.when(F.count(F.lit(1)) > 1, "near").otherwise("exact").alias("kind")).filter("n_members > 1")
-    kinds = written(roots.join(sizes, "group_id").select("_sha", "group_id", "n_members", "kind"), "groups")
-    return member.select(id, "_sha").join(kinds, "_sha").select(id, "group_id", "n_members", "kind")
+    sets = _sets(rows, id, tokens, group)
+    member = written(_marks(sets, group, threshold, least), "members")
+    near = _pairs(member, sets, group, threshold, 4096, 1_000_000, True).select("a", "b")
+    everywhere = written(member.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "claims")  # stored, so that a very common claim's join can be split
+    own = member.groupBy(*group, "sha").agg(F.min("id").alias("b")).groupBy("sha").agg(F.min("b").alias("a"), F.collect_set("b").alias("b")).filter(F.size("b") > 1)  # a claim's smallest id in each group
+    of = components(near.union(own.select("a", F.explode("b").alias("b"))))
+    roots = written(everywhere.join(of, everywhere["rep"] == of["node"], "left").select("sha", "n", F.coalesce("root", "rep").alias("group_id")), "roots")
+    sizes = roots.groupBy("group_id").agg(F.sum("n").alias("n_members"), F.when(F.count(F.lit(1)) > 1, "near").otherwise("exact").alias("kind")).filter("n_members > 1")
+    kinds = written(roots.join(sizes, "group_id").select("sha", "group_id", "n_members", "kind"), "groups")
+    discard(everywhere, roots)
+    return member.select(F.col("id").alias(id), "sha").join(kinds, "sha").select(id, "group_id", "n_members", "kind")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -79,8 +79,7 @@ FROM p JOIN n x ON p.a = x.id JOIN n y ON p.b = y.id WHERE CAST(shared AS DOUBLE
 
 
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", "lang", claim_key(nfkc(F.col("text"))).alias("claim"), claim_tokens(nfkc(F.col("text"))).alias("tokens"))
-    return D.duplicate_groups(rows, "doc_id", "claim", "tokens", ["lang"])
+    return D.duplicate_groups(_claims(spark, d), "doc_id", "tokens", ["lang"])
 
 
 SQL["duplicate_components"] = """

@@ -67,3 +67,16 @@ def test_common_tokens_bring_no_sets_together(spark, monkeypatch):
     similar_pairs(df, "key", "tokens", ["g"], 0.92, 5, block=16).collect()
     assert kept["token-hot"][1].isEmpty() and kept["token-near"][1].count() < 20
     assert not [name for name, (said, _) in kept.items() if "Join" in said]
+
+
+def test_groups_hold_no_texts(spark, monkeypatch):
+    """Claims in several groups belong together, near ones within their own; neither texts nor all sets are stored."""
+    stored, kept = similarity.written, {}
+    monkeypatch.setattr(similarity, "written", lambda df, name, *a: kept.setdefault(name, stored(df, name, *a)))
+    monkeypatch.setattr(similarity, "discard", lambda *frames: None)
+    base, other = [f"w{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    rows = [(1, "a", other), (2, "a", base), (3, "b", base), (4, "b", [*base, "x"]), (5, "a", [*base, "y"]), (6, "c", [*base, "x"]), (7, None, base), (8, None, [*base, "z"]), (9, "a", ["few"]), (10, "b", ["few"]), (11, "a", []), (12, "a", None), (13, "a", ["few", "few"])]
+    df = spark.createDataFrame(rows, "key long, g string, tokens array<string>").repartition(3)
+    found = sorted(tuple(r) for r in similarity.duplicate_groups(df, "key", "tokens", ["g"]).collect())
+    assert found == [*((i, 2, 6, "near") for i in (2, 3, 4, 5, 6, 7)), (9, 9, 2, "exact"), (10, 9, 2, "exact")]
+    assert "token-sets" not in kept and sorted(r.id for r in kept["token-named"].collect() if r.id in (1, 9, 10)) == []
