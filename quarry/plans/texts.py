@@ -139,7 +139,8 @@ WITH p AS (
 
 def paper_clean(spark: SparkSession, d: str) -> DataFrame:
     """Papers without furniture, authors, references and code links."""
-    return _papers(spark, d).select("doc_id", F.char_length(T.markdown_text(F.col("md"))).alias("n_chars"), F.sha2(T.markdown_text(F.col("md")), 256).alias("sha"))
+    both = T.bound(T.markdown_text(F.col("md")), lambda t: F.struct(F.char_length(t).alias("n_chars"), F.sha2(t, 256).alias("sha")))
+    return _papers(spark, d).select("doc_id", both.alias("of")).select("doc_id", "of.n_chars", "of.sha")
 
 
 _CLEAN = "md"

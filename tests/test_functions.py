@@ -74,3 +74,15 @@ def test_claims_and_sections(spark):
     text = "opening words\n# Page 2\nstill opening\n## Abstract\nshort\n## Small\ntiny\n## Long\n" + "y" * 200 + "\n### Acknowledgements\nthanks"
     found = C.sections(spark.createDataFrame([(1, text), (2, "plain")], "i int, t string"), "i", "t").orderBy("i", "section_id").collect()
     assert [(r.i, r.section_id, r.title, r.text[:40]) for r in found] == [(1, "S1", "Preamble", "opening words\nstill opening"), (1, "S2", "Abstract", "short\n\ntiny"), (1, "S3", "Long", "y" * 40), (2, "S1", "Preamble", "plain")]
+
+
+def test_a_paper_is_read_once_however_many_lines(spark):
+    """Where the body opens is looked for once a text, not once a line, and what a value goes into does not make it again."""
+    names = [f"author {i} of a long line" if i % 3 else f"person {i} @home of a long line" for i in range(400)]
+    body = ["## Abstract", "short", "someone @ home", "code: none", "the end"]
+    df = spark.createDataFrame([(1, "\n".join(["# A title", *names, *body])), (2, "\n".join(body)), (3, "# A title\nsome words\nx y"), (4, ""), (5, None)], "k int, t string")
+    got = df.select("k", T.bound(T.markdown_text(F.col("t")), lambda t: F.struct(t.alias("t"), F.char_length(t).alias("n"))).alias("of")).select("k", "of.t", "of.n")
+    kept = ["## Abstract", "short", "someone @ home", "the end"]
+    assert {r.k: r.t for r in got.collect()} == {1: "\n".join(["# A title", *(x for x in names if "@" not in x), *kept]), 2: "\n".join(kept), 3: "# A title\nsome words\nx y", 4: "", 5: None}
+    said = got._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("^## abstract") == 1 and said.count("<div[^>]*>") == 1
