@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import discard, written
+
 
 def log_degree(degree: Column, most: Column) -> Column:
     """ln(1 + d) over ln(1 + max); 0.0 in a graph without edges."""
@@ -34,8 +40,12 @@ def connectivity(nodes: DataFrame, edges: DataFrame, node: str, category: str, s
     """As centrality, for distinct neighbours, with the entropy over the categories these belong to."""
     both = edges.select(F.col(source).alias("_n"), F.col(target).alias("_m")).union(edges.select(F.col(target), F.col(source))).filter("_n <> _m").distinct()
     of = nodes.select(F.col(node).alias("_m"), F.col(category).alias("_category"))
+    return _connected(nodes, both.join(of, "_m").groupBy("_n", "_category").agg(F.count(F.lit(1)).alias("n")), node, category, degree_weight, entropy_weight)
+
+
+def _connected(nodes: DataFrame, counts: DataFrame, node: str, category: str, degree_weight: float, entropy_weight: float) -> DataFrame:
+    """nodes with degree, log_degree, entropy and connectivity from counts (_n, _category, n) of their neighbours."""
     total = nodes.agg(F.countDistinct(category).alias("_all"))  # one row
-    counts = both.join(of, "_m").groupBy("_n", "_category").agg(F.count(F.lit(1)).alias("n"))
     entropy = _entropy(counts.crossJoin(F.broadcast(total)), "_n", F.col("_all"))
     degree = counts.groupBy("_n").agg(F.sum("n").alias("degree"))
     most = degree.agg(F.coalesce(F.max("degree"), F.lit(0)).alias("_most"))
@@ -44,6 +54,111 @@ def connectivity(nodes: DataFrame, edges: DataFrame, node: str, category: str, s
     return rows.withColumn("connectivity", degree_weight * F.col("log_degree") + entropy_weight * F.col("entropy")).drop("_n", "_most")
 
 
+def group_connectivity(
+    nodes: DataFrame, groups: DataFrame, members: str, node: str, category: str, degree_weight: float = 0.7, entropy_weight: float = 0.3, most_sent: int = 5_000_000, size: int = 1 << 24
+) -> DataFrame:
+    """As connectivity, where all members of a group are neighbours: groups holds them as an array of longs, each once.
+
+    A group's list goes once to each share of the nodes that some of its members lie in, and a share's neighbours are united there, node by
+    node, so no pair becomes a row. A share takes about `size` members of lists. The nodes, with their categories, are sent to the tasks; where
+    there are more than `most_sent` of them, or one id is there twice, pairs are made as edges.
+    """
+    known = nodes.filter(F.col(node).isNotNull()).select(F.col(node).cast("long").alias("k"), F.col(category).alias("c"))
+    sent = known.toArrow() if known.count() <= most_sent else None
+    ids = None if sent is None else sent.column("k").to_numpy()
+    if ids is None or not len(ids) or len(np.unique(ids)) < len(ids):
+        # a node's neighbours are sent to it as one list a group, and pairs are made and counted once where they meet
+        lists = groups.select(F.explode(members).alias("source"), F.col(members).alias("by")).select("source", F.filter("by", lambda x: x > F.col("source")).alias("by")).filter(F.size("by") > 0).repartition("source")
+        edges = lists.select("source", F.explode("by").alias("target")).distinct()  # each pair once, by any group
+        return connectivity(nodes, edges, node, category, "source", "target", degree_weight, entropy_weight)
+    kinds = sent.column("c").combine_chunks().dictionary_encode("encode")
+    order = np.argsort(ids)
+    table = nodes.sparkSession.sparkContext.broadcast((ids[order], kinds.indices.to_numpy()[order], len(kinds.dictionary)))
+    groups = written(groups.select(F.col(members).alias("by"), F.size(members).cast("long").alias("n")).filter("n > 1"), "graph-groups")
+    heavy = groups.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    shares = int(max(1, min(len(ids), max(-(-heavy // size), int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+
+    def spread(rows: np.ndarray, at: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+        """Lists of places (rows, at; in order) as one record for each share: how long lists are, their places in two halves, and their members in the share."""
+        long = np.bincount(rows, minlength=n)
+        first = np.cumsum(long) - long
+        own = at % shares
+        by = np.lexsort((at, rows, own))
+        share, row, member = own[by], rows[by], at[by]
+        new = np.flatnonzero(np.concatenate([[True], (share[1:] != share[:-1]) | (row[1:] != row[:-1])]))
+        of, many = row[new], np.diff(np.append(new, len(row)))
+        lens = long[of]
+        ends = np.cumsum(lens)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(share[new]) != 0])), len(new))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            start = ends[a] - lens[a]
+            x = at[np.repeat(first[of[a:b]] - (ends[a:b] - lens[a:b] - start), lens[a:b]) + np.arange(ends[b - 1] - start)]
+            stop = new[b] if b < len(new) else len(row)
+            packed = [lens[a:b].astype("<i4"), (x & 0xFFFF).astype("<u2"), (x >> 16).astype("<u2"), many[a:b].astype("<i4"), member[new[a] : stop].astype("<i4")]
+            out.append((int(share[new[a]]), *(p.tobytes() for p in packed)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["share", "lens", "low", "high", "many", "member"])
+
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = table.value[0]
+        for b in batches:
+            lists = b.column("by")
+            long = np.diff(lists.offsets.to_numpy())
+            flat, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(long)), long)
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            fit = ids[at] == flat
+            row, at = row[fit], at[fit]
+            by = np.lexsort((at, row))
+            row, at = row[by], at[by]
+            weight = np.cumsum(long * np.minimum(long, shares))  # what a list comes to, at most
+            part = weight // (1 << 22)
+            for p in np.unique(part):
+                lo, hi = np.searchsorted(row, np.searchsorted(part, [p, p + 1]))
+                if hi > lo:
+                    yield from spread(row[lo:hi] - row[lo], at[lo:hi], int(row[hi - 1] - row[lo]) + 1)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The neighbours of a share's nodes, counted by category; a few million at a time."""
+        ids, kind, n_kinds = table.value
+        held = {c: [] for c in ("lens", "low", "high", "many", "member")}
+        for b in batches:
+            for c, x in held.items():
+                x += [np.frombuffer(v.as_buffer(), "<u2" if c in ("low", "high") else "<i4") for v in b.column(c)]
+        if not held["lens"]:
+            return
+        lens, low, high, many, member = (np.concatenate(x) for x in held.values())
+        held.clear()
+        places = low.astype(np.int32) | (high.astype(np.int32) << 16)
+        del low, high
+        first = np.cumsum(lens, dtype=np.int64) - lens
+        entry = np.repeat(np.arange(len(lens)), many)
+        by = np.argsort(member, kind="stable")
+        member, entry = member[by], entry[by]
+        width = lens[entry].astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))  # where a node's lists begin
+        part = np.cumsum(np.add.reduceat(width, new)) // (1 << 22)
+        for p in np.unique(part):
+            lo, hi = np.searchsorted(part, [p, p + 1])
+            a, b = new[lo], new[hi] if hi < len(new) else len(member)
+            w = width[a:b]
+            x = places[np.repeat(first[entry[a:b]] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))]
+            of = np.repeat(np.repeat(np.arange(hi - lo), np.diff(np.append(new[lo:hi], b))), w)
+            pairs = np.sort(of * len(ids) + x)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            of, x = pairs // len(ids), pairs % len(ids)
+            self = member[new[lo:hi]]
+            other = x != self[of]
+            counts = np.bincount(of[other] * n_kinds + kind[x[other]], minlength=(hi - lo) * n_kinds)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[self[some // n_kinds]]), pa.array((some % n_kinds).astype(np.int32)), pa.array(counts[some].astype(np.int64))], names=["_n", "_category", "n"])
+
+    sorted_out = groups.select("by").mapInArrow(sort_out, "share int, lens binary, low binary, high binary, many binary, member binary")
+    counts = written(sorted_out.repartitionById(shares, "share").drop("share").mapInArrow(unite, "_n long, _category int, n long"), "graph-counts")
+    table.destroy()
+    discard(groups)
+    return _connected(nodes, counts, node, category, degree_weight, entropy_weight)
+
+
 def final_score(parts: dict[str, float]) -> Column:
     """A weighted sum of score columns, rounded to four places."""
     return F.round(sum((F.lit(w) * F.coalesce(F.col(c), F.lit(0.0)) for c, w in parts.items()), F.lit(0.0)), 4)

@@ -223,10 +223,7 @@ def kc_connectivity(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as nodes, their nations as categories; those that deliver the same part are neighbours."""
     nodes = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     sold = _t(spark, d, "lineitem").filter("l_partkey is not null").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("by"))  # some dozens deliver a part
-    # a supplier's neighbours are sent to it as one list a part, and pairs are made and counted once where they meet
-    lists = sold.select(F.explode("by").alias("source"), "by").select("source", F.filter("by", lambda x: x > F.col("source")).alias("by")).filter(F.size("by") > 0).repartition("source")
-    edges = lists.select("source", F.explode("by").alias("target")).distinct()  # each pair once, by any part
-    rows = G.connectivity(nodes, edges, "s_suppkey", "s_nationkey", "source", "target")
+    rows = G.group_connectivity(nodes, sold, "by", "s_suppkey", "s_nationkey")
     return rows.select("s_suppkey", "degree", *[F.round(c, 9).alias(c) for c in ("log_degree", "entropy", "connectivity")])
 
 
