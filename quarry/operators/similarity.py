@@ -161,8 +161,8 @@ def _named(sets: DataFrame, near: DataFrame, places: int) -> DataFrame:
     return done
 
 
-def _pairs(marks: DataFrame, sets: DataFrame, group: Sequence[str], threshold: float, block: int, most_sent: int, once: bool) -> DataFrame:
-    """similar_pairs of marked sets; once: those of equal digest and group stand as one, by its smallest id."""
+def _candidates(marks: DataFrame, sets: DataFrame, group: Sequence[str], threshold: float, block: int, most_sent: int, once: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of marked sets that share a mark, and the sets that they name; once: sets of equal digest and group stand as one, by its smallest id."""
     known = lambda df: df.dropna(subset=list(group)) if group else df
     marks = known(marks).filter(F.size("marks") > 0)
     if once:
@@ -171,7 +171,11 @@ def _pairs(marks: DataFrame, sets: DataFrame, group: Sequence[str], threshold: f
     placed = one.select("id", "n", F.explode("marks").alias("m")).select("id", F.when(F.col("m").bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n")).alias("n"), F.shiftrightunsigned("m", 1).alias("mark"))
     near = written(_met(_dealt(placed, block), threshold).filter("a < b").distinct(), "token-near")
     discard(one)
-    named = _named(known(sets).select(*group, "id", "set"), near, 64 * most_sent)
+    return near, _named(known(sets).select(*group, "id", "set"), near, 64 * most_sent)
+
+
+def _compared(near: DataFrame, named: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
+    """(group, a, b, jaccard) of the pairs whose sets reach the threshold."""
     of = lambda x: named.select(*group, F.col("id").alias(x), F.col("set").alias(f"_s{x}"))
     return near.join(of("a"), "a").join(of("b"), [*group, "b"]).withColumn("jaccard", jaccard(F.col("_sa"), F.col("_sb"))).filter(F.col("jaccard") >= threshold).select(*group, "a", "b", "jaccard")
 
@@ -185,7 +189,7 @@ def similar_pairs(rows: DataFrame, id: str, tokens: str, group: Sequence[str], t
     order and group stand as one, by its smallest id.
     """
     sets = _sets(rows, id, tokens, group)
-    return _pairs(_marks(sets, group, threshold, least), sets, group, threshold, block, most_sent, once)
+    return _compared(*_candidates(_marks(sets, group, threshold, least), sets, group, threshold, block, most_sent, once), group, threshold)
 
 
 def duplicate_groups(rows: DataFrame, id: str, tokens: str, group: Sequence[str], threshold: float = 0.92, least: int = 5) -> DataFrame:
@@ -196,10 +200,17 @@ def duplicate_groups(rows: DataFrame, id: str, tokens: str, group: Sequence[str]
     """
     sets = _sets(rows, id, tokens, group)
     member = written(_marks(sets, group, threshold, least), "members")
-    near = _pairs(member, sets, group, threshold, 4096, 1_000_000, True).select("a", "b")
+    near, named = _candidates(member, sets, group, threshold, 4096, 1_000_000, True)
+    # one pair of each set is compared first; what these bring together already needs no further comparing, as a large group's pairs would
+    links = written(_compared(near.groupBy("b").agg(F.min("a").alias("a")), named, group, threshold).select("a", "b"), "links")
+    of = components(links)
+    root = lambda x: of.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+    apart = near.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    rest = written(_compared(written(apart, "apart"), named, group, threshold).select("a", "b"), "links")
     everywhere = written(member.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "claims")  # stored, so that a very common claim's join can be split
     own = member.groupBy(*group, "sha").agg(F.min("id").alias("b")).groupBy("sha").agg(F.min("b").alias("a"), F.collect_set("b").alias("b")).filter(F.size("b") > 1)  # a claim's smallest id in each group
-    of = components(near.union(own.select("a", F.explode("b").alias("b"))))
+    of = components(links.union(rest).union(own.select("a", F.explode("b").alias("b"))))
+    discard(near, named, links, rest)
     roots = written(everywhere.join(of, everywhere["rep"] == of["node"], "left").select("sha", "n", F.coalesce("root", "rep").alias("group_id")), "roots")
     sizes = roots.groupBy("group_id").agg(F.sum("n").alias("n_members"), F.when(F.count(F.lit(1)) > 1, "near").otherwise("exact").alias("kind")).filter("n_members > 1")
     kinds = written(roots.join(sizes, "group_id").select("sha", "group_id", "n_members", "kind"), "groups")

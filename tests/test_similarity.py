@@ -80,3 +80,14 @@ def test_groups_hold_no_texts(spark, monkeypatch):
     found = sorted(tuple(r) for r in similarity.duplicate_groups(df, "key", "tokens", ["g"]).collect())
     assert found == [*((i, 2, 6, "near") for i in (2, 3, 4, 5, 6, 7)), (9, 9, 2, "exact"), (10, 9, 2, "exact")]
     assert "token-sets" not in kept and sorted(r.id for r in kept["token-named"].collect() if r.id in (1, 9, 10)) == []
+
+
+def test_pairs_within_a_component_are_not_compared(spark, monkeypatch):
+    """Of a group of near copies each set is compared once; a chain of near copies stays whole."""
+    compared, plain = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda near, *a: compared.append(near.count()) or plain(near, *a))
+    texts = [[*(f"w{j}" for j in range(60)), f"x{i}"] for i in range(40)] + [[f"c{j}" for j in range(i, i + 60)] for i in range(12)]
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "key long, g string, tokens array<string>")
+    found = {r.key: (r.group_id, r.n_members, r.kind) for r in similarity.duplicate_groups(df, "key", "tokens", ["g"]).collect()}
+    assert found == {i: (0, 40, "near") for i in range(40)} | {i: (40, 12, "near") for i in range(40, 52)}
+    assert sum(compared) < 150  # 40 of them make 780 pairs
